@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import history_dedup, lookalikes
+from noticeforge.llm import history_dedup, lookalikes, truth
+from noticeforge.session import settle
 from noticeforge.sources.tables import table
 
 NAMED = ["title", "issuer", "region"]
@@ -15,6 +16,21 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return history_dedup.repeated(table(spark, sf, "notice_item"))
 
 
+def _truth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, sf, "notice_item")
+    members = settle(truth.members_of(history_dedup.repeated(items)))
+    return truth.discover(members, items, table(spark, sf, "source_zone"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _truth(spark, sf)[0].select(F.col("g").alias("first_item_id"), "field_name", "item_id")
+
+
+def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    """What the sources' claims are worth."""
+    return _truth(spark, sf)[1]
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.found(table(spark, sf, "notice_item"), NAMED).withColumnRenamed("id", "item_id")
 
@@ -24,5 +40,5 @@ def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.canonical_values(table(spark, sf, "notice_item"), NAMED).withColumnRenamed("id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_canonical": p7_canonical}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_reliability": p3_reliability, "p7_found": p7_found, "p7_canonical": p7_canonical}
 ORACLES: dict[str, str] = {}
