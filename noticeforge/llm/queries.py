@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import history_dedup, lookalikes, truth
+from noticeforge.llm import history_dedup, leaks, lookalikes, mixing, stuffed_pages, truth
 from noticeforge.session import settle
 from noticeforge.sources.tables import table
 
@@ -40,5 +40,31 @@ def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.canonical_values(table(spark, sf, "notice_item"), NAMED).withColumnRenamed("id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_reliability": p3_reliability, "p7_found": p7_found, "p7_canonical": p7_canonical}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_item")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which items leaked, into how many documents, and the longest run."""
+    found = leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("length").alias("longest_run"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages.found(table(spark, sf, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages.scored(table(spark, sf, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_reliability": p3_reliability, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 ORACLES: dict[str, str] = {}
