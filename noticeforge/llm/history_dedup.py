@@ -21,15 +21,13 @@ ignored.
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeforge.llm.folding import folded
 from noticeforge.llm.notice_text import call_of, code_of, core_of, kind_of, lot_of, plain_title
 from noticeforge.session import settle
 
@@ -40,7 +38,6 @@ COVERAGE = 0.25
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = None
-_MARKS = re.compile(r"[\W_]+")
 CHUNKS = T.StructType([T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("bytes", T.ArrayType(T.IntegerType()))])
 
 
@@ -61,11 +58,9 @@ def _powers(n: int) -> np.ndarray:
 
 def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text the hashes of its distinct chunks and their bytes. Blanks, marks, width and case don't count."""
-    joined = [_MARKS.sub("", unicodedata.normalize("NFKC", t)).lower() if t else "" for t in texts]
-    lengths = np.array([len(t) for t in joined])
-    if not lengths.sum():
+    codes, lengths = folded(texts)
+    if not len(codes):
         return [(np.empty(0, np.int64), np.empty(0, np.int32))] * len(texts)
-    codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
     mixed = _mix(codes * _M + np.uint64(1))
@@ -83,11 +78,14 @@ def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     utf8 = 1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
     weight = np.add.reduceat(utf8, begin).astype(np.int32)
     of = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
-    out = []
-    for a, b in zip(*of):
-        h, i = np.unique(hashes[a:b], return_index=True)
-        out.append((h, weight[a:b][i]))
-    return out
+    # each chunk of a text once
+    text = np.repeat(np.arange(len(texts)), of[1] - of[0])
+    order = np.lexsort((hashes, text))
+    hashes, weight, text = hashes[order], weight[order], text[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    stops = np.cumsum(np.bincount(text[new], minlength=len(texts)))[:-1]
+    return list(zip(np.split(hashes[new], stops), np.split(weight[new], stops)))
 
 
 @F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("part", T.StringType()), T.StructField("core", T.StringType()), T.StructField("chunks", CHUNKS)]))

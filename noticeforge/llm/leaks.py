@@ -5,7 +5,7 @@ evaluation items and of the documents, so a hit survives exchanged tokens at the
 names an item and a diagonal; along it the two token rows are compared and the best run is taken, a token that
 agrees counting 1 and one that doesn't `-EXCHANGE`. A run of `MIN_CHARS` characters or `MIN_WORDS` words leaks.
 
-Tokens are letters and digits after NFKC and without case, characters for one row and words for another; so
+Tokens are letters and digits without width, case and accents, characters for one row and words for another; so
 punctuation, spacing and width don't matter. Chinese items are looked up by characters, others by words.
 
 Standard clauses are told by the corpus itself: positions of an item that runs in more than `CLAUSE_SHARE` of
@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeforge.llm.folding import codes_of, folded
 from noticeforge.session import settle
 
 MIN_CHARS, MIN_WORDS, EXCHANGE = 30, 12, 2.5
@@ -38,70 +39,58 @@ BLOCK_SEEDS = 1 << 20
 CHAR_MASKS = ("1110110101", "11010010111", "101100110011")
 WORD_MASKS = ("11011", "1100101", "101011")
 
-_TOKEN_CHARS = re.compile(r"[\W_]+")
-_WORDS = re.compile(r"[^\W_]+")
+_WORDS = re.compile("[^\\W_㐀-鿿]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
+_MARKS = re.compile("[\u0300-\u036f]")
 _HAN = re.compile("[㐀-鿿]")
 RUNS = "doc_id long, item_id long, first int, last int, words boolean"
 
 
-def _clean(text: str | None) -> str:
-    if not text:
-        return ""
-    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
-def char_tokens(text: str | None) -> np.ndarray:
-    kept = _TOKEN_CHARS.sub("", _clean(text))
-    return np.frombuffer(kept.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-
-
-class _WordIds:
-    """Words as numbers, equal in every task: a hash of the word."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        known, out = self.known, []
-        for w in _WORDS.findall(_clean(text)):
-            n = known.get(w)
-            if n is None:
-                if len(known) > 200_000:
-                    known.clear()
-                h = 0
-                for c in w:
-                    h = ((h ^ ord(c)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-                n = known[w] = h
-            out.append(n)
-        return np.array(out, dtype=np.uint64)
-
-
-def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """The mask's hash at each position at which it fits."""
-    n = len(tokens) - len(mask) + 1
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers, equal in every task, and how many each text has. Han isn't words."""
+    rows = [_WORDS.findall(t if t.isascii() or not _MARKS.search(t) else unicodedata.normalize("NFKC", t)) if t else [] for t in texts]
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = [w for r in rows for w in r]
+    if not flat:
+        return np.empty(0, np.uint64), lengths
+    place: dict[str, int] = {}
+    index = [place.setdefault(w, len(place)) for w in flat]
+    distinct = [(w if w.isascii() else unicodedata.normalize("NFKC", w)).casefold() for w in place]
+    codes, sizes = codes_of(distinct)
+    begin = np.cumsum(sizes) - sizes
+    within = np.arange(len(codes)) - np.repeat(begin, sizes)
+    hashes = _mix(np.add.reduceat(_mix(codes.astype(np.uint64) + np.uint64(1)) * (within.astype(np.uint64) * _M + np.uint64(0x2545F4914F6CDD1D)), begin))
+    return hashes[index], lengths
+
+
+def seeds(mixed: np.ndarray, mask: str) -> np.ndarray:
+    """The mask's hash at each position at which it fits. mixed: tokens through _mix."""
+    n = len(mixed) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, len(mask), np.uint64)
+    h, odd = np.full(n, len(mask), np.uint64), _M
     for k, bit in enumerate(mask):
         if bit == "1":
-            h = (h ^ _mix(tokens[k : k + n] + np.uint64(k + 1))) * _M
-    return _mix(h)
+            h += mixed[k : k + n] * odd
+        odd = np.uint64((int(odd) * 0xD6E8FEB86659FD93 + 2) % (1 << 64) | 1)
+    return h ^ (h >> np.uint64(29))
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """First and end of the run of the highest score, ends agreeing; of several the first."""
-    gain = np.where(equal, 1.0, -EXCHANGE)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    first = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return first, end
+def best_runs(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row first and end of the run of the highest score, ends agreeing; of several the first."""
+    total = np.zeros((equal.shape[0], equal.shape[1] + 1), np.float32)
+    np.cumsum(np.where(equal, np.float32(1), np.float32(-EXCHANGE)), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total, axis=1)
+    end = np.argmax(total - low, axis=1)
+    # the run begins at the last place before its end at which the total was lowest
+    place = np.arange(total.shape[1])[None, :]
+    at_low = (total == np.take_along_axis(low, end[:, None], axis=1)) & (place <= end[:, None])
+    return total.shape[1] - 1 - np.argmax(at_low[:, ::-1], axis=1), end
 
 
 class _Block:
@@ -109,43 +98,60 @@ class _Block:
 
     def __init__(self, items: list[tuple[int, str]], words: bool):
         self.words, self.masks, self.least = words, WORD_MASKS if words else CHAR_MASKS, MIN_WORDS if words else MIN_CHARS
-        read = _WordIds() if words else char_tokens
-        self.items = [(i, t) for i, t in ((i, read(text)) for i, text in items) if len(t) >= self.least]
-        parts = [(s, np.full(len(s), k), np.arange(len(s))) for k, (_, t) in enumerate(self.items) for m in self.masks for s in [seeds(t, m)]]
+        tokens, lengths = (words_of if words else folded)([text for _, text in items])
+        self.items = [(i, t) for (i, _), t in zip(items, np.split(tokens, np.cumsum(lengths)[:-1])) if len(t) >= self.least]
+        parts = [(s, np.full(len(s), k), np.arange(len(s))) for k, (_, t) in enumerate(self.items) for m in self.masks for s in [seeds(_mix(t), m)]]
         hashes, owner, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, int), np.empty(0, int))
         order = np.argsort(hashes, kind="stable")
+        self.ids = np.array([i for i, _ in self.items], dtype=np.int64)
+        self.sizes = np.array([len(t) for _, t in self.items], dtype=np.int64)
+        self.padded = np.zeros((len(self.items), max(map(len, (t for _, t in self.items)), default=0)), np.uint64)
+        for row, (_, t) in zip(self.padded, self.items):
+            row[: len(t)] = t
         self.hashes, self.owner, self.at = hashes[order], owner[order], at[order]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def runs(self, tokens: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, first, end) of the longest run of each pair; documents begin at starts in tokens."""
-        found: set[tuple[int, int, int]] = set()
+        parts, mixed = [], _mix(tokens)
         for mask in self.masks:
-            h = seeds(tokens, mask)
+            h = seeds(mixed, mask)
             hit = np.flatnonzero(self.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            if not len(hit):
-                continue
             left = np.searchsorted(self.hashes, h[hit], "left")
-            right = np.searchsorted(self.hashes, h[hit], "right")
-            some = right > left
-            for p, a, b in zip(hit[some], left[some], right[some]):
-                for s in range(a, b):
-                    found.add((int(self.owner[s]), int(p) - int(self.at[s]), int(np.searchsorted(starts, p, "right")) - 1))
-        out: dict[tuple[int, int], tuple[int, int]] = {}
+            n = np.searchsorted(self.hashes, h[hit], "right") - left
+            at = np.repeat(hit, n)
+            seed = np.repeat(left, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            parts.append(np.stack([self.owner[seed], at - self.at[seed], np.searchsorted(starts, at, "right") - 1]))
+        # each diagonal of an item in a document once
+        k, shift, d = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), int)
+        order = np.lexsort((d, shift, k))
+        k, shift, d = k[order], shift[order], d[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (shift[1:] != shift[:-1]) | (d[1:] != d[:-1])
+        k, shift, d = k[new], shift[new], d[new]
         ends = np.append(starts[1:], len(tokens))
-        for k, shift, d in found:
-            item_id, item = self.items[k]
-            lo, hi = max(shift, int(starts[d])), min(shift + len(item), int(ends[d]))
-            if hi - lo < self.least:
-                continue
-            first, end = best_run(tokens[lo:hi] == item[lo - shift : hi - shift])
-            if end - first >= self.least:
-                run = (first + lo - shift, end + lo - shift)
-                old = out.get((d, item_id))
-                if old is None or (run[1] - run[0], -run[0]) > (old[1] - old[0], -old[0]):
-                    out[d, item_id] = run
-        return [(d, i, *run) for (d, i), run in out.items()]
+        lo, hi = np.maximum(shift, starts[d]), np.minimum(shift + self.sizes[k], ends[d])
+        some = hi - lo >= self.least
+        k, shift, d, lo, hi = k[some], shift[some], d[some], lo[some], hi[some]
+        out = []
+        step = max(1, (1 << 21) // (self.padded.shape[1] + 1))
+        for i in range(0, len(k), step):
+            j = slice(i, i + step)
+            at = shift[j, None] + np.arange(self.padded.shape[1])[None, :]
+            inside = (at >= lo[j, None]) & (at < hi[j, None])
+            first, end = best_runs((tokens[np.clip(at, 0, len(tokens) - 1)] == self.padded[k[j]]) & inside)
+            long = end - first >= self.least
+            out.append(np.stack([d[j][long], self.ids[k[j][long]], first[long], end[long]]))
+        if not out:
+            return []
+        d, ids, first, end = np.concatenate(out, axis=1)
+        # positions are those in the item; of an item in a document the longest run, then the first
+        order = np.lexsort((first, first - end, ids, d))
+        d, ids, first, end = d[order], ids[order], first[order], end[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (ids[1:] != ids[:-1])
+        return list(zip(d[new].tolist(), ids[new].tolist(), first[new].tolist(), end[new].tolist()))
 
 
 def item_blocks(items: list[tuple[int, str]], block_seeds: int = BLOCK_SEEDS) -> list[tuple[list, list]]:
@@ -164,19 +170,17 @@ def item_blocks(items: list[tuple[int, str]], block_seeds: int = BLOCK_SEEDS) ->
 def _run_rows(chars: list, words: list):
     def rows(batches):
         tables = [b for b in (_Block(chars, False), _Block(words, True)) if b.items]
-        read = _WordIds()
         for pdf in batches:
             pdf = pdf[pdf["text"].notna()]
             out = []
             for b in tables:
-                tokens = [read(t) if b.words else char_tokens(t) for t in pdf["text"]]
-                lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-                if not lengths.sum():
+                tokens, lengths = (words_of if b.words else folded)(pdf["text"].tolist())
+                if not len(tokens):
                     continue
                 starts = np.cumsum(lengths) - lengths
                 kept = lengths > 0
                 ids = pdf["doc_id"].to_numpy()[kept]
-                out += [(ids[d], i, f, e, b.words) for d, i, f, e in b.runs(np.concatenate(tokens), starts[kept])]
+                out += [(ids[d], i, f, e, b.words) for d, i, f, e in b.runs(tokens, starts[kept])]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "first", "last", "words"])
 
     return rows

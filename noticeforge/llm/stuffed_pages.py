@@ -25,33 +25,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeforge.llm.folding import codes_of
+
 MIN_REPEAT = 4
 MIN_CLAUSES, MAX_NEW, MIN_LINKS = 0.2, 0.3, 0.4
 
-_SENTENCE = re.compile(r"[^。！？；!?;\n#|]{8,}[。！？；]|[A-Z][^.!?\n#|]{20,}[.!?;](?=\s|$)")
+# What separates clauses, and what ends one.
+_BREAKS, _STOPS = "。！？；!?;\n#|", "。！？；"
+_ENGLISH = re.compile(r"[A-Z][^.!?\n#|]{20,}[.!?;](?=\s|$)")
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|https?://\S+|#\S+", re.S)
 _M = np.uint64(0x9E3779B97F4A7C15)
+_BREAK_CODES, _STOP_CODES = (np.array(sorted(map(ord, x)), dtype=np.uint32) for x in (_BREAKS, _STOPS))
 
 SCORE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("covered", "clauses", "new", "links")] + [T.StructField("is_case", T.BooleanType())])
 
 
-def windows_covered(text: str, m: int = MIN_REPEAT) -> np.ndarray:
-    """Marks the characters in windows of m characters that occur more than once."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if len(a) < m:
-        return np.zeros(len(a), bool)
-    h = np.zeros(len(a) - m + 1, np.uint64)
+def windows_covered(codes: np.ndarray, lengths: np.ndarray, m: int = MIN_REPEAT) -> np.ndarray:
+    """Marks the characters in windows of m characters that occur more than once in their text."""
+    n = len(codes)
+    if n < m:
+        return np.zeros(n, bool)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    a, h = codes.astype(np.uint64), text[: n - m + 1].astype(np.uint64) * _M
     for k in range(m):
         h = (h + a[k : len(h) + k] + np.uint64(1)) * _M
         h ^= h >> np.uint64(29)
-    order = np.argsort(h, kind="stable")
+    inside = np.flatnonzero(text[: n - m + 1] == text[m - 1 :])
+    h = h[inside]
+    # most windows are alone in their slot; only the others are sorted
+    slot = (h >> np.uint64(42)).astype(np.int64)
+    shared = (np.bincount(slot, minlength=1 << 22) > 1)[slot]
+    h, inside = h[shared], inside[shared]
+    order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     twice = np.zeros(len(h), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    edge = np.zeros(len(a) + 1, np.int32)
-    at = np.flatnonzero(twice)
+    edge = np.zeros(n + 1, np.int32)
+    at = inside[twice]
     edge[at] += 1
-    np.subtract.at(edge, at + m, 1)
+    edge[at + m] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -102,29 +114,64 @@ def automaton_covered(text: str, m: int = MIN_REPEAT) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def score(text: str | None, screen: bool = True) -> tuple[float, float, float, float, bool]:
-    """Shares of a page: covered by repeats, in clauses of its own, new text, links; and whether it is a case."""
-    n = len(text or "")
-    if not n:
-        return 0.0, 0.0, 0.0, 0.0, False
-    sentence, links = np.zeros(n, bool), np.zeros(n, bool)
-    for x in _SENTENCE.finditer(text):
-        if "http" not in x.group():
-            sentence[x.start() : x.end()] = True
-    if "http" in text or "#" in text or "<a" in text or "](" in text:
-        for x in _LINK.finditer(text):
-            links[x.start() : x.end()] = True
-    sentence &= ~links
-    covered = windows_covered(text) if screen else automaton_covered(text)
-    if screen and (sentence & ~covered).mean() < MIN_CLAUSES:
-        covered = automaton_covered(text)
-    clauses, new, link = (sentence & ~covered).mean(), (~covered & ~links).mean(), links.mean()
-    return float(covered.mean()), float(clauses), float(new), float(link), bool(clauses < MIN_CLAUSES and (new < MAX_NEW or link > MIN_LINKS))
+def _sentences(texts: list[str], codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks what clauses cover, and what links and tags cover. Where Latin letters outnumber Han, clauses are
+    English ones."""
+    n = len(codes)
+    starts = np.cumsum(lengths) - lengths
+    breaks = np.isin(codes, _BREAK_CODES)
+    stops = np.flatnonzero(np.isin(codes, _STOP_CODES))
+    bounds = np.concatenate([[-1], np.flatnonzero(breaks)])  # a clause begins after a break or with its text
+    before = np.maximum(bounds[np.searchsorted(bounds, stops) - 1] + 1, starts[np.searchsorted(starts, stops, "right") - 1])
+    long = stops - before >= 8
+    edge = np.zeros(n + 1, np.int32)
+    edge[before[long]] += 1
+    edge[stops[long] + 1] -= 1
+    sentence = np.cumsum(edge[:-1]) > 0
+    links = np.zeros(n, bool)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    han = np.bincount(text[(codes >= 0x3400) & (codes <= 0x9FFF)], minlength=len(texts))
+    latin = np.bincount(text[((codes | 32) >= 97) & ((codes | 32) <= 122)], minlength=len(texts))
+    for k in np.flatnonzero(latin > han):
+        sentence[starts[k] : starts[k] + lengths[k]] = False
+        for x in _ENGLISH.finditer(texts[k]):
+            sentence[starts[k] + x.start() : starts[k] + x.end()] = True
+    for k, t in enumerate(texts):
+        if t and ("http" in t or "#" in t or "<a" in t or "](" in t):
+            for x in _LINK.finditer(t):
+                links[starts[k] + x.start() : starts[k] + x.end()] = True
+    # a clause around a link isn't one
+    touched = np.zeros(n + 1, np.int64)
+    np.cumsum(links, out=touched[1:])
+    for b, e in zip(before[long], stops[long] + 1):
+        if touched[e] > touched[b]:
+            sentence[b:e] = False
+    return sentence & ~links, links
+
+
+def _shares(mask: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(mask)])
+    return (total[starts + lengths] - total[starts]) / np.maximum(lengths, 1)
+
+
+def scores(texts: list[str | None], screen: bool = True) -> pd.DataFrame:
+    """Shares of pages: covered by repeats, in clauses of their own, new text, links; and whether each is a case."""
+    texts = [t or "" for t in texts]
+    codes, lengths = codes_of(texts)
+    starts = np.cumsum(lengths) - lengths
+    sentence, links = _sentences(texts, codes, lengths)
+    covered = windows_covered(codes, lengths)
+    open_ = _shares(sentence & ~covered, starts, lengths) < MIN_CLAUSES if screen else np.ones(len(texts), bool)
+    for k in np.flatnonzero(open_ & (lengths > 0)):
+        covered[starts[k] : starts[k] + lengths[k]] = automaton_covered(texts[k])
+    out = {"covered": covered, "clauses": sentence & ~covered, "new": ~covered & ~links, "links": links}
+    out = pd.DataFrame({k: _shares(v, starts, lengths) for k, v in out.items()})
+    return out.assign(is_case=(lengths > 0) & (out["clauses"] < MIN_CLAUSES) & ((out["new"] < MAX_NEW) | (out["links"] > MIN_LINKS)))
 
 
 @F.pandas_udf(SCORE)
 def _score_udf(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([score(t) for t in texts], columns=SCORE.names)
+    return scores(texts.tolist())
 
 
 def scored(documents: DataFrame) -> DataFrame:
