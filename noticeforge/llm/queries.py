@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import history_dedup, leaks, lookalikes, mixing, stuffed_pages, truth
+from noticeforge.llm import boilerplate, history_dedup, leaks, lookalikes, mixing, names, stuffed_pages, truth
 from noticeforge.session import settle
 from noticeforge.sources.tables import table
 
@@ -31,6 +31,19 @@ def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
     return _truth(spark, sf)[1]
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.linked_pairs(table(spark, sf, "issuer_name"))
+
+
+def p4_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spelling with the smallest id of its body and the number of its spellings."""
+    return names.bodies(table(spark, sf, "issuer_name"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.found(table(spark, sf, "raw_document_item"), table(spark, sf, "notice_item"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.found(table(spark, sf, "notice_item"), NAMED).withColumnRenamed("id", "item_id")
 
@@ -66,5 +79,5 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffed_pages.scored(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_reliability": p3_reliability, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_reliability": p3_reliability, "p4_found": p4_found, "p4_bodies": p4_bodies, "p5_found": p5_found, "p7_found": p7_found, "p7_canonical": p7_canonical, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 ORACLES: dict[str, str] = {}
