@@ -35,6 +35,8 @@ from noticeforge.session import settle
 RADIUS = 2
 #: A kind written less than this share as often as its neighbour is an error for it.
 SELDOM = 0.5
+#: Kinds of so many characters, Latin or rarely written, are errors for any neighbour written no less.
+LONG_LATIN, LONG_RARE = 8, 5
 #: Kinds that a pivot stands for, and bounds on pivots.
 PER_PIVOT, PIVOTS = 1000, (4, 256)
 
@@ -54,6 +56,8 @@ _ALIASES = {
 }
 _TRADES = {"环境科技": "环境科技", "环科": "环境科技", "园林绿化": "园林绿化", "园林": "园林绿化", "建筑工程": "建筑工程", "建工": "建筑工程", "信息技术": "信息技术", "信息": "信息技术", "物业服务": "物业服务", "物业": "物业服务", "供热": "供热"}
 _COMPANY = ("有限责任公司", "有限公司")
+# Characters that sound alike and are typed for each other in names.
+_SOUND = str.maketrans("晓苑思玉衣党途搏线工际萎镜居荣煤元急贯空", "小院司育医档图博限公技委境局融媒园疾管控")
 _WORDS = {"sch": "school", "gen": "general", "mun": "municipal", "auth": "authority", "comm": "commission", "util": "utility", "mgmt": "management", "proc": "procurement", "eng": "engineering", "dept": "department", "dist": "district", "svc": "service"}
 _ENGLISH = {"transit": "transit agency", "schools": "school district", "city library": "municipal library service", "roads department": "department of roads", "energy coop": "energy cooperative", "energy co op": "energy cooperative", "water board": "water utility board", "general hospital": "general hospital trust"}
 
@@ -97,10 +101,11 @@ def without_company(text: str) -> tuple[str, bool]:
     for form in _COMPANY:
         if text.endswith(form):
             return text[: -len(form)], True
-    for form in _COMPANY:
-        for n in (len(form), len(form) + 1, len(form) - 1):
-            if len(text) > n + 2 and one_edit(text[-n:], form):
-                return text[:-n], True
+    shorter = [text[:-n] for form in _COMPANY for n in (len(form), len(form) + 1, len(form) - 1) if len(text) > n + 2 and one_edit(text[-n:], form)]
+    if shorter:  # of several, one that leaves a trade
+        return next((s for s in shorter if s[2:] in _TRADES), shorter[0]), True
+    if text.endswith("公司") and _trade(text[2:-2]):
+        return text[:-2], True
     return text, False
 
 
@@ -125,15 +130,15 @@ def han_parts(name: str, place: str | None, above: str | None) -> tuple[str, str
     if len(short) >= 2 and (company or len(short) <= 6):
         trade = _trade(short[2:])
         if trade:
-            return f"firm {trade}", "", short[:2]
+            return f"firm {trade}", "", short[:2].translate(_SOUND)
         if company and len(short) == 2 or not company and len(short) == 2 and short not in _ALIASES and not _NUMBER.search(short):
-            return "firm", "", short
+            return "firm", "", short.translate(_SOUND)
     rest = short if company else rest
     number = ""
     if m := _NUMBER.search(rest):
         said = m[1]
         n = han_number(said)
-        if n is None or any(x == y for x, y in zip(said, said[1:])):  # a numeral typed twice
+        if n is None or (not said.isdigit() and any(x == y for x, y in zip(said, said[1:]))):  # a numeral typed twice
             n = han_number("".join(c for i, c in enumerate(said) if i == 0 or c != said[i - 1])) or 0
         number = str(n)
         rest = (rest[: m.start()] + "N" + rest[m.end() :]).replace("第", "")
@@ -218,15 +223,20 @@ def _join_cell(radius: int, seldom: float):
         # characters as bits: an edit changes two of them at most
         bits = np.array([np.bitwise_or.reduce([np.uint64(1) << np.uint64(hash_char(c)) for c in k]) for k in kinds], dtype=np.uint64)
         lengths = np.array([len(k) for k in kinds])
+        rank = np.empty(len(kinds), np.int64)
+        rank[np.lexsort((kinds, n))] = np.arange(len(kinds))
+        free = np.array([k.isascii() and len(k) >= LONG_LATIN or len(k) >= LONG_RARE and m <= 2 for k, m in zip(kinds, n)])
         out = []
         for i in range(0, len(kinds), 512):
-            near = (np.bitwise_count(bits[i : i + 512, None] ^ bits[None, :]) <= 2 * radius) & (np.abs(lengths[i : i + 512, None] - lengths[None, :]) <= radius) & (n[i : i + 512, None] < seldom * n[None, :])
+            j = slice(i, i + 512)
+            lesser = (n[j, None] < seldom * n[None, :]) | (free[j, None] & free[None, :] & (rank[j, None] < rank[None, :]))
+            near = (np.bitwise_count(bits[i : i + 512, None] ^ bits[None, :]) <= 2 * radius) & (np.abs(lengths[i : i + 512, None] - lengths[None, :]) <= radius) & lesser
             for a, b in zip(*np.nonzero(near)):
                 a += i
                 if levenshtein([kinds[a]], [kinds[b]])[0, 0] <= radius if len(kinds[a]) < 40 else True:
                     if one_edit(kinds[a], kinds[b]):
-                        out.append((kinds[a], kinds[b], int(n[b])))
-        return pd.DataFrame(out, columns=["kind", "right", "n"])
+                        out.append((kinds[a], kinds[b], int(n[b]), kinds[a].translate(_SOUND) == kinds[b].translate(_SOUND)))
+        return pd.DataFrame(out, columns=["kind", "right", "n", "alike"])
 
     return pairs
 
@@ -244,8 +254,8 @@ def corrected(kinds: DataFrame, radius: int = RADIUS, seldom: float = SELDOM) ->
     if not pivots:
         return kinds.select("kind", F.col("kind").alias("right")).limit(0)
     cells = kinds.mapInPandas(_assign(pivots, radius), "cell int, kind string, n long")
-    pairs = cells.groupBy("cell").applyInPandas(_join_cell(radius, seldom), "kind string, right string, n long")
-    step = settle(pairs.groupBy("kind").agg(F.max_by("right", F.struct("n", "right")).alias("right")))
+    pairs = cells.groupBy("cell").applyInPandas(_join_cell(radius, seldom), "kind string, right string, n long, alike boolean")
+    step = settle(pairs.groupBy("kind").agg(F.max_by("right", F.struct("alike", "n", "right")).alias("right")))
     # an error for an error: each step leads to a kind written more, so steps end; doubling them takes few rounds
     for _ in range(6):
         on = step.select(F.col("kind").alias("right"), F.col("right").alias("further"))
@@ -256,6 +266,26 @@ def corrected(kinds: DataFrame, radius: int = RADIUS, seldom: float = SELDOM) ->
     return step
 
 
+@F.pandas_udf(T.BooleanType())
+def _shortens_udf(short: pd.Series, full: pd.Series) -> pd.Series:
+    def fits(a: str, b: str) -> bool:
+        rest = iter(b)
+        return all(c in rest for c in a)
+
+    return pd.Series([fits(a, b) for a, b in zip(short, full)], dtype=bool)
+
+
+def shortened(kinds: DataFrame) -> DataFrame:
+    """(kind, full): of each short Chinese kind the one kind, written more, whose first and last characters it
+    shares and whose characters it leaves out in part."""
+    ends = lambda c: F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    kinds = kinds.filter(F.col("kind").rlike("^[㐀-鿿]+$"))
+    a = kinds.select("kind", "n", ends("kind").alias("ends")).filter(F.length("kind").between(3, 6))
+    b = kinds.select(F.col("kind").alias("full"), F.col("n").alias("m"), ends("kind").alias("ends"))
+    fit = a.join(b, "ends").filter("length(full) > length(kind) + 1 and m > 2 * n").filter(_shortens_udf("kind", "full"))
+    return fit.groupBy("kind").agg(F.min("full").alias("low"), F.max("full").alias("high")).filter("low = high").select("kind", F.col("low").alias("full"))
+
+
 def _places(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Learned places: (token, place, above) of counties by their two characters, and folded Latin words."""
     spelled = cleaned.select(F.regexp_extract("name", "^([㐀-鿿]{2}市)([㐀-鿿]{2}[市区县])[㐀-鿿]{2}", 1).alias("above"), F.regexp_extract("name", "^([㐀-鿿]{2}市)([㐀-鿿]{2}[市区县])[㐀-鿿]{2}", 2).alias("place")).filter("place != ''")
@@ -286,6 +316,9 @@ def bodies(rows: DataFrame, id_col: str = "name_id", name_col: str = "issuer", r
     kinds = kinds.filter(F.length("kind") > 1)
     right = corrected(settle(kinds))
     fixed = parted.join(right, "kind", "left").withColumn("kind", F.coalesce("right", "kind")).drop("right")
+    errors = right.select("kind")
+    attested = settle(kinds.join(errors, "kind", "left_anti"))
+    fixed = fixed.join(shortened(attested), "kind", "left").withColumn("kind", F.coalesce("full", "kind")).drop("full")
     # initials stand for the kind of several words that has them, if one has
     initials = kinds.filter(F.col("kind").contains(" ") & ~F.col("kind").startswith("firm ")).select(F.col("kind").alias("full"), "n", F.array_join(F.transform(F.filter(F.split("kind", " "), lambda w: w != "of"), lambda w: F.substring(w, 1, 1)), "").alias("kind")).filter(F.length("kind") > 2)
     initials = initials.groupBy("kind").agg(F.max_by("full", F.struct("n", "full")).alias("full"))
