@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeforge.llm.folding import folded
-from noticeforge.llm.notice_text import call_of, code_of, core_of, kind_of, lot_of, plain_title
+from noticeforge.llm.notice_text import CODE, call_of, core_of, kind_of, lot_of, plain_title
 from noticeforge.session import settle
 
 #: Characters under the rolling hash, and the bits that are zero at a cut: chunks of 8 characters on average.
@@ -88,60 +88,67 @@ def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(np.split(hashes[new], stops), np.split(weight[new], stops)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("part", T.StringType()), T.StructField("core", T.StringType()), T.StructField("chunks", CHUNKS)]))
-def _read_udf(title: pd.Series, notice_type: pd.Series, code: pd.Series, text: pd.Series, summary: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(T.StructType([T.StructField("part", T.StringType()), T.StructField("core", T.StringType()), T.StructField("chunks", CHUNKS)]))
+def _read_udf(title: pd.Series, notice_type: pd.Series, text: pd.Series) -> pd.DataFrame:
     plain = [plain_title(t) for t in title]
     cores = [core_of(t) for t in plain]
-    cut = chunks_of([x or "" for x in text])
+    cut = chunks_of(text.tolist())
     heads = chunks_of(cores)
     return pd.DataFrame({
-        "code": [code_of(c, x, s) for c, x, s in zip(code, text, summary)],
         "part": [f"{kind_of(k, t, x)}|{call_of(t)}|{lot_of(t)}" for k, t, x in zip(notice_type, plain, text)],
         "core": cores,
         "chunks": [{"hash": np.concatenate([h, hh]), "bytes": np.concatenate([b, bb])} for (h, b), (hh, bb) in zip(cut, heads)],
     })
 
 
-def _key(column: str):
-    """A hash key as bytes of one notation, null where it stands for nothing."""
+def _key(column: str) -> Column:
+    """A hash key as a number, whatever its notation; null where it stands for nothing."""
     text = F.lower(F.regexp_replace(F.col(column), r"(?U)\s+", ""))
     return F.when(F.length(text) >= 8, F.xxhash64(F.lit(column), text))
 
 
-def read_records(items: DataFrame) -> DataFrame:
-    """(item_id, part, code, title_key, keys, hash, bytes) of notice items: their signature's parts and chunks."""
-    read = items.filter(F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item_id"),
-        F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.xxhash64(F.lit("page"), "detail_page_url"))).alias("keys"),
-        _read_udf("title", "notice_type", "project_code", "content_text", "summary").alias("r"),
-    )
-    return read.select("item_id", "keys", "r.part", "r.code", F.xxhash64("r.core").alias("title_key"), F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes"))
+def _code() -> Column:
+    """The project code of the first column that has one."""
+    found = [F.regexp_extract(c, CODE, 0) for c in ("project_code", "content_text", "summary")]
+    return F.regexp_replace(F.coalesce(*(F.nullif(x, F.lit("")) for x in found)), r"\s+", "")
 
 
-def _said(records: DataFrame) -> DataFrame:
+def _slim(items: DataFrame) -> DataFrame:
+    """(item_id, code, keys) of notice items, read without their texts where they name their project. The last
+    of the keys is the title's."""
+    keys = F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.xxhash64(F.lit("page"), "detail_page_url"), F.xxhash64(F.lit("title"), F.lower(F.regexp_replace("title", r"(?U)[\s\p{Cf}]+", "")))))
+    return items.filter(F.col("item_id").isNotNull()).withColumn("item_id", F.col("item_id").cast("long")).withColumn("code", _code()).withColumn("keys", keys)
+
+
+def _said(slim: DataFrame) -> DataFrame:
     """(key, code) of records that name their project."""
-    return records.filter(F.col("code").isNotNull()).select(F.explode(F.concat("keys", F.array("title_key"))).alias("key"), "code")
+    return slim.filter(F.col("code").isNotNull()).select(F.explode("keys").alias("key"), "code")
 
 
-def with_signature(records: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """Adds `signature`: project, lot, call and kind as one number. Only records without a code are joined.
-    codes: (key, code) of records accepted before."""
-    lacking = records.filter(F.col("code").isNull())
-    # keys of records without a code are looked up; a key that has records of several projects says nothing
-    asked = lacking.select("item_id", F.explode(F.concat("keys", F.array("title_key"))).alias("key"))
-    said = _said(records) if codes is None else _said(records).unionByName(codes)
+def read_records(items: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """(item_id, code, keys, said, signature, hash, bytes, total) of notice items. Only records without a
+    code are looked up by their keys, among these records and `codes`, (key, code) of those accepted before; a
+    key that has records of several projects says nothing."""
+    slim = _slim(items)
+    lacking = slim.filter(F.col("code").isNull()).select("item_id", "keys")
+    asked = lacking.select("item_id", F.explode("keys").alias("key"))
+    said = _said(slim) if codes is None else _said(slim).unionByName(codes)
     said = said.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low = high")
     answers = asked.join(said, "key").groupBy("item_id").agg(F.min("low").alias("low"), F.max("low").alias("high")).filter("low = high").select("item_id", F.col("low").alias("found"))
-    lacking = lacking.join(answers, "item_id", "left").withColumn("code", F.col("found")).drop("found")
-    both = records.filter(F.col("code").isNotNull()).unionByName(lacking)
-    return both.withColumn("signature", F.xxhash64(F.coalesce("code", F.concat(F.lit("title:"), F.col("title_key").cast("string"))), "part"))
+    fields = ["item_id", "code", "keys", "title", "notice_type", "content_text"]
+    known = slim.filter(F.col("code").isNotNull()).select(*fields)
+    looked_up = slim.filter(F.col("code").isNull()).select(*fields).join(answers, "item_id", "left").withColumn("code", F.col("found")).drop("found")
+    read = known.unionByName(looked_up).withColumn("r", _read_udf("title", "notice_type", "content_text"))
+    project = F.coalesce("code", F.concat(F.lit("title:"), F.col("r.core")))
+    records = read.select("item_id", "code", "keys", F.xxhash64(project, "r.part").alias("signature"), F.slice("keys", 1, F.size("keys") - 1).alias("said"), F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes"))
+    return records.withColumn("total", F.aggregate("bytes", F.lit(0), lambda a, x: a + x))
 
 
 def _chunk_rows(records: DataFrame) -> DataFrame:
     """(k, item_id, bytes): texts' chunks and, with null bytes, keys that stand for all. k is a chunk under
     a signature, as one number: at 10^12 chunks two in a hundred million meet by chance, and cover some bytes."""
     text = F.transform(F.arrays_zip("hash", "bytes"), lambda x: F.struct(x["hash"].alias("chunk"), x["bytes"].alias("bytes")))
-    keys = F.transform("keys", lambda k: F.struct(k.alias("chunk"), F.lit(None).cast("int").alias("bytes")))
+    keys = F.transform("said", lambda k: F.struct(k.alias("chunk"), F.lit(None).cast("int").alias("bytes")))
     rows = records.select("signature", "item_id", F.explode(F.concat(text, keys)).alias("c"))
     return rows.select(F.xxhash64("signature", "c.chunk").alias("k"), "item_id", "c.bytes")
 
@@ -154,27 +161,21 @@ def _covered(rows: DataFrame, table: DataFrame, totals: DataFrame, coverage: flo
     return share.join(totals, "item_id").filter(F.col("by_key") | (F.col("shared") >= coverage * F.col("least"))).select("item_id")
 
 
-def _total():
-    return F.aggregate("bytes", F.lit(0), lambda a, x: a + x)
-
-
 def repeated(items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(kept_item_id, item_id) of all records that repeat an earlier one, as loading batch after batch gives."""
-    records = settle(with_signature(read_records(items)).withColumn("total", _total()).dropDuplicates(["item_id"]))
+    records = settle(read_records(items))
     # a signature of one record has nothing to share; so the exact check goes first
     kept = records.groupBy("signature").agg(F.min("item_id").alias("kept_item_id"), F.max("item_id").alias("last"), F.min_by("total", "item_id").alias("first_total")).filter("kept_item_id < last").drop("last")
     shared = settle(records.join(kept, "signature").withColumn("same", F.xxhash64("signature", "hash")))
     # copies: equal chunks under one signature. The first stands for them; the others repeat it
-    groups = shared.groupBy("same").agg(F.min("item_id").alias("copied"), F.max("item_id").alias("last"))
-    marked = shared.join(groups, "same")
-    copies = marked.filter("copied < item_id").select("kept_item_id", "item_id")
-    folded = marked.filter("copied = item_id")
+    # copies, and records of one id, go no further
+    folded = shared.groupBy("same").agg(F.min_by(F.struct("item_id", "kept_item_id", "signature", "said", "hash", "bytes", F.least("total", "first_total").alias("least")), "item_id").alias("r")).select("same", "r.*")
+    copies = shared.select("same", "kept_item_id", "item_id").join(folded.select("same", F.col("item_id").alias("copied")), "same").filter("copied < item_id").select("kept_item_id", "item_id")
     rows = _chunk_rows(folded)
     # a chunk that one record carries can't be shared
     table = rows.groupBy("k").agg(F.min("item_id").alias("first"), F.max("item_id").alias("last")).filter("first < last").select("k", "first")
-    totals = folded.select("item_id", F.least("total", "first_total").alias("least"))
-    repeats = folded.select("kept_item_id", "item_id").join(_covered(rows, table, totals, coverage), "item_id", "left_semi")
-    return repeats.unionByName(copies).filter("kept_item_id < item_id")
+    repeats = folded.select("kept_item_id", "item_id").join(_covered(rows, table, folded.select("item_id", "least"), coverage), "item_id", "left_semi")
+    return repeats.unionByName(copies).filter("kept_item_id < item_id").distinct()
 
 
 class AcceptedHistory:
@@ -202,7 +203,7 @@ class AcceptedHistory:
         codes = self._table("codes", "key long, code string", batch_no)
         chunks = self._table("chunks", "k long, first long", batch_no)
         notices = self._table("notices", "signature long, kept_item_id long, first_total int", batch_no)
-        records = settle(with_signature(read_records(batch), codes).withColumn("total", _total()).dropDuplicates(["item_id"]))
+        records = settle(read_records(batch, codes).dropDuplicates(["item_id"]))
         rows = _chunk_rows(records)
         mine = rows.groupBy("k").agg(F.min("item_id").alias("first"))
         table = chunks.join(mine.select("k"), "k", "left_semi").unionByName(mine).groupBy("k").agg(F.min("first").alias("first"))

@@ -7,7 +7,8 @@ import re
 from noticeforge.llm.lookalikes import canonical
 
 # Words and patterns of the platforms' titles and texts.
-_CODE = re.compile(r"([A-Z]{2})\s*(\d{4})\s*-\s*([A-Z]\d{8})")
+CODE = r"[A-Z]{2}\s*\d{4}\s*-\s*[A-Z]\d{8}"
+_CODE = re.compile(CODE)
 _CHANGE = re.compile(r"更正|变更|澄清|corrigendum|notice of change", re.I)
 _RESULT = re.compile(r"中标|成交|结果|候选|award", re.I)
 _CHANGE_TEXT = re.compile(r"现作如下更正|of the documents is replaced", re.I)
@@ -39,7 +40,7 @@ def code_of(*texts: str | None) -> str | None:
     """The first project code in the texts."""
     for text in texts:
         if text and (m := _CODE.search(text)):
-            return f"{m[1]}{m[2]}-{m[3]}"
+            return _BLANK.sub("", m[0])
     return None
 
 
