@@ -1,4 +1,8 @@
 """All queries of the plans, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from noticeforge.plans import extraction, sqlbook
+
+QUERIES: dict = sqlbook.QUERIES | extraction.QUERIES
+ORACLES: dict = sqlbook.ORACLES | extraction.ORACLES
