@@ -7,7 +7,7 @@ that spell them out; the rest is what is left. Kinds that differ by what people
 Typing errors are found by metric-space partitioning. The distinct kinds are assigned to the nearest of some
 pivots; a kind is replicated to every pivot that is less than 2 * `RADIUS` farther, so by the triangle
 inequality any two kinds within the radius meet in a cell; each cell is joined exactly under the Levenshtein
-distance. Of a pair of one edit or one transposition, the kind that is written much more seldom is an error
+distance (`RADIUS` 2 holds a transposition). Of a pair of one edit or one transposition, the kind that is written much more seldom is an error
 for the other. Numbers and brands aren't part of a kind, so differently numbered bodies and different firms
 stay apart, whatever their distance.
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from noticeforge.llm.lookalikes import canonical
 from noticeforge.llm.notice_text import han_number
-from noticeforge.session import settle
+from noticeforge.session import settle, skewless
 
 RADIUS = 2
 #: A kind written less than this share as often as its neighbour is an error for it.
@@ -38,7 +38,7 @@ SELDOM = 0.5
 #: Kinds of so many characters, Latin or rarely written, are errors for any neighbour written no less.
 LONG_LATIN, LONG_RARE = 8, 5
 #: Kinds that a pivot stands for, and bounds on pivots.
-PER_PIVOT, PIVOTS = 1000, (4, 256)
+PER_PIVOT, PIVOTS = 100, (4, 512)
 
 # What is written around names.
 _BEFORE = re.compile(r"^(?:【[^】]*】|(?:采购人|招标人|采购单位|招标单位|建设单位|业主|单位名称)(?:名称)?\s*[:： ])+\s*")
@@ -233,9 +233,9 @@ def _join_cell(radius: int, seldom: float):
             near = (np.bitwise_count(bits[i : i + 512, None] ^ bits[None, :]) <= 2 * radius) & (np.abs(lengths[i : i + 512, None] - lengths[None, :]) <= radius) & lesser
             for a, b in zip(*np.nonzero(near)):
                 a += i
-                if levenshtein([kinds[a]], [kinds[b]])[0, 0] <= radius if len(kinds[a]) < 40 else True:
-                    if one_edit(kinds[a], kinds[b]):
-                        out.append((kinds[a], kinds[b], int(n[b]), kinds[a].translate(_SOUND) == kinds[b].translate(_SOUND)))
+                # one edit or transposition is within the radius; of others within it only these are errors
+                if one_edit(kinds[a], kinds[b]):
+                    out.append((kinds[a], kinds[b], int(n[b]), kinds[a].translate(_SOUND) == kinds[b].translate(_SOUND)))
         return pd.DataFrame(out, columns=["kind", "right", "n", "alike"])
 
     return pairs
@@ -254,7 +254,8 @@ def corrected(kinds: DataFrame, radius: int = RADIUS, seldom: float = SELDOM) ->
     if not pivots:
         return kinds.select("kind", F.col("kind").alias("right")).limit(0)
     cells = kinds.mapInPandas(_assign(pivots, radius), "cell int, kind string, n long")
-    pairs = cells.groupBy("cell").applyInPandas(_join_cell(radius, seldom), "kind string, right string, n long, alike boolean")
+    # cells are few and small in bytes but long in work: as many partitions as the session has, not as few as hold them
+    pairs = cells.repartition(skewless(kinds.sparkSession), "cell").groupBy("cell").applyInPandas(_join_cell(radius, seldom), "kind string, right string, n long, alike boolean")
     step = settle(pairs.groupBy("kind").agg(F.max_by("right", F.struct("alike", "n", "right")).alias("right")))
     # an error for an error: each step leads to a kind written more, so steps end; doubling them takes few rounds
     for _ in range(6):
