@@ -61,8 +61,10 @@ _SOUND = str.maketrans("晓苑思玉衣党途搏线工际萎镜居荣煤元急
 _WORDS = {"sch": "school", "gen": "general", "mun": "municipal", "auth": "authority", "comm": "commission", "util": "utility", "mgmt": "management", "proc": "procurement", "eng": "engineering", "dept": "department", "dist": "district", "svc": "service"}
 _ENGLISH = {"transit": "transit agency", "schools": "school district", "city library": "municipal library service", "roads department": "department of roads", "energy coop": "energy cooperative", "energy co op": "energy cooperative", "water board": "water utility board", "general hospital": "general hospital trust"}
 
+#: Kinds known by their names: never errors themselves.
+_KNOWN = set(_ALIASES.values()) | set(_ENGLISH.values()) | {f"firm {t}" for t in _TRADES.values()}
+
 _HAN = re.compile("[㐀-鿿]")
-_PLACE = re.compile(r"^([㐀-鿿]{2}市)([㐀-鿿]{2}[市区县])(?=[㐀-鿿]{2})")
 _NUMBER = re.compile(r"第*([一二三四五六七八九十]+|\d+)")
 _SEPARATOR = re.compile(r"[\s(（)）\-—·,，]+")
 
@@ -142,7 +144,9 @@ def han_parts(name: str, place: str | None, above: str | None) -> tuple[str, str
             n = han_number("".join(c for i, c in enumerate(said) if i == 0 or c != said[i - 1])) or 0
         number = str(n)
         rest = (rest[: m.start()] + "N" + rest[m.end() :]).replace("第", "")
-    return _ALIASES.get(rest, rest), number, ""
+    rest = _ALIASES.get(rest, rest)
+    alike = rest.translate(_SOUND)
+    return alike if rest not in _KNOWN and alike in _KNOWN else rest, number, ""
 
 
 def english_parts(name: str, place: str | None) -> tuple[str, str, str]:
@@ -226,10 +230,12 @@ def _join_cell(radius: int, seldom: float):
         rank = np.empty(len(kinds), np.int64)
         rank[np.lexsort((kinds, n))] = np.arange(len(kinds))
         free = np.array([k.isascii() and len(k) >= LONG_LATIN or len(k) >= LONG_RARE and m <= 2 for k, m in zip(kinds, n)])
+        mistaken = np.array([k not in _KNOWN for k in kinds])
         out = []
         for i in range(0, len(kinds), 512):
             j = slice(i, i + 512)
             lesser = (n[j, None] < seldom * n[None, :]) | (free[j, None] & free[None, :] & (rank[j, None] < rank[None, :]))
+            lesser &= mistaken[j, None]
             near = (np.bitwise_count(bits[i : i + 512, None] ^ bits[None, :]) <= 2 * radius) & (np.abs(lengths[i : i + 512, None] - lengths[None, :]) <= radius) & lesser
             for a, b in zip(*np.nonzero(near)):
                 a += i
