@@ -300,8 +300,9 @@ def _places(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = spelled.groupBy("above", "place").agg(F.count("*").alias("n")).join(by_region, "above", "left")
     # of the counties of two characters the one spelled most; what is spelled far less than the usual is no place
     best = pairs.groupBy(F.substring("place", 1, 2).alias("token")).agg(F.max_by(F.struct("place", "above"), F.struct("n", "place")).alias("p"), F.sum("n").alias("n"))
-    usual = best.agg(F.avg("n").alias("usual"))
-    han = best.crossJoin(F.broadcast(usual)).filter("n >= 0.05 * usual").select("token", "p.place", "p.above")  # usual: one row
+    best = settle(best)
+    usual = best.agg(F.avg("n")).first()[0] or 0.0
+    han = best.filter(F.col("n") >= 0.05 * usual).select("token", "p.place", "p.above")
     latin = cleaned.filter(~F.col("name").rlike("[㐀-鿿]")).select(F.explode(F.array_compact(F.array("region", F.regexp_extract("name", r"^(?i:Mun\.? of) ([^\s,]+),", 1)))).alias("place")).filter("place != '' and place not like '% %'").distinct()
     return han, latin
 
