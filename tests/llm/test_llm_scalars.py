@@ -69,7 +69,8 @@ def test_chunks_survive_edits():
     (a, wa), (b, _), (c, _) = history_dedup.chunks_of([text, other, None])
     assert len(c) == 0 and wa.sum() >= 0.99 * 3 * 3000
     assert wa[np.isin(a, b)].sum() / wa.sum() > 0.95
-    assert len(np.intersect1d(a, history_dedup.chunks_of([text[::-1]])[0][0])) == 0
+    # another text shares only what chunks of a few characters share by chance
+    assert wa[np.isin(a, history_dedup.chunks_of([text[::-1]])[0][0])].sum() < 0.02 * wa.sum()
     # marks, width and case don't count; a batch gives what single texts give
     assert (history_dedup.chunks_of(["Ａb，c" * 40])[0][0] == history_dedup.chunks_of(["ab c" * 40])[0][0]).all()
     assert all((x == y).all() for x, y in zip(history_dedup.chunks_of([text, "", other])[2], history_dedup.chunks_of([other])[0]))
