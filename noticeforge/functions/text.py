@@ -29,7 +29,12 @@ def plain_text(value: str | None, lower: bool = False) -> str | None:
 def compact_title(value: str | None) -> str | None:
     """plain_text in lower case, marks in ASCII, no blanks."""
     text = plain_text(value, lower=True)
-    return re.sub(r"\s+", "", text.translate(_WIDE_MARKS)) if text else None
+    while text:  # a mark that loses the blank before it may join the letter before that
+        shorter = unicodedata.normalize("NFKC", re.sub(r"\s+", "", text.translate(_WIDE_MARKS))).lower()
+        if shorter == text:
+            return text
+        text = shorter
+    return None
 
 
 def subject_title(value: str | None) -> str | None:
