@@ -99,6 +99,18 @@ def budget_bucket(column: str) -> Column:
     return (F.round(number / 1000).cast("decimal(24,0)") * 1000).cast("string")
 
 
+def typed_amount(column: str) -> Column:
+    """The first amount of a text as decimal(18,2), in any width; 万, 亿, k and m count, marks of thousands don't."""
+    x = F.lower(F.regexp_replace(F.translate(F.col(column), "０１２３４５６７８９．，－　", "0123456789.,- "), r"(?U)[\s\p{Cf}]+", ""))
+    number = F.regexp_extract(x, r"-?\d[\d.,]*", 0)
+    digits = F.regexp_replace(number, r"[.,]+$", "")
+    points = digits.rlike(r"^-?\d{1,3}(\.\d{3})+,\d{1,2}$") | digits.rlike(r"^-?\d{1,3}(\.\d{3}){2,}$") | (digits.rlike(r"^-?\d{1,3}(\.\d{3})+$") & x.rlike("eur|€"))
+    comma = points | digits.rlike(r"^-?\d+,\d{1,2}$")
+    plain = F.when(comma, F.translate(digits, ",.", ".")).otherwise(F.translate(digits, ",", ""))
+    unit = F.when(x.contains("亿"), 100_000_000).when(x.contains("万"), 10_000).when(x.rlike(r"\dk\b"), 1_000).when(x.rlike(r"\d(m|mn|million)\b"), 1_000_000).otherwise(1)
+    return (plain.try_cast("decimal(24,6)") * unit).try_cast("decimal(18,2)")
+
+
 def k_v_map(column: str) -> Column:
     """'a=1; b=2' as a map; of equal keys the later counts."""
     entries = F.filter(F.transform(F.split(column, ";"), lambda e: F.struct(F.trim(F.split(e, "=", 2)[0]).alias("k"), F.trim(F.get(F.split(e, "=", 2), F.lit(1))).alias("v"))), lambda e: e["v"].isNotNull() & (e["k"] != ""))

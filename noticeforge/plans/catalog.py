@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeforge.plans import extraction, sqlbook
+from noticeforge.plans import extraction, sqlbook, typed
 
-QUERIES: dict = sqlbook.QUERIES | extraction.QUERIES
+QUERIES: dict = sqlbook.QUERIES | extraction.QUERIES | typed.QUERIES
 ORACLES: dict = sqlbook.ORACLES | extraction.ORACLES

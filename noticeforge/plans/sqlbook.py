@@ -144,17 +144,17 @@ def _used(text: str) -> list[str]:
     return [r for r in RELATIONS if re.search(rf"\b{r}\b", text)]
 
 
-def run(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    """Runs a text of the book over the tables in a folder."""
-    frames = {}
-    for relation in _used(text):
+def run(spark: SparkSession, sf: str, text: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Runs a text of the book over the tables in a folder; relations that are given aren't made."""
+    frames, made = dict(given or {}), [r for r in _used(text) if r not in (given or {})]
+    for relation in made:
         for name in SOURCES[relation]:
             frames[name] = table(spark, sf, name)
     for name in TABLES:
         if name not in frames and re.search(rf"\b{name}\b", text):
             frames[name] = table(spark, sf, name)
     # relations and tables go in as named arguments, so nothing is registered in the session
-    for relation in _used(text):
+    for relation in made:
         frames[relation] = spark.sql(re.sub(r"\b(" + "|".join(SOURCES[relation]) + r")\b(?=[ )]|$)", r"{\1}", RELATIONS[relation].replace("{", "{{").replace("}", "}}")), **{n: frames[n] for n in SOURCES[relation]})
     names = sorted(frames, key=len, reverse=True)
     escaped = text.replace("{", "{{").replace("}", "}}")
