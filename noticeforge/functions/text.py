@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from decimal import Decimal
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -94,9 +95,10 @@ def seed_hash(*parts: Column) -> Column:
 
 def budget_bucket(column: str) -> Column:
     """An amount in yuan rounded half up to whole thousands, as text; 万 counts ten thousand."""
-    text = F.regexp_replace(F.translate(F.col(column), "０１２３４５６７８９．，", "0123456789.,"), ",", "")
-    number = F.regexp_extract(text, r"-?\d+(\.\d+)?", 0).try_cast("decimal(24,4)") * F.when(text.contains("万"), 10_000).otherwise(1)
-    return (F.round(number / 1000).cast("decimal(24,0)") * 1000).cast("string")
+    text = F.regexp_replace(F.translate(F.col(column), "０１２３４５６７８９．，－", "0123456789.,-"), ",", "")
+    # thousands by exact factors, so that nothing but the last step rounds
+    thousands = F.regexp_extract(text, r"-?\d+(\.\d+)?", 0).try_cast("decimal(28,8)") * F.when(text.contains("万"), Decimal("10")).otherwise(Decimal("0.001"))
+    return (F.round(thousands).cast("decimal(24,0)") * 1000).cast("string")
 
 
 def typed_amount(column: str) -> Column:
