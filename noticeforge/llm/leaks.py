@@ -2,21 +2,22 @@
 
 Spaced seeds: fixed masks over token positions, of which only some count, are hashed at every position of the
 evaluation items and of the documents, so a hit survives exchanged tokens at the ignored positions. Each hit
-names an item and a diagonal; along it the two token rows are compared and the best run is taken, a token that
-agrees counting 1 and one that doesn't `-EXCHANGE`. A run of `MIN_CHARS` characters or `MIN_WORDS` words leaks.
+names an item and a diagonal; along it the two token rows are compared and the best run is taken, then the best
+of what it leaves and so on, a token that agrees counting 1 and one that doesn't `-EXCHANGE`. A run of `MIN_CHARS`
+characters or `MIN_WORDS` words leaks.
 
 Tokens are letters and digits without width, case and accents, characters for one row and words for another; so
 punctuation, spacing and width don't matter. Chinese items are looked up by characters, others by words.
 
 Standard clauses are told by the corpus itself: positions of an item that runs in more than `CLAUSE_SHARE` of
-all documents (and more than `CLAUSE_LEAST`) cover belong to a clause, and what is left of a run without them
-must still be long enough. The counts are over all documents.
+all documents (and more than `CLAUSE_LEAST`) cover belong to a clause, and what is left of each run without
+them must still be long enough. The counts are over all documents.
 
 The evaluation items are a stated query set: they are taken in blocks of at most `BLOCK_SEEDS` seeds, and a
 block's table is sent to the tasks. More items make more blocks, not a larger table.
 
 Defined results: null and empty texts leak nothing; items shorter than the least run can't leak; each
-(document, item) is one row, from its longest run.
+(document, item) is one row, from its run with the longest remainder.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ class _Block:
         self.filter[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def runs(self, tokens: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, first, end) of the longest run of each pair; documents begin at starts in tokens."""
+        """(document, item, first, end) of the runs of each pair; documents begin at starts in tokens."""
         parts, mixed = [], _mix(tokens)
         for mask in self.masks:
             h = seeds(mixed, mask)
@@ -140,18 +141,16 @@ class _Block:
             j = slice(i, i + step)
             at = shift[j, None] + np.arange(self.padded.shape[1])[None, :]
             inside = (at >= lo[j, None]) & (at < hi[j, None])
-            first, end = best_runs((tokens[np.clip(at, 0, len(tokens) - 1)] == self.padded[k[j]]) & inside)
-            long = end - first >= self.least
-            out.append(np.stack([d[j][long], self.ids[k[j][long]], first[long], end[long]]))
-        if not out:
-            return []
-        d, ids, first, end = np.concatenate(out, axis=1)
-        # positions are those in the item; of an item in a document the longest run, then the first
-        order = np.lexsort((first, first - end, ids, d))
-        d, ids, first, end = d[order], ids[order], first[order], end[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (ids[1:] != ids[:-1])
-        return list(zip(d[new].tolist(), ids[new].tolist(), first[new].tolist(), end[new].tolist()))
+            equal, rows = (tokens[np.clip(at, 0, len(tokens) - 1)] == self.padded[k[j]]) & inside, np.arange(i, min(i + step, len(k)))
+            while len(rows):  # what one run leaves of its diagonal may hold another
+                first, end = best_runs(equal)
+                long = end - first >= self.least
+                rows, first, end, equal = rows[long], first[long], end[long], equal[long]
+                out.append(np.stack([d[rows], self.ids[k[rows]], first, end]))
+                place = np.arange(equal.shape[1])[None, :]
+                equal &= (place < first[:, None]) | (place >= end[:, None])
+        # positions are those in the item
+        return list(map(tuple, np.unique(np.concatenate(out, axis=1), axis=1).T.tolist())) if out else []
 
 
 def item_blocks(items: list[tuple[int, str]], block_seeds: int = BLOCK_SEEDS) -> list[tuple[list, list]]:
@@ -187,7 +186,7 @@ def _run_rows(chars: list, words: list):
 
 
 def runs(documents: DataFrame, items: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
-    """(doc_id, item_id, first, last, words): the longest run of an item in each document, clauses included."""
+    """(doc_id, item_id, first, last, words): the runs of items in each document, clauses included."""
     listed = [(r.item_id, r.text) for r in items.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id").toLocalIterator()]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     result = None
@@ -199,14 +198,15 @@ def runs(documents: DataFrame, items: DataFrame, block_seeds: int = BLOCK_SEEDS)
 
 def leaks(documents: DataFrame, items: DataFrame, clause_share: float = CLAUSE_SHARE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, item_id, length, words) of the runs that are long enough without standard clauses."""
-    found = settle(runs(documents, items, block_seeds).groupBy("doc_id", "item_id", "words").agg(F.max(F.struct(F.col("last") - F.col("first"), "first", "last")).alias("r")).select("doc_id", "item_id", "words", "r.first", "r.last"))
+    found = settle(runs(documents, items, block_seeds).distinct())
     n = documents.count()
     limit = max(CLAUSE_LEAST, clause_share * n)
-    spans = found.groupBy("item_id", "words", "first", "last").agg(F.count("*").alias("n"))
-    clause = spans.select("item_id", "words", "n", F.explode(F.sequence("first", F.col("last") - 1)).alias("at")).groupBy("item_id", "words", "at").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
+    held = found.groupBy("doc_id", "item_id", "words").agg(F.collect_set(F.struct("first", "last")).alias("runs")).withColumn("runs", F.sort_array("runs")).groupBy("item_id", "words", "runs").agg(F.count("*").alias("n"))
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"] - 1))))
+    clause = held.select("item_id", "words", "n", F.explode(covered).alias("at")).groupBy("item_id", "words", "at").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
     clauses = clause.groupBy("item_id", "words").agg(F.collect_set("at").alias("clause"))  # positions of one item
     least = F.when(F.col("words"), MIN_WORDS).otherwise(MIN_CHARS)
-    spans = spans.join(clauses, ["item_id", "words"], "left")
+    spans = found.select("item_id", "words", "first", "last").distinct().join(clauses, ["item_id", "words"], "left")
     # the longest stretch of a span outside clauses
     longest = F.aggregate(
         F.sequence("first", F.col("last") - 1),
@@ -216,4 +216,4 @@ def leaks(documents: DataFrame, items: DataFrame, clause_share: float = CLAUSE_S
     )
     length = F.when(F.col("clause").isNull(), F.col("last") - F.col("first")).otherwise(longest)
     kept = spans.withColumn("length", length).filter(F.col("length") >= least).select("item_id", "words", "first", "last", "length")
-    return found.join(kept, ["item_id", "words", "first", "last"]).select("doc_id", "item_id", "length", "words")
+    return found.join(kept, ["item_id", "words", "first", "last"]).groupBy("doc_id", "item_id", "words").agg(F.max("length").alias("length")).select("doc_id", "item_id", "length", "words")
