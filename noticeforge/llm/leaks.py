@@ -9,9 +9,11 @@ characters or `MIN_WORDS` words leaks.
 Tokens are letters and digits without width, case and accents, characters for one row and words for another; so
 punctuation, spacing and width don't matter. Chinese items are looked up by characters, others by words.
 
-Standard clauses are told by the corpus itself: positions of an item that runs in more than `CLAUSE_SHARE` of
-all documents (and more than `CLAUSE_LEAST`) cover belong to a clause, and what is left of each run without
-them must still be long enough. The counts are over all documents.
+Standard clauses are told by the corpus itself: a stretch of an item with the same bounds, give or take
+`CLAUSE_EDGE` tokens, in more than `CLAUSE_SHARE` of all texts (and more than `CLAUSE_LEAST`) that don't hold the
+item's other text. What is left of each run without clauses must still be long enough. Copies are one text, so
+neither a copied leak nor one of whole items is taken for a clause. Only documents that are nothing but the stretch
+count each: they hold no text of their own that could be a copy.
 
 The evaluation items are a stated query set: they are taken in blocks of at most `BLOCK_SEEDS` seeds, and a
 block's table is sent to the tasks. More items make more blocks, not a larger table.
@@ -22,8 +24,10 @@ Defined results: null and empty texts leak nothing; items shorter than the least
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,9 @@ from noticeforge.llm.folding import codes_of, folded
 from noticeforge.session import settle
 
 MIN_CHARS, MIN_WORDS, EXCHANGE = 30, 12, 2.5
-CLAUSE_SHARE, CLAUSE_LEAST = 0.005, 3
+CLAUSE_SHARE, CLAUSE_LEAST, CLAUSE_EDGE = 0.005, 3, 3
+#: Text beside a stretch counts if it has at least the least run divided by this.
+REST = 3
 BLOCK_SEEDS = 1 << 20
 #: Masks: positions that count. Characters and words.
 CHAR_MASKS = ("1110110101", "11010010111", "101100110011")
@@ -44,7 +50,7 @@ _WORDS = re.compile("[^\\W_㐀-鿿]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = re.compile("[\u0300-\u036f]")
 _HAN = re.compile("[㐀-鿿]")
-RUNS = "doc_id long, item_id long, first int, last int, words boolean"
+RUNS = "doc_id long, item_id long, first int, last int, words boolean, whole int, copy string"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,8 +119,8 @@ class _Block:
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def runs(self, tokens: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, first, end) of the runs of each pair; documents begin at starts in tokens."""
+    def runs(self, tokens: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, first, end, item's size) of the runs of each pair; documents begin at starts in tokens."""
         parts, mixed = [], _mix(tokens)
         for mask in self.masks:
             h = seeds(mixed, mask)
@@ -146,7 +152,7 @@ class _Block:
                 first, end = best_runs(equal)
                 long = end - first >= self.least
                 rows, first, end, equal = rows[long], first[long], end[long], equal[long]
-                out.append(np.stack([d[rows], self.ids[k[rows]], first, end]))
+                out.append(np.stack([d[rows], self.ids[k[rows]], first, end, self.sizes[k[rows]]]))
                 place = np.arange(equal.shape[1])[None, :]
                 equal &= (place < first[:, None]) | (place >= end[:, None])
         # positions are those in the item
@@ -178,15 +184,19 @@ def _run_rows(chars: list, words: list):
                     continue
                 starts = np.cumsum(lengths) - lengths
                 kept = lengths > 0
-                ids = pdf["doc_id"].to_numpy()[kept]
-                out += [(ids[d], i, f, e, b.words) for d, i, f, e in b.runs(tokens, starts[kept])]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "first", "last", "words"])
+                ids, texts, sizes = pdf["doc_id"].to_numpy()[kept], pdf["text"].to_numpy()[kept], lengths[kept]
+                copies: dict[int, str] = {}
+                for d, i, f, e, whole in b.runs(tokens, starts[kept]):
+                    copy = str(ids[d]) if sizes[d] - (e - f) < b.least // REST else copies.get(d) or copies.setdefault(d, hashlib.md5(texts[d].encode("utf-8", "surrogatepass")).hexdigest())
+                    out.append((ids[d], i, f, e, b.words, whole, copy))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "first", "last", "words", "whole", "copy"])
 
     return rows
 
 
 def runs(documents: DataFrame, items: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
-    """(doc_id, item_id, first, last, words): the runs of items in each document, clauses included."""
+    """(doc_id, item_id, first, last, words, whole, copy): the runs of items in each document, clauses included; whole
+    is the item's size, and copy is equal for documents of the same text."""
     listed = [(r.item_id, r.text) for r in items.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id").toLocalIterator()]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     result = None
@@ -196,16 +206,38 @@ def runs(documents: DataFrame, items: DataFrame, block_seeds: int = BLOCK_SEEDS)
     return result
 
 
+def clause_positions(spans: list[tuple[int, int, int]], limit: float) -> set[int]:
+    """Positions of an item in its clauses. spans: first, end, and number of texts with that run and no other text of the item."""
+    count: Counter = Counter()
+    out: set[int] = set()
+    for f, e, n in spans:
+        count[f, e] += n
+    for f, e in count:
+        near = [(a, b, count[a, b]) for a in range(f - CLAUSE_EDGE, f + CLAUSE_EDGE + 1) for b in range(e - CLAUSE_EDGE, e + CLAUSE_EDGE + 1) if (a, b) in count]
+        if sum(n for *_, n in near) > limit:
+            # of the stretch what is in more texts than the limit
+            out.update(at for at in range(f - CLAUSE_EDGE, e + CLAUSE_EDGE) if sum(n for a, b, n in near if a <= at < b) > limit)
+    return out
+
+
+def _clauses(limit: float):
+    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        clause = clause_positions(list(zip(pdf["first"].tolist(), pdf["last"].tolist(), pdf["n"].tolist())), limit)
+        return pd.DataFrame({"item_id": [key[0]], "words": [key[1]], "clause": [sorted(clause)]})
+
+    return rows
+
+
 def leaks(documents: DataFrame, items: DataFrame, clause_share: float = CLAUSE_SHARE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, item_id, length, words) of the runs that are long enough without standard clauses."""
     found = settle(runs(documents, items, block_seeds).distinct())
-    n = documents.count()
-    limit = max(CLAUSE_LEAST, clause_share * n)
-    held = found.groupBy("doc_id", "item_id", "words").agg(F.collect_set(F.struct("first", "last")).alias("runs")).withColumn("runs", F.sort_array("runs")).groupBy("item_id", "words", "runs").agg(F.count("*").alias("n"))
-    covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"] - 1))))
-    clause = held.select("item_id", "words", "n", F.explode(covered).alias("at")).groupBy("item_id", "words", "at").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
-    clauses = clause.groupBy("item_id", "words").agg(F.collect_set("at").alias("clause"))  # positions of one item
+    limit = max(CLAUSE_LEAST, clause_share * documents.agg(F.countDistinct(F.xxhash64("text"))).first()[0])
     least = F.when(F.col("words"), MIN_WORDS).otherwise(MIN_CHARS)
+    # runs of texts that leave out some of the item's text
+    texts = found.groupBy("item_id", "words", "whole", "copy").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    held = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"] - 1)))))
+    alone = texts.filter(F.col("whole") - held >= F.floor(least / REST)).select("item_id", "words", F.explode("runs").alias("r")).groupBy("item_id", "words", "r.first", "r.last").agg(F.count("*").alias("n"))
+    clauses = alone.groupBy("item_id", "words").applyInPandas(_clauses(limit), "item_id long, words boolean, clause array<int>")
     spans = found.select("item_id", "words", "first", "last").distinct().join(clauses, ["item_id", "words"], "left")
     # the longest stretch of a span outside clauses
     longest = F.aggregate(

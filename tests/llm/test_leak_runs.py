@@ -28,3 +28,23 @@ def test_a_clause_hides_no_shorter_leak(found):
 def test_runs_of_one_diagonal(found):
     docs = [(1, CLAUSE + OTHER[:40] + PASSAGE[:33] + "止")] + [(i, f"第{i}号文件。{CLAUSE}。{OTHER[i:]}") for i in range(2, 9)]
     assert found(docs, CLAUSE + "某" * 40 + PASSAGE[:33]) == {1: 33}
+
+
+def test_copies_and_whole_items_make_no_clause(found):
+    """A leak copied often, and an item leaked whole into several texts, stay; the clause doesn't come out."""
+    partly = "前文。" + PASSAGE[:35] + "。" + OTHER
+    docs = [(i, partly) for i in range(1, 9)] + [(i, f"第{i}号文件。{CLAUSE}。{OTHER[i:]}") for i in range(11, 19)]
+    assert found(docs, CLAUSE + PASSAGE) == {i: 35 for i in range(1, 9)}
+    docs = [(i, f"第{i}号文件。{PASSAGE}。{OTHER[i:]}") for i in range(1, 9)]
+    assert found(docs, PASSAGE) == {i: len(PASSAGE) for i in range(1, 9)}
+
+
+def test_parts_with_other_bounds_make_no_clause(found):
+    docs = [(i, f"第{i}号文件。{PASSAGE[i:]}。{OTHER[i:]}") for i in range(1, 14, 4)] + [(20, "另文。" + PASSAGE[:31] + OTHER)]
+    assert set(found(docs, PASSAGE + OTHER[::-1])) == {1, 5, 9, 20}
+
+
+def test_clause_positions():
+    assert leaks.clause_positions([(0, 44, 2), (1, 44, 2), (0, 87, 9)], 3) == set(range(87))
+    assert leaks.clause_positions([(0, 44, 2), (1, 46, 2), (44, 87, 3)], 3) == set(range(1, 44))
+    assert leaks.clause_positions([(0, 31, 2), (9, 40, 2)], 3) == set()
