@@ -5,7 +5,8 @@ again elsewhere in the page; the characters under those of at least `MIN_REPEAT`
 repeated maximal substrings. Clause structure is what sentences cover: a stretch that ends in a stop, or an
 English one that begins with a capital. A page is a case if sentences that aren't themselves repeated or made
 of links cover less than `MIN_CLAUSES` of it, and either little of it is new text or much of it is links and
-tags. So lists of goods or telephone numbers, whose lines differ in their figures, aren't cases.
+tags. How much new text is little depends on all clauses, repeated ones too: from half the page where there are
+none, as tags repeat less on a short page, down to `MAX_NEW` where they cover `BARE`. So lists of goods or telephone numbers, whose lines differ in their figures, aren't cases.
 
 The clauses are found first. Characters covered by repeats of MIN_REPEAT or more are those in a window of
 exactly MIN_REPEAT characters that occurs twice, so counting windows bounds the coverage; a page whose
@@ -29,6 +30,9 @@ from noticeforge.llm.folding import codes_of
 
 MIN_REPEAT = 4
 MIN_CLAUSES, MAX_NEW, MIN_LINKS = 0.2, 0.3, 0.4
+#: New text that a page without any clause may have, as most of it still repeats; and the share of clauses, repeated
+#: or not, from which MAX_NEW holds. Texts around a list of goods have 0.14 and more.
+MAX_NEW_BARE, BARE = 0.5, 0.05
 
 # What separates clauses, and what ends one.
 _BREAKS, _STOPS = "。！？；!?;\n#|", "。！？；"
@@ -166,7 +170,8 @@ def scores(texts: list[str | None], screen: bool = True) -> pd.DataFrame:
         covered[starts[k] : starts[k] + lengths[k]] = automaton_covered(texts[k])
     out = {"covered": covered, "clauses": sentence & ~covered, "new": ~covered & ~links, "links": links}
     out = pd.DataFrame({k: _shares(v, starts, lengths) for k, v in out.items()})
-    return out.assign(is_case=(lengths > 0) & (out["clauses"] < MIN_CLAUSES) & ((out["new"] < MAX_NEW) | (out["links"] > MIN_LINKS)))
+    max_new = MAX_NEW + (MAX_NEW_BARE - MAX_NEW) * np.maximum(0, 1 - _shares(sentence, starts, lengths) / BARE)
+    return out.assign(is_case=(lengths > 0) & (out["clauses"] < MIN_CLAUSES) & ((out["new"] < max_new) | (out["links"] > MIN_LINKS)))
 
 
 @F.pandas_udf(SCORE)
