@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeforge.plans import extraction, sqlbook, typed
+from noticeforge.plans import extraction, sqlbook, suppression, typed
 
-QUERIES: dict = sqlbook.QUERIES | extraction.QUERIES | typed.QUERIES
+QUERIES: dict = sqlbook.QUERIES | extraction.QUERIES | typed.QUERIES | suppression.QUERIES
 ORACLES: dict = sqlbook.ORACLES | extraction.ORACLES
