@@ -6,8 +6,8 @@ that spell them out; the rest is what is left. Kinds that differ by what people
 
 Typing errors are found by metric-space partitioning. The distinct kinds are assigned to the nearest of some
 pivots; a kind is replicated to every pivot that is less than 2 * `RADIUS` farther, so by the triangle
-inequality any two kinds within the radius meet in a cell; each cell is joined exactly under the Levenshtein
-distance (`RADIUS` 2 holds a transposition). Of a pair of one edit or one transposition, the kind that is written much more seldom is an error
+inequality any two kinds within the radius meet in a cell (`RADIUS` 2 holds a transposition). In a cell only pairs of one edit
+or one transposition are linked, so of two typing errors in a name none is found. Of a pair of one edit or one transposition, the kind that is written much more seldom is an error
 for the other. Numbers and brands aren't part of a kind, so differently numbered bodies and different firms
 stay apart, whatever their distance.
 
