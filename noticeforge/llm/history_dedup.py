@@ -162,7 +162,8 @@ def _covered(rows: DataFrame, table: DataFrame, totals: DataFrame, coverage: flo
 
 
 def repeated(items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(kept_item_id, item_id) of all records that repeat an earlier one, as loading batch after batch gives."""
+    """(kept_item_id, item_id) of all records that repeat an earlier one, all read at once: unlike
+    `AcceptedHistory`, chunks of repeats count too, and records without a code take those of later records as well."""
     records = settle(read_records(items))
     # a signature of one record has nothing to share; so the exact check goes first
     kept = records.groupBy("signature").agg(F.min("item_id").alias("kept_item_id"), F.max("item_id").alias("last"), F.min_by("total", "item_id").alias("first_total")).filter("kept_item_id < last").drop("last")
