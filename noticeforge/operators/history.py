@@ -10,7 +10,8 @@ A payload is a content hash, or, where it is missing, what a signature of the kn
 look without a hash belongs to the content before it if the signature agrees, else to that after it, else
 it is a content of its own. That rule doesn't depend on the shape of the tree (see `_merge`).
 
-Defined results: looks at one instant count once, with the smallest id; without an entity or an instant a
+Defined results: looks at one instant count once, as the row of the smallest id (of several of one id the one with
+a hash), never as a mixture of rows; without an entity or an instant a
 look has no place in a history and is left out; equal payloads that return later are new periods. An empty
 table has no periods.
 """
@@ -72,8 +73,10 @@ def _rounds(n: int) -> int:
 def coalesce_history(looks: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, period_no, valid_from, valid_to, first_snap_id, content_hash) of looks
     (*keys, observed_at, snap_id, content_hash, signature). valid_to is null for the period that lasts."""
-    # looks at one instant count once; this also folds repeated deliveries before anything is moved
-    looks = looks.filter(F.col("observed_at").isNotNull()).dropna(subset=keys).groupBy(*keys, "observed_at").agg(F.min("snap_id").alias("snap_id"), F.min("content_hash").alias("content_hash"), F.min("signature").alias("signature"))
+    # looks at one instant count once, as the whole row that comes first; this also folds repeated deliveries
+    # before anything is moved
+    first = F.struct("snap_id", F.col("content_hash").isNull().alias("bare"), "content_hash", "signature")
+    looks = looks.filter(F.col("observed_at").isNotNull()).dropna(subset=keys).groupBy(*keys, "observed_at").agg(F.min(first).alias("f")).select(*keys, "observed_at", "f.snap_id", "f.content_hash", "f.signature")
     spark = looks.sparkSession
     cut = settle(looks.repartitionByRange(skewless(spark), *keys, "observed_at").withColumn("pid", F.spark_partition_id()))
     index = F.row_number().over(Window.partitionBy(*keys, "pid").orderBy("observed_at")) - 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what is settled is removed once nothing refers to it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,13 +37,19 @@ def local_session(name: str = "noticeforge", cores: int | str = 8, memory: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in spark.checkpoint.dir.
-    Only where that is unset, as in tests, it is a new temporary folder."""
+    """The folder all executors share: what the cluster names in spark.checkpoint.dir. Only a session whose
+    master is local may leave it unset, as tests do; it gets a temporary folder. Anywhere else that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="noticeforge-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="noticeforge-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return named or current.get()
 
 
 def settle(df: DataFrame) -> DataFrame:

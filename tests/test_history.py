@@ -18,12 +18,10 @@ def fold(looks):
     for t, snap, h, s in looks:
         if t is None:
             continue
-        o = at.setdefault(t, [snap, h, s])
-        o[0], o[2] = min(o[0], snap), min(o[2], s)
-        o[1] = min((x for x in (o[1], h) if x), default=None)
+        at[t] = min(at.get(t, (snap, h is None, h or "", s)), (snap, h is None, h or "", s))
     periods, last, pending = [], None, False
     for t in sorted(at):
-        snap, h, s = at[t]
+        snap, _, h, s = at[t]
         if last is None:
             new = True
         elif h and last[0]:
@@ -62,6 +60,13 @@ def test_periods_end_where_the_next_begin(spark):
     assert [(r.first_snap_id, r.valid_to and r.valid_to.day) for r in got] == [(0, 3), (2, 5), (4, None)]
 
 
+def test_one_instant_is_one_whole_row(spark):
+    """Two looks at one instant aren't mixed: the first row's hash goes with its own signature."""
+    rows = [("a", T0, 2, "h1", 20), ("a", T0, 1, "h2", 10), ("a", T0 + dt.timedelta(1), 3, None, 10), ("a", T0 + dt.timedelta(2), 4, "h2", 10)]
+    got = coalesce_history(spark.createDataFrame(rows, SCHEMA), ["e"]).collect()
+    assert [(r.period_no, r.first_snap_id, r.content_hash) for r in got] == [(1, 1, "h2")]
+
+
 VERSION = "snap_id long, source_code string, observed_at timestamp, notice_external_id string, notice_dedup_hash string, content_hash string, title string, notice_type string, issuer string, region string, deadline_at string, budget_amount string, hash string, pid int"
 
 
