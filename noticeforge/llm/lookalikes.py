@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 # Letters that look like Latin ones.
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХавеѕіјкмнорстухһԁԛԝҮүӀ", "ABESIJKMHOPCTYXaвesijкмнopcтyxhdqwYyI", strict=True)) | {"в": "b", "к": "k", "м": "m", "н": "h", "т": "t"}
+_CYRILLIC |= dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃՕՍօսհոց", "ABCDEGHJKLMPRSTVWZOUouhng", strict=True))  # Cherokee and Armenian
 _GREEK_CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX", strict=True))
 _GREEK_SMALL = dict(zip("αικνορτυχγε", "aikvoptuxye", strict=True))
 _HYPHENS = "‐‑‒–−﹣"
@@ -45,11 +46,16 @@ def _invisible(c: str) -> bool:
     return unicodedata.category(c) == "Cf" or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0)
 
 
+# Characters of class 0 that the quick check answers "maybe": the second parts of composites, and Hangul jamo.
+_MAYBE = {chr(int(d[1], 16)) for o in range(0x110000) if not 0xD800 <= o < 0xE000 and len(d := unicodedata.decomposition(chr(o)).split()) == 2 and d[0][0] != "<"} | {chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+_MAYBE = {c for c in _MAYBE if c > "\x7f"}
+
+
 def _unstable(c: str) -> bool:
-    """The quick check of one character."""
+    """The quick check of one character: no, or maybe."""
     if c < "\x7f":
         return False
-    if c in _CYRILLIC or c in _GREEK_CAPITALS or c in _GREEK_SMALL or c in _HYPHENS:
+    if c in _CYRILLIC or c in _GREEK_CAPITALS or c in _GREEK_SMALL or c in _HYPHENS or c in _MAYBE:
         return True
     if _invisible(c) or (unicodedata.category(c) == "Zs") or unicodedata.combining(c):
         return True

@@ -23,6 +23,9 @@ from noticeforge.llm.lookalikes import canonical
         ("Fohabalo – LED", "Fohabalo - LED"),
         ("a b　c", "a b c"),
         ("（Α包）", "（A包）"),
+        ("\u1112\u1161\u11ab국", "한국"),
+        ("\u09c7\u09be", "\u09cb"),
+        ("ᎠᎬᏙ 2024", "DEV 2024"),
     ],
 )
 def test_disguises(value, want):
