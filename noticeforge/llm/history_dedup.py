@@ -1,26 +1,34 @@
 """New batches against all accepted notices, by content-defined chunks (problem 1).
 
-A record's text is cut where a rolling hash of its last `WINDOW` characters has its low bits zero, so an
-edit moves no cut further than the window. The persistent table maps (signature, chunk) to the first record
-that carried the chunk. A new record looks its chunks up there; the bytes of those found are totalled
-against the bytes it has, and with a share of `COVERAGE` or more it repeats an accepted notice. A dedup key
-or source key of the record is a chunk too, one that stands for the whole record.
-
-The exact check, whether two records say they are the same notice (project, lot, call and kind), is pushed
-below that total: it is part of the chunk table's key. So boilerplate that a third of all records carry
-falls apart into notices before anything is counted, and no pairs within a chunk are ever formed: of each
-chunk only the first record is kept. Exact copies are folded before chunks are moved. A record without a
-project code takes that of the records with its keys, if these all agree; otherwise its title stands in.
-
-Nothing is capped. Rounds on a history read the chunk table by key and never an old text.
-
-Defined results: a record without text is judged by title and keys; keys that are blank or stand for
-nothing count as missing; repeated ids are one record; ties go to the smallest id; other columns are
-ignored.
+A record's text is cut where a rolling hash of `WINDOW` characters is the least among its `SPAN` neighbours on
+either side. So an edit moves no cut further than these, and chunks have more than `SPAN` and at most `MOST`
+characters. The persistent table maps (chunk, part) to the first accepted record that carried the chunk, the
+project it named and its bytes; part is the lot, call and kind that the record's title states. A new record looks
+its chunks up there and among the records before it in its load; the bytes found are totalled by the record they
+lead to. A dedup key, source key, page or project code is a chunk too.
+
+A chunk that records of several projects carry under one part (what all notices say) tells nothing and is left
+out of all totals. Of what is left, the share that leads to one record is the coverage: from `ALONE` on it
+decides by itself, from `COVERAGE` on where both name the same project or share a key. The exact check follows: a
+record that names another project is none of the repeated, whatever the coverage.
+
+No pairs within a chunk are formed, as of each (chunk, part) only the first carrier is kept: a record leads to at
+most as many records as it has chunks. Chunks carried by more than one ten-thousandth of a load's rows, at most
+10,000 of them, are joined by broadcast, so no task takes all carriers of a chunk. Nothing is capped. The chunk
+table is bucketed by key: a load reads its keys and numbers, moves only the batch, and never sees an old text.
+Chunks that are known, and known to tell nothing or to be of their project, aren't appended again.
+
+Defined results: a record without text is judged by title, code and keys; keys that are blank or stand for
+nothing count as missing; repeated ids are one record; records without batch_no come first; of several records
+that fit, one of the same project wins, then the one with more shared bytes, then the smallest id; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +37,19 @@ from pyspark.sql import types as T
 
 from noticeforge.llm.folding import folded
 from noticeforge.llm.notice_text import CODE, call_of, core_of, kind_of, lot_of, plain_title
-from noticeforge.session import settle
-
-#: Characters under the rolling hash, and the bits that are zero at a cut: chunks of 8 characters on average.
-WINDOW, CUT_BITS = 3, 3
-#: Share of the bytes of the smaller text, the record's or its notice's first, that shared chunks must cover.
-COVERAGE = 0.25
+from noticeforge.session import settle, shared_dir
+
+#: Characters under the rolling hash, neighbours on either side of a cut, and the longest chunk.
+WINDOW, SPAN, MOST = 4, 6, 64
+#: Share of the telling bytes of the smaller record that shared chunks must cover, with a project or key in
+#: common and without.
+COVERAGE, ALONE = 0.15, 0.6
+#: Bytes that a project code counts for: less than `COVERAGE` of a text, but more than that of a bare title.
+CODE_BYTES = 48
+#: Buckets of the chunk table, and loads that a replay of all batches is cut into.
+BUCKETS, LOADS = 16, 4
+#: A chunk with this share of a load's rows is hot; there are at most so many.
+HOT = 10_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = None
@@ -67,12 +82,20 @@ def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     rolled = mixed.copy()
     for k in range(1, WINDOW):
         rolled[k:] += mixed[:-k] * _powers(WINDOW)[k]
-    cut = (_mix(rolled) & np.uint64((1 << CUT_BITS) - 1)) == 0  # the character before which a chunk begins
+    rolled = _mix(rolled)
+    least = np.ones(len(codes), bool)  # positions before which a chunk begins
+    for d in range(1, SPAN + 1):
+        least[d:] &= rolled[d:] < rolled[:-d]
+        least[:-d] &= rolled[:-d] < rolled[d:]
     position = np.arange(len(codes)) - np.repeat(starts, lengths)
-    cut &= position >= WINDOW  # the window lies within the text
-    cut[starts[lengths > 0]] = True
-    begin = np.flatnonzero(cut)
+    least &= (position >= SPAN + WINDOW) & (np.repeat(lengths, lengths) - position > SPAN)  # all that is looked at lies within the text
+    least[starts[lengths > 0]] = True
+    begin = np.flatnonzero(least)
     size = np.diff(np.append(begin, len(codes)))
+    more = (size - 1) // MOST  # what has no cut for long is cut at equal lengths
+    if more.any():
+        begin = np.repeat(begin, more + 1) + (np.arange(len(begin) + more.sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)) * MOST
+        size = np.diff(np.append(begin, len(codes)))
     place = np.arange(len(codes)) - np.repeat(begin, size)
     hashes = _mix(np.add.reduceat(mixed * _powers(int(size.max()) + 1)[place], begin) + size.astype(np.uint64)).view(np.int64)
     utf8 = 1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
@@ -88,16 +111,13 @@ def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(np.split(hashes[new], stops), np.split(weight[new], stops)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("part", T.StringType()), T.StructField("core", T.StringType()), T.StructField("chunks", CHUNKS)]))
+@F.pandas_udf(T.StructType([T.StructField("part", T.StringType()), T.StructField("chunks", CHUNKS)]))
 def _read_udf(title: pd.Series, notice_type: pd.Series, text: pd.Series) -> pd.DataFrame:
     plain = [plain_title(t) for t in title]
-    cores = [core_of(t) for t in plain]
-    cut = chunks_of(text.tolist())
-    heads = chunks_of(cores)
+    cut, heads = chunks_of(text.tolist()), chunks_of([core_of(t) for t in plain])
     return pd.DataFrame({
         "part": [f"{kind_of(k, t, x)}|{call_of(t)}|{lot_of(t)}" for k, t, x in zip(notice_type, plain, text)],
-        "core": cores,
-        "chunks": [{"hash": np.concatenate([h, hh]), "bytes": np.concatenate([b, bb])} for (h, b), (hh, bb) in zip(cut, heads)],
+        "chunks": [{"hash": np.concatenate([h, hh[~np.isin(hh, h)]]), "bytes": np.concatenate([b, bb[~np.isin(hh, h)]])} for (h, b), (hh, bb) in zip(cut, heads)],
     })
 
 
@@ -108,117 +128,156 @@ def _key(column: str) -> Column:
 
 
 def _code() -> Column:
-    """The project code of the first column that has one."""
+    """The project code of the first column that has one, as a number."""
     found = [F.regexp_extract(c, CODE, 0) for c in ("project_code", "content_text", "summary")]
-    return F.regexp_replace(F.coalesce(*(F.nullif(x, F.lit("")) for x in found)), r"\s+", "")
-
-
-def _slim(items: DataFrame) -> DataFrame:
-    """(item_id, code, keys) of notice items, read without their texts where they name their project. The last
-    of the keys is the title's."""
-    keys = F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.xxhash64(F.lit("page"), "detail_page_url"), F.xxhash64(F.lit("title"), F.lower(F.regexp_replace("title", r"(?U)[\s\p{Cf}]+", "")))))
-    return items.filter(F.col("item_id").isNotNull()).withColumn("item_id", F.col("item_id").cast("long")).withColumn("code", _code()).withColumn("keys", keys)
-
-
-def _said(slim: DataFrame) -> DataFrame:
-    """(key, code) of records that name their project."""
-    return slim.filter(F.col("code").isNotNull()).select(F.explode("keys").alias("key"), "code")
-
-
-def read_records(items: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """(item_id, code, keys, said, signature, hash, bytes, total) of notice items. Only records without a
-    code are looked up by their keys, among these records and `codes`, (key, code) of those accepted before; a
-    key that has records of several projects says nothing."""
-    slim = _slim(items)
-    lacking = slim.filter(F.col("code").isNull()).select("item_id", "keys")
-    asked = lacking.select("item_id", F.explode("keys").alias("key"))
-    said = _said(slim) if codes is None else _said(slim).unionByName(codes)
-    said = said.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low = high")
-    answers = asked.join(said, "key").groupBy("item_id").agg(F.min("low").alias("low"), F.max("low").alias("high")).filter("low = high").select("item_id", F.col("low").alias("found"))
-    fields = ["item_id", "code", "keys", "title", "notice_type", "content_text"]
-    known = slim.filter(F.col("code").isNotNull()).select(*fields)
-    looked_up = slim.filter(F.col("code").isNull()).select(*fields).join(answers, "item_id", "left").withColumn("code", F.col("found")).drop("found")
-    read = known.unionByName(looked_up).withColumn("r", _read_udf("title", "notice_type", "content_text"))
-    project = F.coalesce("code", F.concat(F.lit("title:"), F.col("r.core")))
-    records = read.select("item_id", "code", "keys", F.xxhash64(project, "r.part").alias("signature"), F.slice("keys", 1, F.size("keys") - 1).alias("said"), F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes"))
-    return records.withColumn("total", F.aggregate("bytes", F.lit(0), lambda a, x: a + x))
-
-
-def _chunk_rows(records: DataFrame) -> DataFrame:
-    """(k, item_id, bytes): texts' chunks and, with null bytes, keys that stand for all. k is a chunk under
-    a signature, as one number: at 10^12 chunks two in a hundred million meet by chance, and cover some bytes."""
-    text = F.transform(F.arrays_zip("hash", "bytes"), lambda x: F.struct(x["hash"].alias("chunk"), x["bytes"].alias("bytes")))
-    keys = F.transform("said", lambda k: F.struct(k.alias("chunk"), F.lit(None).cast("int").alias("bytes")))
-    rows = records.select("signature", "item_id", F.explode(F.concat(text, keys)).alias("c"))
-    return rows.select(F.xxhash64("signature", "c.chunk").alias("k"), "item_id", "c.bytes")
-
-
-def _covered(rows: DataFrame, table: DataFrame, totals: DataFrame, coverage: float) -> DataFrame:
-    """(item_id) of those whose chunks in the table (k, first), first carried by an earlier record, cover enough
-    of the smaller text. totals: item_id, least."""
-    hits = rows.join(table, "k").filter(F.col("first") < F.col("item_id"))
-    share = hits.groupBy("item_id").agg(F.sum("bytes").alias("shared"), F.max(F.col("bytes").isNull()).alias("by_key"))
-    return share.join(totals, "item_id").filter(F.col("by_key") | (F.col("shared") >= coverage * F.col("least"))).select("item_id")
-
-
-def repeated(items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(kept_item_id, item_id) of all records that repeat an earlier one, all read at once: unlike
-    `AcceptedHistory`, chunks of repeats count too, and records without a code take those of later records as well."""
-    records = settle(read_records(items))
-    # a signature of one record has nothing to share; so the exact check goes first
-    kept = records.groupBy("signature").agg(F.min("item_id").alias("kept_item_id"), F.max("item_id").alias("last"), F.min_by("total", "item_id").alias("first_total")).filter("kept_item_id < last").drop("last")
-    shared = settle(records.join(kept, "signature").withColumn("same", F.xxhash64("signature", "hash")))
-    # copies: equal chunks under one signature. The first stands for them; the others repeat it
-    # copies, and records of one id, go no further
-    folded = shared.groupBy("same").agg(F.min_by(F.struct("item_id", "kept_item_id", "signature", "said", "hash", "bytes", F.least("total", "first_total").alias("least")), "item_id").alias("r")).select("same", "r.*")
-    copies = shared.select("same", "kept_item_id", "item_id").join(folded.select("same", F.col("item_id").alias("copied")), "same").filter("copied < item_id").select("kept_item_id", "item_id")
-    rows = _chunk_rows(folded)
-    # a chunk that one record carries can't be shared
-    table = rows.groupBy("k").agg(F.min("item_id").alias("first"), F.max("item_id").alias("last")).filter("first < last").select("k", "first")
-    repeats = folded.select("kept_item_id", "item_id").join(_covered(rows, table, folded.select("item_id", "least"), coverage), "item_id", "left_semi")
-    return repeats.unionByName(copies).filter("kept_item_id < item_id").distinct()
+    return F.xxhash64(F.regexp_replace(F.coalesce(*(F.nullif(x, F.lit("")) for x in found)), r"\s+", ""))
+
+
+def read_records(items: DataFrame) -> DataFrame:
+    """(item_id, code, total, chunks) of notice items: chunks are (k, bytes, own) under the record's part; bytes
+    are null for keys, and own marks what a record is found by whatever its text is: keys and the code."""
+    found = _code()
+    named = F.coalesce(*(F.nullif(F.regexp_extract(c, CODE, 0), F.lit("")) for c in ("project_code", "content_text", "summary"))).isNotNull()
+    read = items.filter(F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("long").alias("item_id"), F.when(named, found).alias("code"),
+        F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.xxhash64(F.lit("page"), F.nullif(F.trim("detail_page_url"), F.lit(""))) if "detail_page_url" in items.columns else F.lit(None).cast("long"))).alias("keys"),
+        F.col("detail_page_url").isNotNull().alias("paged"), _read_udf("title", "notice_type", "content_text").alias("r"),
+    )
+    k = lambda x: F.xxhash64(x, F.col("r.part"))
+    text = F.transform(F.arrays_zip(F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes")), lambda x: F.struct(k(x["hash"]).alias("k"), x["bytes"].alias("bytes"), F.lit(False).alias("own")))
+    keys = F.transform("keys", lambda x: F.struct(k(x).alias("k"), F.lit(None).cast("int").alias("bytes"), F.lit(True).alias("own")))
+    code = F.when(F.col("code").isNotNull(), F.array(F.struct(k(F.col("code")).alias("k"), F.lit(CODE_BYTES).alias("bytes"), F.lit(True).alias("own"))))
+    chunks = F.concat(text, keys, F.coalesce(code, F.slice(keys, 1, 0)))
+    total = F.aggregate("r.chunks.bytes", F.lit(0), lambda a, x: a + x) + F.when(F.col("code").isNotNull(), CODE_BYTES).otherwise(0)
+    return read.select("item_id", "code", total.alias("total"), chunks.alias("chunks"))
+
+
+def _rows(records: DataFrame) -> DataFrame:
+    return records.select("item_id", "code", "total", F.explode("chunks").alias("c")).select("item_id", "code", "total", "c.*")
+
+
+def _first(rows: DataFrame, item: str = "item_id", code: str = "code", total: str = "total") -> DataFrame:
+    """(k, first, first_code, first_total, low, high, n) of rows by chunk."""
+    return rows.groupBy("k").agg(F.min(item).alias("first"), F.min_by(code, item).alias("first_code"), F.min_by(total, item).alias("first_total"), F.min(code).alias("low"), F.max(code).alias("high"), F.count("*").alias("n"))
+
+
+def _leads(rows: DataFrame, verdict: DataFrame, n_rows: int) -> DataFrame:
+    """rows joined to their chunk's verdict; hot chunks, at most HOT of them, by broadcast."""
+    hot = F.col("n") * HOT > n_rows
+    often = verdict.filter(hot)
+    seldom = rows.join(F.broadcast(often.select("k")), "k", "left_anti").join(verdict.filter(~hot), "k")
+    return seldom.unionByName(rows.join(F.broadcast(often), "k"))
+
+
+def _decided(leads: DataFrame, coverage: float, alone: float) -> DataFrame:
+    """(item_id, kept) of records that lead to an earlier one with enough coverage and no other project."""
+    telling = F.col("low").isNull() | (F.col("low") == F.col("high"))
+    by_first = leads.withColumn("first", F.when(telling, F.col("first")).otherwise(-1)).filter(F.col("first") < F.col("item_id"))
+    shares = by_first.groupBy("item_id", "code", "total", "first").agg(F.sum("bytes").alias("shared"), F.max(F.col("bytes").isNull()).alias("by_key"), F.max("first_code").alias("first_code"), F.max("first_total").alias("first_total"))
+    of = shares.groupBy("item_id", "code", "total").agg(
+        F.sum(F.when(F.col("first") < 0, F.col("shared")).otherwise(0)).alias("common"),
+        F.collect_list(F.when(F.col("first") >= 0, F.struct("first", F.coalesce("shared", F.lit(0)).alias("shared"), "by_key", "first_code", "first_total"))).alias("candidates"),
+    )
+    telling_bytes = F.col("total") - F.col("common")
+
+    def judged(c: Column) -> Column:
+        same = F.coalesce(c["first_code"] == F.col("code"), F.lit(False))
+        other = F.coalesce(c["first_code"] != F.col("code"), F.lit(False))
+        share = c["shared"] / F.greatest(F.least(telling_bytes, c["first_total"]), F.lit(1))
+        enough = (share >= alone) | ((same | c["by_key"]) & (share >= coverage)) | (c["by_key"] & (telling_bytes <= 0))
+        return F.when(enough & ~other, F.struct(same.alias("same"), F.when(same, 0).otherwise(c["shared"]).alias("shared"), (-c["first"]).alias("first")))
+
+    best = F.array_max(F.array_compact(F.transform("candidates", judged)))
+    return of.select("item_id", (-best["first"]).alias("kept")).filter(F.col("kept").isNotNull())
+
+
+def _followed(edges: DataFrame) -> DataFrame:
+    """edges (item_id, kept) with kept followed to a record that isn't repeated itself; each round doubles the way."""
+    while True:
+        on = edges.select(F.col("item_id").alias("kept"), F.col("kept").alias("further")).join(edges.select("kept").distinct(), "kept", "left_semi")
+        further = edges.join(on, "kept").limit(1).count()
+        if not further:
+            return edges
+        edges = settle(edges.join(on, "kept", "left").select("item_id", F.coalesce("further", "kept").alias("kept")))
 
 
 class AcceptedHistory:
-    """The persistent form: a folder of parquet tables that each batch is checked against and appended to.
+    """The persistent form: a folder with the chunk table, bucketed by k, that each load is checked against and
+    appends to. `chunks`: k, first, first_code, first_total, batch_no. `loads`: the repeats of each load, written
+    last; a load that was broken off is done again, and rows it appended twice change nothing."""
 
-    `chunks`: k, first. `notices`: signature, kept_item_id, first_total. `codes`: key, code. Each append is one
-    more set of files by batch; an append that was broken off is replaced when the batch is loaded again."""
+    def __init__(self, spark: SparkSession, folder: str, coverage: float = COVERAGE, alone: float = ALONE, buckets: int = BUCKETS):
+        self.spark, self.folder, self.coverage, self.alone, self.buckets = spark, folder.rstrip("/"), coverage, alone, buckets
+        self.name = "accepted_" + hashlib.md5(self.folder.encode()).hexdigest()
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (k BIGINT, first BIGINT, first_code BIGINT, first_total INT, batch_no INT) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {buckets} BUCKETS LOCATION '{self.folder}/chunks'")
 
-    def __init__(self, spark: SparkSession, folder: str, coverage: float = COVERAGE):
-        self.spark, self.folder, self.coverage = spark, folder.rstrip("/"), coverage
+    def _known(self, before: int) -> DataFrame:
+        return self.spark.table(self.name).filter(F.col("batch_no") < before)
 
-    def _table(self, name: str, schema: str, batch_no: int) -> DataFrame:
-        schema += ", batch_no int"
+    def _loaded(self, batch_no: int) -> DataFrame | None:
         try:
-            df = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except Exception as e:  # nothing was accepted yet
+            return self.spark.read.schema("kept_item_id long, item_id long").parquet(f"{self.folder}/loads/batch_no={batch_no}")
+        except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            df = self.spark.createDataFrame([], schema)
-        return df.filter(F.col("batch_no") < batch_no).drop("batch_no")
+            return None
 
-    def load(self, batch: DataFrame, batch_no: int) -> DataFrame:
+    def load(self, batch: DataFrame, batch_no: int, since: int | None = None) -> DataFrame:
         """(kept_item_id, item_id) of the batch's records that repeat an accepted one or one before them in the
-        batch; all others are accepted. Loading the same batch again gives the same and adds nothing."""
-        codes = self._table("codes", "key long, code string", batch_no)
-        chunks = self._table("chunks", "k long, first long", batch_no)
-        notices = self._table("notices", "signature long, kept_item_id long, first_total int", batch_no)
-        records = settle(read_records(batch, codes).dropDuplicates(["item_id"]))
-        rows = _chunk_rows(records)
-        mine = rows.groupBy("k").agg(F.min("item_id").alias("first"))
-        table = chunks.join(mine.select("k"), "k", "left_semi").unionByName(mine).groupBy("k").agg(F.min("first").alias("first"))
-        fresh = records.groupBy("signature").agg(F.min("item_id").alias("kept_item_id"), F.min_by("total", "item_id").alias("first_total"))
-        old = notices.join(fresh.select("signature"), "signature", "left_semi")
-        kept = old.unionByName(fresh).groupBy("signature").agg(F.min("kept_item_id").alias("kept_item_id"), F.min_by("first_total", "kept_item_id").alias("first_total"))
-        records = settle(records.join(kept, "signature"))
-        totals = records.select("item_id", F.least("total", "first_total").alias("least"))
-        repeats = settle(_covered(rows, table, totals, self.coverage))
-        accepted = records.join(repeats, "item_id", "left_anti")
-        for name, df in (
-            ("chunks", _chunk_rows(accepted).groupBy("k").agg(F.min("item_id").alias("first"))),
-            ("notices", accepted.groupBy("signature").agg(F.min("item_id").alias("kept_item_id"), F.min_by("total", "item_id").alias("first_total"))),
-            ("codes", _said(accepted)),
-        ):
-            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch_no={batch_no}")
-        return records.select("kept_item_id", "item_id").join(repeats, "item_id", "left_semi").filter("kept_item_id < item_id")
+        load; all others are accepted. since: the first batch_no, if the load holds several batches. Loading the
+        same batch again gives the same and adds nothing."""
+        if (done := self._loaded(batch_no)) is not None:
+            return done
+        known = self._known(batch_no if since is None else since)
+        records = settle(read_records(batch.dropDuplicates(["item_id"])))
+        n_rows = records.agg(F.sum(F.size("chunks"))).first()[0] or 0
+        rows = _rows(records)
+        mine = _first(rows)
+        # of the history only rows with a key of the batch; the table is bucketed, so it stays where it is
+        old = known.join(mine.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(
+            F.min("first").alias("old_first"), F.min_by("first_code", "first").alias("old_code"), F.min_by("first_total", "first").alias("old_total"), F.min("first_code").alias("old_low"), F.max("first_code").alias("old_high"))
+        both = mine.join(old, "k", "left")
+        earlier = F.col("old_first") < F.col("first")
+        pick = lambda a, b: F.when(earlier, F.col(a)).otherwise(F.col(b))
+        verdict = both.select("k", pick("old_first", "first").alias("first"), pick("old_code", "first_code").alias("first_code"), pick("old_total", "first_total").alias("first_total"), F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"), "n", F.col("old_first").isNotNull().alias("was"))
+        verdict = verdict.filter("was or n > 1").drop("was")  # a chunk seen once leads nowhere
+        edges = _followed(settle(_decided(_leads(rows, verdict, n_rows), self.coverage, self.alone)))
+        self._append(records, edges, known, batch_no)
+        edges.select(F.col("kept").alias("kept_item_id"), "item_id").write.mode("overwrite").parquet(f"{self.folder}/loads/batch_no={batch_no}")
+        return self._loaded(batch_no)
+
+    def _append(self, records: DataFrame, edges: DataFrame, known: DataFrame, batch_no: int) -> None:
+        """Appends the chunks of accepted records, and the keys and codes of repeats under the record they repeat."""
+        owned = records.join(edges, "item_id", "left").withColumn("accepted", F.col("kept").isNull())
+        rows = owned.select(F.coalesce("kept", "item_id").alias("first"), F.col("code").alias("first_code"), F.col("total").alias("first_total"), "accepted", F.explode("chunks").alias("c")).filter("accepted or c.own")
+        new = rows.select("c.k", "first", "first_code", "first_total").groupBy("k").agg(F.min("first").alias("first"), F.min_by("first_code", "first").alias("first_code"), F.min_by("first_total", "first").alias("first_total"), F.min("first_code").alias("low"), F.max("first_code").alias("high"))
+        old = known.join(new.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.min("first_code").alias("old_low"), F.max("first_code").alias("old_high"), F.lit(1).alias("was"))
+        # what the table doesn't say yet: a chunk, or a second project that carries it
+        told = F.col("was").isNotNull() & (F.col("low").isNull() | (F.col("old_low") < F.col("old_high")) | F.coalesce((F.col("low") == F.col("old_low")) & (F.col("high") == F.col("old_high")), F.lit(False)))
+        second = F.when(F.col("high") != F.col("first_code"), F.col("high")).when(F.col("low") != F.col("first_code"), F.col("low"))
+        new = new.join(old, "k", "left").filter(~told)
+        new = new.select("k", "first", F.explode(F.array_compact(F.array(F.struct("first_code", "first_total"), F.when(second.isNotNull(), F.struct(second.alias("first_code"), "first_total"))))).alias("x"))
+        new.select("k", "first", "x.first_code", "x.first_total", F.lit(batch_no).alias("batch_no")).repartition(self.buckets, "k").sortWithinPartitions("k").write.insertInto(self.name)
+
+    def drop(self) -> None:
+        """Removes the table and its folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def repeated(items: DataFrame, coverage: float = COVERAGE, alone: float = ALONE, loads: int = LOADS) -> DataFrame:
+    """(kept_item_id, item_id) of all records that repeat an earlier one: a history that starts empty takes the
+    batches in the order of batch_no, several neighbouring ones a load, and is dropped at the end."""
+    spark = items.sparkSession
+    items = items.withColumn("batch_no", F.coalesce(F.col("batch_no").cast("int"), F.lit(-1)))
+    batches = [r.batch_no for r in items.select("batch_no").distinct().orderBy("batch_no").collect()]  # one row a load of the platform
+    history = AcceptedHistory(spark, f"{shared_dir(spark)}/accepted-{uuid.uuid4().hex}", coverage, alone)
+    found = None
+    for part in np.array_split(batches, min(loads, max(len(batches), 1))):
+        low, high = (int(part[0]), int(part[-1])) if len(part) else (-1, -1)
+        batch = items.filter(F.col("batch_no").between(low, high))
+        found = history.load(batch, high, low) if found is None else found.unionByName(history.load(batch, high, low))
+    found = settle(found)
+    history.drop()
+    return found

@@ -43,12 +43,33 @@ def test_repeated_notices(items):
 
 
 def test_loads_one_after_the_other_give_the_same(spark, items, tmp_path):
-    history = history_dedup.AcceptedHistory(spark, str(tmp_path))
-    found = set()
+    history = history_dedup.AcceptedHistory(spark, str(tmp_path), buckets=4)
+    found, sizes = set(), []
     for b in (0, 1, 1, 2):  # a batch that is loaded again adds nothing
         found |= pairs(history.load(items.filter(F.col("batch_no") == b), b))
-    assert found == REPEATS
-    assert spark.read.parquet(f"{tmp_path}/chunks").groupBy("k").count().filter("count > 1").count() < 60
+        sizes.append(spark.table(history.name).count())
+    assert found == REPEATS and sizes[1] == sizes[2]
+    # a load that was broken off before it was noted is done again, with the same result
+    (tmp_path / "loads" / "batch_no=2" / "_SUCCESS").unlink()
+    for f in (tmp_path / "loads" / "batch_no=2").iterdir():
+        f.unlink()
+    (tmp_path / "loads" / "batch_no=2").rmdir()
+    assert pairs(history.load(items.filter(F.col("batch_no") == 2), 2)) == {p for p in REPEATS if p[1] > 8}
+    # bucketed by key: the history isn't moved when it is looked up
+    assert "Exchange" not in history._known(9).groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    history.drop()
+    assert not (tmp_path / "chunks").exists()
+
+
+def test_coverage_decides(spark):
+    """Without the chunks nothing is found; any shared chunk instead of coverage gives other rows."""
+    items = spark.read.parquet("/root/testdata/sf0.01/notice_item.parquet")
+    usual = pairs(history_dedup.repeated(items))
+    assert len(usual) > 700 and pairs(history_dedup.repeated(items, coverage=2.0, alone=2.0)) == set()
+    loose, strict = pairs(history_dedup.repeated(items, coverage=0.0, alone=0.0)), pairs(history_dedup.repeated(items, coverage=0.6, alone=0.9))
+    assert len(usual - loose) >= 3 and len(usual - strict) >= 30
+    # all batches at once, and one by one, agree but for records that name no project
+    assert len(usual ^ pairs(history_dedup.repeated(items, loads=1))) <= 0.005 * len(usual)
 
 
 def test_truth(spark):
