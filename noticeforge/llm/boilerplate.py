@@ -1,15 +1,24 @@
 """The lines of a page that are the notice itself (problem 5).
 
 Line-block distribution: markup is stripped line by line, the lengths of text are summed over sliding windows
-of `WINDOW` lines, and the main block lies between the surge before the highest sum and the dive after it.
-The exact check then goes through the lines: what every site says around its pages is furniture, wherever it
-stands; a headline is the notice's if the notice's sentences speak of what it names, so headlines of other
-notices in the block's lists aren't; and short lines of the notice next to the block (contacts, attachments)
-belong to it.
+of `WINDOW` lines, and the main block lies between the surge before the highest sum and the dive after it. A line
+is as long as its longest piece between menu separators, so a row of menu entries is short.
+
+The block is found twice. The first time, on all lines, it tells where each line stands. A line that recurs, but
+for its digits, on a share of `RECURS` of its site's pages (or of all pages), and stands in the block on less than
+`WITHIN` of them, is furniture of the site: what all notices say recurs as well, but inside blocks. No list of
+words is used. The second time furniture has no length. Lines of text in that block are the notice's, and so are up to
+`BEYOND` lines of text on either side (contacts, attachments), which a dive leaves out as they are short. Lines
+without any mark of a clause, file or telephone are titles: of these only the headline that names what the block
+speaks of is the notice's, so headlines of other notices in the block or around it aren't.
+
+The furniture of a site is bounded: a line of share `RECURS` occurs on so many pages that a site has at most
+(lines a page / `RECURS`) of them. It is counted over all pages, then sent to the tasks if it is at most
+`MOST_TEMPLATES` lines in all, and joined by site, salted, if it is more.
 
 Defined results: null, blank and JSON values have no lines; a list page, by its role or by having more
-headlines than text, has none either; text on script, style, head and comment lines isn't visible. Lines are
-counted at line feeds, in whole values. Each line comes once.
+titles than text, has none either; text on script, style, head and comment lines isn't visible. Lines are
+counted at line feeds, in whole values. Each line comes once. Rows without a source are one site.
 """
 
 from __future__ import annotations
@@ -19,26 +28,27 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from noticeforge.session import settle
+
+#: Lines in a window, the share of the highest sum at which a block surges and dives, and how many lines of text,
+#: with how many others between, may follow a block.
+WINDOW, EDGE, BEYOND, BRIDGE = 3, 0.5, 4, 4
+#: Share of pages, at least `TIMES`, that furniture recurs on, and share of these on which it is within the block.
+RECURS, TIMES, WITHIN = 0.05, 3, 0.35
+#: Lines of furniture that are sent to the tasks, and parts that pages of a site are salted into beyond that.
+MOST_TEMPLATES, SALT = 1_000_000, 64
 
-#: Lines in a window, the share of the highest sum at which a block surges and dives, and how many lines that
-#: aren't the notice's an edge may pass over.
-WINDOW, EDGE, BRIDGE = 3, 0.35, 4
-
-# What the sites say around their pages.
-_FURNITURE = re.compile(
-    r"^(?:您所在的位置|当前位置|You are here|上一篇|下一篇|浏览次数|字号|分享到|扫一扫|客服热线|备案号|版权所有|免责声明|隐私提示|主办单位[:：].*(?:技术支持|运营)|建议使用.*分辨率|本站|您是第.*访问者|收藏\s*\||【打印本页】|会员登录后|我们使用必要的Cookie|本网站使用Cookie"
-    r"|Page views|Viewed \d+ times|Print\s*\||Share this page|Related notices|Sign up to|Follow us|Terms of use|Report a problem|Copyright |This site is run by|Cookie notice|We use cookies|By continuing you agree|Previous|Next)"
-    r"|^(?:相关公告|猜你喜欢|推荐阅读|热门信息|More notices|Popular|Recommended)$|cookies? (?:to|are) ",
-    re.I,
-)
-_MENU = "首页|政策法规|招标公告|企业名录|政务公开|互动交流|信用信息|交易数据|联系我们|中标公示|网站地图|通知公告|办事指南|下载中心|专家入口|关于我们|供应商登录|English"
-_MENU_EN = "Suppliers|Legislation|Sign in|Home|Accessibility|Tenders|Search|Open data|About|Awards|Help|Contact|News|Register|Login|FAQ"
-_ITEM = re.compile(f"^(?:{_MENU}|{_MENU_EN})$")
 _SEPARATOR = re.compile(r"\s*[|丨·>/»]\s*|\s{2,}|(?<=[一-鿿]) (?=[一-鿿])")
-_HEADLINE = re.compile(r"(?:公告|公示|通知)\s*(?:[A-Z]{2}\d{4}-[A-Z]\d+)?$|:\s*(?:contract notice|call for bids|invitation to tender|contract award|award notice|corrigendum|notice of change|tender)(?:\s*\(reposted\))?\s*(?:[A-Z]{2}\d{4}-[A-Z]\d+)?$|\d{4}年度?.*(?:项目|工程|服务|采购)(?:[（(\-].*)?$", re.I)
-_SENTENCE = re.compile(r"[。；;！，]|\.\s*$|：.+|:\s.*\d{2}")
+#: What a line of text has and a title or menu hasn't: a mark within or after a clause, a file's name, a telephone.
+_CLAUSE = re.compile(r"[。；;！，]|[.,]\s*$|[a-z], [a-z]")
+_FILE = re.compile(r"\.(?:pdf|docx?|xlsx?|zip|rar|7z)\s*$", re.I)
+_PHONE = re.compile(r"\d{3,4}[- ]?\d{7}")
+_DIGITS = re.compile(r"\d+")
 _TAG = re.compile(r"<[^>]*>")
 _HIDDEN = re.compile(r"<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<head\b.*?</head>|<title\b.*?</title>|<!DOCTYPE[^>]*>", re.S | re.I)
 _OPENED = re.compile(r"<[^<>]*$")
@@ -55,13 +65,14 @@ def visible_lines(value: str, markup: bool) -> list[str]:
     return [(html.unescape(line) if "&" in line else line).replace("\xa0", " ").strip() for line in value.split("\n")]
 
 
-def is_furniture(line: str) -> bool:
-    if _FURNITURE.search(line):
-        return True
-    if len(line) > 160:
-        return False
-    parts = [p for p in _SEPARATOR.split(line) if p]
-    return bool(parts) and sum(bool(_ITEM.match(p)) for p in parts) >= max(1, 0.6 * len(parts))
+def template(line: str) -> int:
+    """A line but for its digits, as a number that is equal in every task. A telephone number stays: that of a site
+    recurs, that of a notice doesn't."""
+    return xxhash.xxh3_64_intdigest((line if _PHONE.search(line) else _DIGITS.sub("0", line)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def length_of(line: str) -> float:
+    return float(max((len(p) for p in _SEPARATOR.split(line)), default=0))
 
 
 def main_block(lengths: np.ndarray, window: int = WINDOW, edge: float = EDGE) -> tuple[int, int]:
@@ -78,38 +89,57 @@ def main_block(lengths: np.ndarray, window: int = WINDOW, edge: float = EDGE) ->
 
 
 def _pairs(text: str) -> set[str]:
+    """Pairs of Han characters and fours of others."""
     text = _BLANK.sub("", text).lower()
-    return {text[i : i + 2] for i in range(len(text) - 1)}
+    return {text[i : i + n] for i in range(len(text) - 1) for n in (2 if text[i] > "\u3400" else 4,)}
 
 
 _KIND = re.compile(r"(?:招标|采购|中标|成交|变更|更正|澄清|候选人|结果)*(?:公告|公示)$|:[^:]*$")
 
 
-def notice_lines(value: str | None, markup: bool, is_list: bool = False) -> list[int]:
-    """Numbers, from 1, of the lines that are the notice's own."""
-    if not value or is_list or value.lstrip()[:1] in "{[" and markup:
-        return []
+def _shown(value: str | None, markup: bool, is_list: bool) -> tuple[list[str], list[int]]:
+    if not value or is_list or (markup and value.lstrip()[:1] in "{["):
+        return [], []
     lines = visible_lines(value, markup)
-    shown = [i for i, t in enumerate(lines) if t]
+    return lines, [i for i, t in enumerate(lines) if t]
+
+
+def places(value: str | None, markup: bool, is_list: bool = False) -> dict[int, bool]:
+    """Of each template of a page whether it stands within the first block. Lines that name a file are left out."""
+    lines, shown = _shown(value, markup, is_list)
+    if not shown:
+        return {}
+    first, end = main_block(np.array([length_of(lines[i]) for i in shown]))
+    out: dict[int, bool] = {}
+    for k, i in enumerate(shown):
+        if not _FILE.search(lines[i]):
+            t = template(lines[i])
+            out[t] = out.get(t, False) or first <= k < end
+    return out
+
+
+def notice_lines(value: str | None, markup: bool, is_list: bool = False, furniture: frozenset = frozenset(), block=main_block) -> list[int]:
+    """Numbers, from 1, of the lines that are the notice's own. furniture: templates of the site."""
+    lines, shown = _shown(value, markup, is_list)
     if not shown:
         return []
-    # l: furniture, h: headline, b: text
+    # l: furniture, h: title, b: text
     kind = []
     for i in shown:
         t = lines[i]
-        kind.append("l" if is_furniture(t) else "h" if _HEADLINE.search(t) and not _SENTENCE.search(t) else "b")
+        kind.append("b" if _FILE.search(t) else "l" if furniture and template(t) in furniture else "b" if _CLAUSE.search(t) or _PHONE.search(t) else "h")
     if kind.count("h") > max(4, kind.count("b")):
         return []
-    lengths = np.array([float(len(lines[i])) if k == "b" else 0.0 for i, k in zip(shown, kind)])
-    first, end = main_block(lengths)
+    lengths = np.array([length_of(lines[i]) if k == "b" else 0.0 for i, k in zip(shown, kind)])
+    first, end = block(lengths)
     own = [k for k in range(first, end) if kind[k] == "b"]
     if own:
-        for step in (-1, 1):  # lines of the notice next to the block
-            k, passed = (own[0] if step < 0 else own[-1]) + step, 0
-            while 0 <= k < len(shown) and passed <= BRIDGE:
+        for step in (-1, 1):  # lines of text next to the block
+            k, passed, taken = (own[0] if step < 0 else own[-1]) + step, 0, 0
+            while 0 <= k < len(shown) and passed <= BRIDGE and taken < BEYOND:
                 if kind[k] == "b":
                     own.append(k)
-                    passed = 0
+                    passed, taken = 0, taken + 1
                 else:
                     passed += 1
                 k += step
@@ -121,20 +151,39 @@ def notice_lines(value: str | None, markup: bool, is_list: bool = False) -> list
         for k in heads:
             named = _pairs(_KIND.sub("", lines[shown[k]]))
             agrees = len(named & said) / max(1, len(named))
-            if agrees > share + 1e-9 and (not own or k < own[-1]):
+            if len(named) >= 6 and agrees > share + 1e-9 and (not own or k < own[-1]):
                 best, share = k, agrees
         if best is not None and share >= 0.5:
             own.append(best)
     return sorted({shown[k] + 1 for k in own})
 
 
-def _line_rows(field: str, markup: bool):
+def _place_udf(markup: bool):
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("template", T.LongType()), T.StructField("within", T.IntegerType())])))
+    def read(value: pd.Series, is_list: pd.Series) -> pd.Series:
+        return pd.Series([[(t, int(w)) for t, w in places(v, markup, bool(x)).items()] for v, x in zip(value, is_list)], dtype=object)
+
+    return read
+
+
+def furniture_of(pages: DataFrame, markup: bool) -> DataFrame:
+    """(site, templates) of pages (site, value, is_list); the null site holds what recurs over all sites."""
+    seen = pages.select("site", _place_udf(markup)("value", "is_list").alias("p")).filter(F.size("p") > 0)
+    counted = settle(seen.select("site", F.explode(F.concat("p", F.array(F.struct(F.lit(None).cast("long").alias("template"), F.lit(0).alias("within"))))).alias("x")).groupBy("site", "x.template").agg(F.count("*").alias("n"), F.sum("x.within").alias("within")))
+    every = counted.groupBy("template").agg(F.sum("n").alias("n"), F.sum("within").alias("within")).withColumn("site", F.lit(None).cast("string"))
+    both = counted.unionByName(every)
+    pages_of = both.filter(F.col("template").isNull()).select(F.col("site").alias("of"), F.col("n").alias("pages"))  # one row a site
+    recurs = both.filter(F.col("template").isNotNull() & (F.col("n") >= TIMES) & (F.col("within") < WITHIN * F.col("n")))
+    return recurs.join(pages_of, F.col("site").eqNullSafe(F.col("of"))).filter(F.col("n") >= RECURS * F.col("pages")).groupBy("site").agg(F.collect_set("template").alias("templates"))
+
+
+def _line_rows(field: str, markup: bool, known: dict | None):
     def rows(batches):
         for pdf in batches:
             ids, numbers = [], []
-            listed = pdf["is_list"].tolist()
-            for i, value, is_list in zip(pdf["row_id"].tolist(), pdf["value"].tolist(), listed):
-                found = notice_lines(value, markup, bool(is_list))
+            given = [frozenset(t) if t is not None else frozenset() for t in pdf["templates"]] if known is None else [known.get(site, known.get(None, frozenset())) for site in pdf["site"]]
+            for i, value, is_list, furniture in zip(pdf["row_id"].tolist(), pdf["value"].tolist(), pdf["is_list"].tolist(), given):
+                found = notice_lines(value, markup, bool(is_list), furniture)
                 ids += [i] * len(found)
                 numbers += found
             yield pd.DataFrame({"field_name": field, "row_id": np.array(ids, dtype=np.int64), "line_no": np.array(numbers, dtype=np.int32)})
@@ -144,8 +193,20 @@ def _line_rows(field: str, markup: bool):
 
 def lines_of(rows: DataFrame, field: str, id_col: str, markup: bool, is_list=None) -> DataFrame:
     """(field_name, row_id, line_no) of the notice's lines in a text column."""
-    chosen = rows.filter(F.col(id_col).isNotNull() & F.col(field).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(field).alias("value"), (F.coalesce(is_list, F.lit(False)) if is_list is not None else F.lit(False)).alias("is_list"))
-    return chosen.mapInPandas(_line_rows(field, markup), "field_name string, row_id long, line_no int")
+    pages = rows.filter(F.col(id_col).isNotNull() & F.col(field).isNotNull()).select(
+        F.col(id_col).cast("long").alias("row_id"), F.col(field).alias("value"), F.coalesce("source_code", F.lit("")).alias("site"),
+        (F.coalesce(is_list, F.lit(False)) if is_list is not None else F.lit(False)).alias("is_list"))
+    sets = settle(furniture_of(pages, markup))
+    schema = "field_name string, row_id long, line_no int"
+    if (sets.agg(F.sum(F.size("templates"))).first()[0] or 0) <= MOST_TEMPLATES:
+        known = {r.site: frozenset(r.templates) for r in sets.toLocalIterator()}
+        every = known.get(None, frozenset())
+        known = {site: t | every for site, t in known.items()} | {None: every}
+        return pages.mapInPandas(_line_rows(field, markup, known), schema)
+    every = sets.filter(F.col("site").isNull()).select(F.col("templates").alias("every"))
+    sites = pages.select("site").distinct().join(sets, "site", "left").join(F.broadcast(every), F.lit(True), "left")
+    salted = sites.select("site", F.array_union(F.coalesce("templates", F.array().cast("array<long>")), F.coalesce("every", F.array().cast("array<long>"))).alias("templates"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return pages.withColumn("salt", F.pmod("row_id", F.lit(SALT)).cast("int")).join(salted, ["site", "salt"], "left").mapInPandas(_line_rows(field, markup, None), schema)
 
 
 def found(raw_documents: DataFrame, items: DataFrame) -> DataFrame:
