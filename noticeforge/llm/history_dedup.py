@@ -2,8 +2,8 @@
 
 A record's text is cut where a rolling hash of `WINDOW` characters is the least among its `SPAN` neighbours on
 either side. So an edit moves no cut further than these, and chunks have more than `SPAN` and at most `MOST`
-characters. The persistent table maps (chunk, part) to the first accepted record that carried the chunk, the
-project it named and its bytes; part is the lot, call and kind that the record's title states. A new record looks
+characters. The persistent table maps (chunk, part) to the accepted record that carried the chunk first, or that
+was first repeated by one that did, and to the project that record named; part is the lot, call and kind that the record's title states. A new record looks
 its chunks up there and among the records before it in its load; the bytes found are totalled by the record they
 lead to. A dedup key, source key, page or project code is a chunk too.
 
@@ -40,12 +40,11 @@ from noticeforge.llm.notice_text import CODE, call_of, core_of, kind_of, lot_of,
 from noticeforge.session import settle, shared_dir
 
 #: Characters under the rolling hash, neighbours on either side of a cut, and the longest chunk.
-WINDOW, SPAN, MOST = 4, 6, 64
-#: Share of the telling bytes of the smaller record that shared chunks must cover, with a project or key in
-#: common and without.
-COVERAGE, ALONE = 0.15, 0.6
-#: Bytes that a project code counts for: less than `COVERAGE` of a text, but more than that of a bare title.
-CODE_BYTES = 48
+WINDOW, SPAN, MOST = 4, 8, 64
+#: Share of a record's telling bytes that shared chunks must cover, with a project or key in common and without.
+COVERAGE, ALONE = 0.1, 0.6
+#: Bytes that a project code counts for: those of a chunk of average length and some more.
+CODE_BYTES = 64
 #: Buckets of the chunk table, and loads that a replay of all batches is cut into.
 BUCKETS, LOADS = 16, 4
 #: A chunk with this share of a load's rows is hot; there are at most so many.
@@ -134,57 +133,54 @@ def _code() -> Column:
 
 
 def read_records(items: DataFrame) -> DataFrame:
-    """(item_id, code, total, chunks) of notice items: chunks are (k, bytes, own) under the record's part; bytes
-    are null for keys, and own marks what a record is found by whatever its text is: keys and the code."""
+    """(item_id, code, total, chunks) of notice items: chunks are (k, bytes) under the record's part; bytes are
+    null for keys."""
     found = _code()
     named = F.coalesce(*(F.nullif(F.regexp_extract(c, CODE, 0), F.lit("")) for c in ("project_code", "content_text", "summary"))).isNotNull()
     read = items.filter(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.when(named, found).alias("code"),
         F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.xxhash64(F.lit("page"), F.nullif(F.trim("detail_page_url"), F.lit(""))) if "detail_page_url" in items.columns else F.lit(None).cast("long"))).alias("keys"),
-        F.col("detail_page_url").isNotNull().alias("paged"), _read_udf("title", "notice_type", "content_text").alias("r"),
+        _read_udf("title", "notice_type", "content_text").alias("r"),
     )
     k = lambda x: F.xxhash64(x, F.col("r.part"))
-    text = F.transform(F.arrays_zip(F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes")), lambda x: F.struct(k(x["hash"]).alias("k"), x["bytes"].alias("bytes"), F.lit(False).alias("own")))
-    keys = F.transform("keys", lambda x: F.struct(k(x).alias("k"), F.lit(None).cast("int").alias("bytes"), F.lit(True).alias("own")))
-    code = F.when(F.col("code").isNotNull(), F.array(F.struct(k(F.col("code")).alias("k"), F.lit(CODE_BYTES).alias("bytes"), F.lit(True).alias("own"))))
+    text = F.transform(F.arrays_zip(F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes")), lambda x: F.struct(k(x["hash"]).alias("k"), x["bytes"].alias("bytes")))
+    keys = F.transform("keys", lambda x: F.struct(k(x).alias("k"), F.lit(None).cast("int").alias("bytes")))
+    code = F.when(F.col("code").isNotNull(), F.array(F.struct(k(F.col("code")).alias("k"), F.lit(CODE_BYTES).alias("bytes"))))
     chunks = F.concat(text, keys, F.coalesce(code, F.slice(keys, 1, 0)))
     total = F.aggregate("r.chunks.bytes", F.lit(0), lambda a, x: a + x) + F.when(F.col("code").isNotNull(), CODE_BYTES).otherwise(0)
     return read.select("item_id", "code", total.alias("total"), chunks.alias("chunks"))
 
 
-def _rows(records: DataFrame) -> DataFrame:
-    return records.select("item_id", "code", "total", F.explode("chunks").alias("c")).select("item_id", "code", "total", "c.*")
+def _first(records: DataFrame) -> DataFrame:
+    """(k, first, first_code, low, high, n) of records by chunk."""
+    rows = records.select("item_id", "code", F.explode("chunks.k").alias("k"))
+    return rows.groupBy("k").agg(F.min("item_id").alias("first"), F.min_by("code", "item_id").alias("first_code"), F.min("code").alias("low"), F.max("code").alias("high"), F.count("*").alias("n"))
 
 
-def _first(rows: DataFrame, item: str = "item_id", code: str = "code", total: str = "total") -> DataFrame:
-    """(k, first, first_code, first_total, low, high, n) of rows by chunk."""
-    return rows.groupBy("k").agg(F.min(item).alias("first"), F.min_by(code, item).alias("first_code"), F.min_by(total, item).alias("first_total"), F.min(code).alias("low"), F.max(code).alias("high"), F.count("*").alias("n"))
-
-
-def _leads(rows: DataFrame, verdict: DataFrame, n_rows: int) -> DataFrame:
-    """rows joined to their chunk's verdict; hot chunks, at most HOT of them, by broadcast."""
+def _leads(records: DataFrame, verdict: DataFrame, n_rows: int) -> DataFrame:
+    """(item_id, bytes, first, first_code) of chunks with a verdict; hot chunks, at most HOT of them, by broadcast."""
+    rows = records.select("item_id", F.explode("chunks").alias("c")).select("item_id", "c.k", "c.bytes")
     hot = F.col("n") * HOT > n_rows
-    often = verdict.filter(hot)
-    seldom = rows.join(F.broadcast(often.select("k")), "k", "left_anti").join(verdict.filter(~hot), "k")
-    return seldom.unionByName(rows.join(F.broadcast(often), "k"))
+    often = verdict.filter(hot).drop("n")
+    seldom = rows.join(F.broadcast(often.select("k")), "k", "left_anti").join(verdict.filter(~hot).drop("n"), "k")
+    return seldom.unionByName(rows.join(F.broadcast(often), "k")).drop("k").filter(F.col("first") < F.col("item_id"))
 
 
-def _decided(leads: DataFrame, coverage: float, alone: float) -> DataFrame:
-    """(item_id, kept) of records that lead to an earlier one with enough coverage and no other project."""
-    telling = F.col("low").isNull() | (F.col("low") == F.col("high"))
-    by_first = leads.withColumn("first", F.when(telling, F.col("first")).otherwise(-1)).filter(F.col("first") < F.col("item_id"))
-    shares = by_first.groupBy("item_id", "code", "total", "first").agg(F.sum("bytes").alias("shared"), F.max(F.col("bytes").isNull()).alias("by_key"), F.max("first_code").alias("first_code"), F.max("first_total").alias("first_total"))
-    of = shares.groupBy("item_id", "code", "total").agg(
+def _decided(leads: DataFrame, records: DataFrame, coverage: float, alone: float) -> DataFrame:
+    """(item_id, kept) of records that lead to an earlier one with enough coverage and no other project. leads to
+    -1 are chunks that tell nothing."""
+    shares = leads.groupBy("item_id", "first", "first_code").agg(F.sum("bytes").alias("shared"), F.max(F.col("bytes").isNull()).alias("by_key"))
+    of = shares.groupBy("item_id").agg(
         F.sum(F.when(F.col("first") < 0, F.col("shared")).otherwise(0)).alias("common"),
-        F.collect_list(F.when(F.col("first") >= 0, F.struct("first", F.coalesce("shared", F.lit(0)).alias("shared"), "by_key", "first_code", "first_total"))).alias("candidates"),
-    )
-    telling_bytes = F.col("total") - F.col("common")
+        F.collect_list(F.when(F.col("first") >= 0, F.struct("first", F.coalesce("shared", F.lit(0)).alias("shared"), "by_key", "first_code"))).alias("candidates"),
+    ).filter(F.size("candidates") > 0).join(records.select("item_id", "code", "total"), "item_id")
+    telling = F.greatest(F.col("total") - F.col("common"), F.lit(1))
 
     def judged(c: Column) -> Column:
         same = F.coalesce(c["first_code"] == F.col("code"), F.lit(False))
         other = F.coalesce(c["first_code"] != F.col("code"), F.lit(False))
-        share = c["shared"] / F.greatest(F.least(telling_bytes, c["first_total"]), F.lit(1))
-        enough = (share >= alone) | ((same | c["by_key"]) & (share >= coverage)) | (c["by_key"] & (telling_bytes <= 0))
+        share = c["shared"] / telling
+        enough = (share >= alone) | ((same | c["by_key"]) & (share >= coverage)) | (c["by_key"] & (telling <= 1))
         return F.when(enough & ~other, F.struct(same.alias("same"), F.when(same, 0).otherwise(c["shared"]).alias("shared"), (-c["first"]).alias("first")))
 
     best = F.array_max(F.array_compact(F.transform("candidates", judged)))
@@ -203,25 +199,38 @@ def _followed(edges: DataFrame) -> DataFrame:
 
 class AcceptedHistory:
     """The persistent form: a folder with the chunk table, bucketed by k, that each load is checked against and
-    appends to. `chunks`: k, first, first_code, first_total, batch_no. `loads`: the repeats of each load, written
-    last; a load that was broken off is done again, and rows it appended twice change nothing."""
+    appends to. `chunks`: k, first, first_code, batch_no. `loads`: the repeats of each load, written last; a load
+    that was broken off is done again, and rows it appended twice change nothing."""
 
     def __init__(self, spark: SparkSession, folder: str, coverage: float = COVERAGE, alone: float = ALONE, buckets: int = BUCKETS):
         self.spark, self.folder, self.coverage, self.alone, self.buckets = spark, folder.rstrip("/"), coverage, alone, buckets
         self.name = "accepted_" + hashlib.md5(self.folder.encode()).hexdigest()
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (k BIGINT, first BIGINT, first_code BIGINT, first_total INT, batch_no INT) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {buckets} BUCKETS LOCATION '{self.folder}/chunks'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (k BIGINT, first BIGINT, first_code BIGINT, batch_no INT) USING parquet CLUSTERED BY (k) SORTED BY (k) INTO {buckets} BUCKETS LOCATION '{self.folder}/chunks'")
 
     def _known(self, before: int) -> DataFrame:
-        return self.spark.table(self.name).filter(F.col("batch_no") < before)
+        return self.spark.table(self.name).filter(F.col("batch_no") < before).select("k", F.col("first").alias("was"), F.col("first_code").alias("was_code"))
 
-    def _loaded(self, batch_no: int) -> DataFrame | None:
+    def _read(self, part: str, schema: str) -> DataFrame | None:
         try:
-            return self.spark.read.schema("kept_item_id long, item_id long").parquet(f"{self.folder}/loads/batch_no={batch_no}")
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return None
 
+    def _loaded(self, batch_no: int) -> DataFrame | None:
+        return self._read(f"loads/batch_no={batch_no}", "kept_item_id long, item_id long")
+
+    def _merged(self, records: DataFrame, known: DataFrame, batch_no: int) -> DataFrame:
+        """Of each chunk of the load what the load and the history say, written once: (k, first, first_code, low, high,
+        n, old_low, old_high, known). The history is bucketed by k, so only the load's chunks move."""
+        both = _first(records).join(known, "k", "left").groupBy("k", "first", "first_code", "low", "high", "n").agg(
+            F.min("was").alias("was"), F.min_by("was_code", "was").alias("was_code"), F.min("was_code").alias("old_low"), F.max("was_code").alias("old_high"))
+        earlier = F.coalesce(F.col("was") < F.col("first"), F.lit(False))
+        both = both.select("k", F.when(earlier, F.col("was")).otherwise(F.col("first")).alias("first"), F.when(earlier, F.col("was_code")).otherwise(F.col("first_code")).alias("first_code"), F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"), "n", "old_low", "old_high", F.col("was").isNotNull().alias("known"))
+        both.write.mode("overwrite").parquet(f"{self.folder}/work/batch_no={batch_no}")
+        return self.spark.read.schema(both.schema).parquet(f"{self.folder}/work/batch_no={batch_no}")
+
     def load(self, batch: DataFrame, batch_no: int, since: int | None = None) -> DataFrame:
         """(kept_item_id, item_id) of the batch's records that repeat an accepted one or one before them in the
         load; all others are accepted. since: the first batch_no, if the load holds several batches. Loading the
@@ -229,41 +238,37 @@ class AcceptedHistory:
         if (done := self._loaded(batch_no)) is not None:
             return done
         known = self._known(batch_no if since is None else since)
-        records = settle(read_records(batch.dropDuplicates(["item_id"])))
+        records = settle(read_records(batch))
+        if records.groupBy("item_id").count().filter("count > 1").limit(1).count():
+            records = settle(records.dropDuplicates(["item_id"]))
         n_rows = records.agg(F.sum(F.size("chunks"))).first()[0] or 0
-        rows = _rows(records)
-        mine = _first(rows)
-        # of the history only rows with a key of the batch; the table is bucketed, so it stays where it is
-        old = known.join(mine.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(
-            F.min("first").alias("old_first"), F.min_by("first_code", "first").alias("old_code"), F.min_by("first_total", "first").alias("old_total"), F.min("first_code").alias("old_low"), F.max("first_code").alias("old_high"))
-        both = mine.join(old, "k", "left")
-        earlier = F.col("old_first") < F.col("first")
-        pick = lambda a, b: F.when(earlier, F.col(a)).otherwise(F.col(b))
-        verdict = both.select("k", pick("old_first", "first").alias("first"), pick("old_code", "first_code").alias("first_code"), pick("old_total", "first_total").alias("first_total"), F.least("low", "old_low").alias("low"), F.greatest("high", "old_high").alias("high"), "n", F.col("old_first").isNotNull().alias("was"))
-        verdict = verdict.filter("was or n > 1").drop("was")  # a chunk seen once leads nowhere
-        edges = _followed(settle(_decided(_leads(rows, verdict, n_rows), self.coverage, self.alone)))
-        self._append(records, edges, known, batch_no)
+        merged = self._merged(records, known, batch_no)
+        telling = F.col("low").isNull() | (F.col("low") == F.col("high"))
+        # a chunk seen once leads nowhere
+        verdict = merged.filter("known or n > 1").select("k", F.when(telling, F.col("first")).otherwise(-1).alias("first"), F.when(telling, F.col("first_code")).alias("first_code"), "n")
+        edges = _followed(settle(_decided(_leads(records, verdict, n_rows), records, self.coverage, self.alone)))
+        self._append(merged, edges, batch_no)
         edges.select(F.col("kept").alias("kept_item_id"), "item_id").write.mode("overwrite").parquet(f"{self.folder}/loads/batch_no={batch_no}")
+        self._delete(f"work/batch_no={batch_no}")
         return self._loaded(batch_no)
 
-    def _append(self, records: DataFrame, edges: DataFrame, known: DataFrame, batch_no: int) -> None:
-        """Appends the chunks of accepted records, and the keys and codes of repeats under the record they repeat."""
-        owned = records.join(edges, "item_id", "left").withColumn("accepted", F.col("kept").isNull())
-        rows = owned.select(F.coalesce("kept", "item_id").alias("first"), F.col("code").alias("first_code"), F.col("total").alias("first_total"), "accepted", F.explode("chunks").alias("c")).filter("accepted or c.own")
-        new = rows.select("c.k", "first", "first_code", "first_total").groupBy("k").agg(F.min("first").alias("first"), F.min_by("first_code", "first").alias("first_code"), F.min_by("first_total", "first").alias("first_total"), F.min("first_code").alias("low"), F.max("first_code").alias("high"))
-        old = known.join(new.select("k").hint("shuffle_hash"), "k", "left_semi").groupBy("k").agg(F.min("first_code").alias("old_low"), F.max("first_code").alias("old_high"), F.lit(1).alias("was"))
-        # what the table doesn't say yet: a chunk, or a second project that carries it
-        told = F.col("was").isNotNull() & (F.col("low").isNull() | (F.col("old_low") < F.col("old_high")) | F.coalesce((F.col("low") == F.col("old_low")) & (F.col("high") == F.col("old_high")), F.lit(False)))
-        second = F.when(F.col("high") != F.col("first_code"), F.col("high")).when(F.col("low") != F.col("first_code"), F.col("low"))
-        new = new.join(old, "k", "left").filter(~told)
-        new = new.select("k", "first", F.explode(F.array_compact(F.array(F.struct("first_code", "first_total"), F.when(second.isNotNull(), F.struct(second.alias("first_code"), "first_total"))))).alias("x"))
-        new.select("k", "first", "x.first_code", "x.first_total", F.lit(batch_no).alias("batch_no")).repartition(self.buckets, "k").sortWithinPartitions("k").write.insertInto(self.name)
+    def _append(self, merged: DataFrame, edges: DataFrame, batch_no: int) -> None:
+        """Appends what the table doesn't say yet: a chunk, or a second project that carries it. What a repeat
+        carried first leads to the accepted record it repeats."""
+        second = F.when(F.col("high") != F.col("first_code"), F.col("high")).when(F.col("low") != F.col("first_code"), F.col("low")).when(F.col("first_code").isNull(), F.col("low"))
+        told = F.col("known") & (F.col("low").isNull() | F.coalesce((F.col("old_low") < F.col("old_high")) | ((F.col("low") == F.col("old_low")) & (F.col("high") == F.col("old_high"))), F.lit(False)))
+        new = merged.filter(~told).select("k", "first", F.explode(F.array_distinct(F.array_append(F.array("first_code"), F.coalesce(second, F.col("first_code"))))).alias("first_code"))
+        new = new.join(edges.select(F.col("item_id").alias("first"), "kept"), "first", "left").withColumn("first", F.coalesce("kept", "first"))
+        new.select("k", "first", "first_code", F.lit(batch_no).alias("batch_no")).repartition(self.buckets, "k").sortWithinPartitions("k").write.insertInto(self.name)
+
+    def _delete(self, part: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def drop(self) -> None:
         """Removes the table and its folder."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete("")
 
 
 def repeated(items: DataFrame, coverage: float = COVERAGE, alone: float = ALONE, loads: int = LOADS) -> DataFrame:
