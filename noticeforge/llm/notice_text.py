@@ -80,22 +80,3 @@ def core_of(title: str) -> str:
 def plain_title(title: str | None) -> str:
     """A title in canonical characters, brackets of one width."""
     return (canonical(title) or "").replace("（", "(").replace("）", ")").replace("：", ":").strip()
-
-
-def issuers_in(text: str | None) -> list[str]:
-    """Names that the text's own sentences give as the buyer."""
-    if not text:
-        return []
-    return [name for line in text.split("\n") for shape in _BUYER if (m := shape.match(line)) and 3 < len(name := m[1].strip()) < 80]
-
-
-# Sentences in which a notice names its buyer.
-_BUYER = [
-    re.compile(r"^受(.+?)委托[，,]"),
-    re.compile(r"^(.+?)就[“\"].+?[”\"]"),
-    re.compile(r"^(.+?)的.+?[，,]编号为"),
-    re.compile(r"^(.+?)组织的.+?[（(]项目编号"),
-    re.compile(r"^(.+?)于\d{4}年\d{1,2}月\d{1,2}日发布的"),
-    re.compile(r"^(.+?) intends to procure "),
-    re.compile(r"^On behalf of (.+?), bids are sought"),
-]

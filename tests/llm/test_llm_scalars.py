@@ -91,7 +91,6 @@ def test_notice_signature():
     assert notice_text.lot_of("X - Y, Lot B (second call): call for bids") == "lB"
     assert (notice_text.call_of("某项目(第二次)"), notice_text.call_of("X (second call)"), notice_text.call_of("某")) == (2, 2, 1)
     assert [notice_text.kind_of(k, "某项目成交公告", None) for k in (None, "other", "CHANGE")] == ["result", "result", "change"]
-    assert notice_text.issuers_in("题\n受甲市乙县丙局委托，现对某") == ["甲市乙县丙局"]
 
 
 def test_best_run_against_all_runs():
