@@ -2,8 +2,15 @@
 
 Every value gets the array of all its valid readings (`readings`). Where a value has several, the one
 read is chosen by Viterbi over the order of records within the source: a reading costs what it departs
-from how the source is known to write (`COSTS`), a step from one record to the next costs a switch of the
-format and a jump back in time.
+from how the source writes, a step from one record to the next costs a switch of the format and a jump back in
+time.
+
+What a departure costs is learned. How a source orders all-digit dates is declared, but its dates with a day
+beyond the twelfth show whether it keeps to that: the cost of the other order is the log of the odds against it,
+starting from `TRUST` to one for the declaration, and turns negative for a source that writes otherwise. A jump
+back costs the log of the odds against one between neighbouring records of the block that are read for sure: much
+where a source publishes in order, next to nothing for deadlines, which have no order. So the chain can overrule a
+declaration, and does where a source's own records speak against it.
 
 A record with one reading separates the chain, as the state there is known. So the chain is cut into
 blocks by record id, of `BLOCK` ids each; a block takes the last sure reading of the blocks before it as
@@ -19,6 +26,7 @@ otherwise. Repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -35,8 +43,10 @@ from pyspark.sql.window import Window
 BLOCK = 1 << 16
 #: Years that a reading may have.
 YEARS = (1971, 2099)
-#: Costs of readings and steps. A declared order of all-digit dates outweighs any two steps.
+#: Costs of readings and steps; those of the order that isn't declared and of a jump back hold where nothing was learned.
 COSTS = {"undeclared_order": 6.0, "second_fold": 2.5, "switch": 1.0, "back": 0.5}
+#: Dates that a declaration is worth.
+TRUST = 20
 #: A step back by more than so many seconds is a jump; records of one source overlap by hours.
 BACK_S = 86_400
 
@@ -185,7 +195,7 @@ def readings(value: str | None, zone: str | None = None, order: str | None = Non
     return out
 
 
-def best_chain(states: list[list[tuple]], start: tuple | None = None) -> list[int]:
+def best_chain(states: list[list[tuple]], start: tuple | None = None, back: float = COSTS["back"]) -> list[int]:
     """Viterbi over records of several readings each: the index of the reading taken for each.
     start is the reading before the first. Ties go to the first reading."""
     chosen: list[int] = [0] * len(states)
@@ -199,29 +209,35 @@ def best_chain(states: list[list[tuple]], start: tuple | None = None) -> list[in
             j += 1
         end = states[j][0] if j < len(states) else None
         costs: list[float] | None = None
-        back: list[list[int]] = []
+        links: list[list[int]] = []
         for k in range(i, j + (end is not None)):
             now = states[k]
             if costs is None:
-                costs, link = [s[2] + (_step(previous, s) if previous else 0.0) for s in now], [-1] * len(now)
+                costs, link = [s[2] + (_step(previous, s, back) if previous else 0.0) for s in now], [-1] * len(now)
             else:
                 link, new = [], []
                 for s in now:
-                    through = [c + _step(p, s) for c, p in zip(costs, states[k - 1])]
+                    through = [c + _step(p, s, back) for c, p in zip(costs, states[k - 1])]
                     link.append(through.index(min(through)))
                     new.append(min(through) + s[2])
                 costs = new
-            back.append(link)
+            links.append(link)
         at = costs.index(min(costs))
-        for k in range(i + len(back) - 1, i - 1, -1):
+        for k in range(i + len(links) - 1, i - 1, -1):
             chosen[k] = at
-            at = back[k - i][at]
+            at = links[k - i][at]
         i = j
     return chosen
 
 
-def _step(a: tuple, b: tuple) -> float:
-    return (COSTS["switch"] if a[1] != b[1] else 0.0) + (COSTS["back"] if b[0] < a[0] - BACK_S else 0.0)
+def _step(a: tuple, b: tuple, back: float = COSTS["back"]) -> float:
+    return (COSTS["switch"] if a[1] != b[1] else 0.0) + (back if b[0] < a[0] - BACK_S else 0.0)
+
+
+def back_cost(seconds: list[int]) -> float:
+    """What a jump back costs among records of these instants, in their order."""
+    jumps = sum(y < x - BACK_S for x, y in zip(seconds, seconds[1:]))
+    return max(0.0, math.log((len(seconds) - jumps) / (jumps + 1))) if seconds else COSTS["back"]
 
 
 @F.pandas_udf(T.ArrayType(READING))
@@ -231,10 +247,11 @@ def _readings_udf(value: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Ser
 
 def _choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-    states = [[(r["sec"], r["fmt"], r["cost"], r["has_time"]) for r in rs] for rs in pdf["readings"]]
+    other = pdf["other_order"].iloc[0]
+    states = [[(r["sec"], r["fmt"], r["cost"] - COSTS["undeclared_order"] + other if r["cost"] >= COSTS["undeclared_order"] else r["cost"], r["has_time"]) for r in rs] for rs in pdf["readings"]]
     before = pdf["before"].iloc[0]
     start = None if before is None else (before["sec"], before["fmt"])
-    taken = [s[i] for s, i in zip(states, best_chain(states, start))]
+    taken = [s[i] for s, i in zip(states, best_chain(states, start, back_cost([s[0][0] for s in states if len(s) == 1])))]
     return pd.DataFrame({"id": pdf["id"], "field_name": pdf["field_name"], "utc_second": [t[0] for t in taken], "fmt": [t[1] for t in taken], "has_time": [t[3] for t in taken], "n_readings": [len(s) for s in states]})
 
 
@@ -260,6 +277,10 @@ def normalise_timestamps(rows: DataFrame, zones: DataFrame, fields: list[str], i
     )
     order = Window.partitionBy("source", "field_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("source", "field_name", "block", "open", F.last("last_sure", ignorenulls=True).over(order).alias("before")).filter("open")
+    # dates whose order is plain: how many keep to the declaration, and how many don't
+    plain = F.col("readings")[0]
+    kept = read.filter(single & plain["fmt"].rlike("^(DMY|MDY)")).groupBy("source").agg(F.count_if(plain["cost"] < COSTS["undeclared_order"]).alias("yes"), F.count_if(plain["cost"] >= COSTS["undeclared_order"]).alias("no"))
+    blocks = blocks.join(kept, "source", "left").withColumn("other_order", F.log((F.coalesce("yes", F.lit(0)) + TRUST) / (F.coalesce("no", F.lit(0)) + 1.0))).drop("yes", "no")
     sure = read.filter(single).select("id", "field_name", F.col("readings")[0].alias("r")).select("id", "field_name", F.col("r.sec").alias("utc_second"), F.col("r.fmt"), F.col("r.has_time"), F.lit(1).alias("n_readings"))
     chained = (
         read.join(blocks, ["source", "field_name", "block"])

@@ -71,3 +71,36 @@ def test_operator_on_edges(spark):
     assert set(got) == {(1, "published_at", utc(2024, 1, 3)), (2, "published_at", utc(2024, 4, 3)), (3, "published_at", utc(2024, 1, 3, zone="UTC")), (4, "published_at", utc(2024, 1, 3, zone="UTC"))}
     assert len(got) == 5
     assert normalise_timestamps(items.limit(0), zones, ["published_at"]).count() == 0
+
+
+def _days(n):
+    return [dt.date(2024, 1, 3) + dt.timedelta(days=2 * i) for i in range(n)]
+
+
+def _read(spark, values, order, known=True):
+    rows = [(i, "s", v) for i, v in enumerate(values)]
+    items = spark.createDataFrame(rows, "item_id long, source_code string, published_at string")
+    zones = spark.createDataFrame([("s" if known else "t", "UTC", order)], "source_code string, tz_name string, date_order string")
+    return {r.id: dt.datetime.fromtimestamp(r.utc_second, dt.UTC).date() for r in normalise_timestamps(items, zones, ["published_at"]).collect()}
+
+
+def test_chain_overrules_a_wrong_declaration(spark):
+    """The source is declared DMY but writes MDY: its dates beyond the twelfth and its order show it."""
+    days = _days(120)
+    assert _read(spark, [d.strftime("%m/%d/%Y") for d in days], "DMY") == dict(enumerate(days))
+    assert _read(spark, [d.strftime("%d/%m/%Y") for d in days], "DMY") == dict(enumerate(days))
+
+
+def test_order_of_records_decides_without_a_declaration(spark):
+    """Only steps back in time tell which order open dates have; the cheapest reading alone would take the first."""
+    days = [d for d in _days(170) if d.day <= 12 and d.day != d.month]
+    iso = [d.isoformat() for d in days]
+    for form in ("%m/%d/%Y", "%d/%m/%Y"):
+        values = [d.strftime(form) if i % 3 == 1 else iso[i] for i, d in enumerate(days)]
+        assert _read(spark, values, "YMD", known=False) == dict(enumerate(days))
+
+
+def test_declaration_holds_where_records_have_no_order(spark):
+    rnd = random.Random(2)
+    days = rnd.sample([dt.date(2024, m, d) for m in range(1, 13) for d in range(1, 28)], 200)
+    assert _read(spark, [d.strftime("%d/%m/%Y") for d in days], "DMY") == dict(enumerate(days))
