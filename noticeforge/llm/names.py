@@ -1,15 +1,21 @@
 """Variant spellings of the names of public bodies and firms (problem 4).
 
 A name is taken apart into place, kind of body, number and, of firms, brand. Places are learned from the names
-that spell them out; the rest is what is left. Kinds that differ by what people do to names on purpose
-(abbreviations, notations of numbers, forms of company) are brought together by fixed rules.
+that spell them out; the rest is what is left. Numbers and brands aren't part of a kind, so differently numbered
+bodies and different firms stay apart, whatever their distance.
 
 Typing errors are found by metric-space partitioning. The distinct kinds are assigned to the nearest of some
-pivots; a kind is replicated to every pivot that is less than 2 * `RADIUS` farther, so by the triangle
-inequality any two kinds within the radius meet in a cell (`RADIUS` 2 holds a transposition). In a cell only pairs of one edit
-or one transposition are linked, so of two typing errors in a name none is found. Of a pair of one edit or one transposition, the kind that is written much more seldom is an error
-for the other. Numbers and brands aren't part of a kind, so differently numbered bodies and different firms
-stay apart, whatever their distance.
+pivots; a kind is replicated to every pivot that is at most 2 * `RADIUS` farther, so by the triangle inequality
+any two kinds within the radius meet in the home cell of either. In a cell all pairs within `RADIUS` under the
+Levenshtein distance are found; full cells are cut into blocks, each pair of blocks a group of its own. Of a pair the
+kind that is written much more seldom is an error for the other; long kinds that are both seldom are errors for
+the one written no less. Two edits that aren't an exchange of neighbours are an error only in kinds of
+`LONG_LATIN` characters or more, as shorter kinds two edits apart are mostly different ones.
+
+Short forms are learned, not listed: a kind that leaves out characters or words of another, and at nearly all of its
+places stands beside it, is its short form (`shortened`). The lists that remain are of signs around names, of
+forms of company, of trades in two notations, of general abbreviations of English words, and of characters
+that sound alike, which tell which of several kinds an error is for.
 
 Names of one body are the class; `linked_pairs` expands classes to the pairs asked for.
 
@@ -37,32 +43,20 @@ RADIUS = 2
 SELDOM = 0.5
 #: Kinds of so many characters, Latin or rarely written, are errors for any neighbour written no less.
 LONG_LATIN, LONG_RARE = 8, 5
-#: Kinds that a pivot stands for, and bounds on pivots.
-PER_PIVOT, PIVOTS = 100, (4, 512)
+#: Kinds that a pivot stands for, bounds on pivots, and kinds in a block of a full cell.
+PER_PIVOT, PIVOTS, BLOCK = 100, (4, 512), 1024
+#: Share of a short form's places at which its full form is written too.
+TOGETHER = 0.6
 
 # What is written around names.
 _BEFORE = re.compile(r"^(?:【[^】]*】|(?:采购人|招标人|采购单位|招标单位|建设单位|业主|单位名称)(?:名称)?\s*[:： ])+\s*")
 _AFTER = re.compile(r"(?:[(（](?:盖章|公章|采购人|招标人|采购单位|章)[)）]|采购办(?:公室)?|招标办|[。.])+$")
-# Short forms of kinds.
-_ALIASES = {
-    "N中": "N中学", "N小": "N小学", "实小": "实验小学", "实中": "实验中学", "特教学校": "特殊教育学校", "职业学院": "职业技术学院", "职院": "职业技术学院",
-    "发展改革委": "发展和改革委员会", "发改委": "发展和改革委员会", "发展改革委员会": "发展和改革委员会", "医保局": "医疗保障局", "环保局": "生态环境局", "环境局": "生态环境局",
-    "水务局": "水务管理局", "教体局": "教育体育局", "教育局": "教育体育局", "卫健委": "卫生健康委员会", "卫生健康委": "卫生健康委员会", "住建局": "住房和城乡建设局", "住房城乡建设局": "住房和城乡建设局",
-    "人社局": "人力资源和社会保障局", "人力资源社会保障局": "人力资源和社会保障局", "自规局": "自然资源和规划局", "资规局": "自然资源和规划局", "自然资源规划局": "自然资源和规划局",
-    "文旅局": "文化和旅游局", "文化旅游局": "文化和旅游局", "农业局": "农业农村局", "农农局": "农业农村局", "交通局": "交通运输局", "应急局": "应急管理局", "市监局": "市场监督管理局", "市场监管局": "市场监督管理局",
-    "退役军人局": "退役军人事务局", "数据局": "数据资源管理局", "数据资源局": "数据资源管理局", "执法局": "综合行政执法局", "综合执法局": "综合行政执法局", "疾控中心": "疾病预防控制中心", "妇保院": "妇幼保健院", "人医": "人民医院",
-    "公共资源中心": "公共资源交易中心", "交易中心": "公共资源交易中心", "机关事务中心": "机关事务管理中心", "融媒中心": "融媒体中心", "园区管委会": "产业园区管理委员会", "管委会": "产业园区管理委员会",
-    "公交公司": "公共交通", "公交": "公共交通", "城投集团": "城市建设投资集团", "城投公司": "城市建设投资集团", "城投": "城市建设投资集团", "城建投集团": "城市建设投资集团",
-}
+# Trades of firms, as written in full and in short.
 _TRADES = {"环境科技": "环境科技", "环科": "环境科技", "园林绿化": "园林绿化", "园林": "园林绿化", "建筑工程": "建筑工程", "建工": "建筑工程", "信息技术": "信息技术", "信息": "信息技术", "物业服务": "物业服务", "物业": "物业服务", "供热": "供热"}
 _COMPANY = ("有限责任公司", "有限公司")
 # Characters that sound alike and are typed for each other in names.
 _SOUND = str.maketrans("晓苑思玉衣党途搏线工际萎镜居荣煤元急贯空", "小院司育医档图博限公技委境局融媒园疾管控")
 _WORDS = {"sch": "school", "gen": "general", "mun": "municipal", "auth": "authority", "comm": "commission", "util": "utility", "mgmt": "management", "proc": "procurement", "eng": "engineering", "dept": "department", "dist": "district", "svc": "service"}
-_ENGLISH = {"transit": "transit agency", "schools": "school district", "city library": "municipal library service", "roads department": "department of roads", "energy coop": "energy cooperative", "energy co op": "energy cooperative", "water board": "water utility board", "general hospital": "general hospital trust"}
-
-#: Kinds known by their names: never errors themselves.
-_KNOWN = set(_ALIASES.values()) | set(_ENGLISH.values()) | {f"firm {t}" for t in _TRADES.values()}
 
 _HAN = re.compile("[㐀-鿿]")
 _NUMBER = re.compile(r"第*([一二三四五六七八九十]+|\d+)")
@@ -106,7 +100,7 @@ def without_company(text: str) -> tuple[str, bool]:
     shorter = [text[:-n] for form in _COMPANY for n in (len(form), len(form) + 1, len(form) - 1) if len(text) > n + 2 and one_edit(text[-n:], form)]
     if shorter:  # of several, one that leaves a trade
         return next((s for s in shorter if s[2:] in _TRADES), shorter[0]), True
-    if text.endswith("公司") and _trade(text[2:-2]):
+    if text.endswith("公司") and (_trade(text[2:-2]) or len(text) == 4):
         return text[:-2], True
     return text, False
 
@@ -133,7 +127,7 @@ def han_parts(name: str, place: str | None, above: str | None) -> tuple[str, str
         trade = _trade(short[2:])
         if trade:
             return f"firm {trade}", "", short[:2].translate(_SOUND)
-        if company and len(short) == 2 or not company and len(short) == 2 and short not in _ALIASES and not _NUMBER.search(short):
+        if len(short) == 2 and (company or not _NUMBER.search(short)):
             return "firm", "", short.translate(_SOUND)
     rest = short if company else rest
     number = ""
@@ -144,9 +138,7 @@ def han_parts(name: str, place: str | None, above: str | None) -> tuple[str, str
             n = han_number("".join(c for i, c in enumerate(said) if i == 0 or c != said[i - 1])) or 0
         number = str(n)
         rest = (rest[: m.start()] + "N" + rest[m.end() :]).replace("第", "")
-    rest = _ALIASES.get(rest, rest)
-    alike = rest.translate(_SOUND)
-    return alike if rest not in _KNOWN and alike in _KNOWN else rest, number, ""
+    return rest, number, ""
 
 
 def english_parts(name: str, place: str | None) -> tuple[str, str, str]:
@@ -161,8 +153,7 @@ def english_parts(name: str, place: str | None) -> tuple[str, str, str]:
                 words.pop(0)
     if words[:1] == ["the"]:
         words.pop(0)
-    kind = " ".join(_WORDS.get(w, w) for w in words)
-    return _ENGLISH.get(kind, kind), "", ""
+    return " ".join(_WORDS.get(w, w) for w in words), "", ""
 
 
 @F.pandas_udf(T.StringType())
@@ -208,7 +199,7 @@ def levenshtein(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def _assign(pivots: list[str], radius: int):
-    """Cells of each kind: the nearest pivot's, and all less than 2 * radius farther."""
+    """Cells of each kind: the nearest pivot's (home), and all at most 2 * radius farther."""
 
     def rows(batches):
         for pdf in batches:
@@ -216,81 +207,105 @@ def _assign(pivots: list[str], radius: int):
                 part = pdf.iloc[i : i + 256]
                 d = levenshtein(part["kind"].tolist(), pivots)
                 k, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * radius)
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "kind": part["kind"].to_numpy()[k], "n": part["n"].to_numpy()[k]})
+                home = d.argmin(axis=1)[k] == cell
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "kind": part["kind"].to_numpy()[k], "n": part["n"].to_numpy()[k], "home": home})
 
     return rows
 
 
-def _join_cell(radius: int, seldom: float):
+def _join_blocks(radius: int, seldom: float):
+    """Pairs of a block of a cell's homes with a block of all in the cell, within the radius."""
+
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds, n = pdf["kind"].tolist(), pdf["n"].to_numpy()
-        # characters as bits: an edit changes two of them at most
-        bits = np.array([np.bitwise_or.reduce([np.uint64(1) << np.uint64(hash_char(c)) for c in k]) for k in kinds], dtype=np.uint64)
-        lengths = np.array([len(k) for k in kinds])
-        rank = np.empty(len(kinds), np.int64)
-        rank[np.lexsort((kinds, n))] = np.arange(len(kinds))
-        free = np.array([k.isascii() and len(k) >= LONG_LATIN or len(k) >= LONG_RARE and m <= 2 for k, m in zip(kinds, n)])
-        mistaken = np.array([k not in _KNOWN for k in kinds])
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        kinds, others = left["kind"].tolist(), right["kind"].tolist()
+        if not kinds or not others:
+            return pd.DataFrame([], columns=["kind", "right", "n", "alike", "d"])
+        n, m = left["n"].to_numpy(), right["n"].to_numpy()
+        d = levenshtein(kinds, others)
+        free_a, free_b = ([k.isascii() and len(k) >= LONG_LATIN or len(k) >= LONG_RARE and c <= 2 for k, c in zip(ks, cs)] for ks, cs in ((kinds, n), (others, m)))
+        order = {k: i for i, k in enumerate(sorted(set(kinds) | set(others)))}
+        rank_a, rank_b = np.array([order[k] for k in kinds]), np.array([order[k] for k in others])
+        less = (n[:, None] < m[None, :]) | ((n[:, None] == m[None, :]) & (rank_a[:, None] < rank_b[None, :]))
+        lesser = (n[:, None] < seldom * m[None, :]) | (np.array(free_a)[:, None] & np.array(free_b)[None, :] & less)
         out = []
-        for i in range(0, len(kinds), 512):
-            j = slice(i, i + 512)
-            lesser = (n[j, None] < seldom * n[None, :]) | (free[j, None] & free[None, :] & (rank[j, None] < rank[None, :]))
-            lesser &= mistaken[j, None]
-            near = (np.bitwise_count(bits[i : i + 512, None] ^ bits[None, :]) <= 2 * radius) & (np.abs(lengths[i : i + 512, None] - lengths[None, :]) <= radius) & lesser
-            for a, b in zip(*np.nonzero(near)):
-                a += i
-                # one edit or transposition is within the radius; of others within it only these are errors
-                if one_edit(kinds[a], kinds[b]):
-                    out.append((kinds[a], kinds[b], int(n[b]), kinds[a].translate(_SOUND) == kinds[b].translate(_SOUND)))
-        return pd.DataFrame(out, columns=["kind", "right", "n", "alike"])
+        for a, b in zip(*np.nonzero((d > 0) & (d <= radius) & lesser)):
+            x, y = kinds[a], others[b]
+            # two characters are too few for an error; two edits are one only in a name of some length, unless
+            # neighbours changed places
+            if min(len(x), len(y)) > 2 and (d[a, b] == 1 or one_edit(x, y) or min(len(x), len(y)) >= LONG_LATIN):
+                out.append((x, y, int(m[b]), x.translate(_SOUND) == y.translate(_SOUND), int(d[a, b])))
+        return pd.DataFrame(out, columns=["kind", "right", "n", "alike", "d"])
 
     return pairs
 
 
-def hash_char(c: str) -> int:
-    return (ord(c) * 0x9E3779B1 >> 13) & 63
-
+def corrected(kinds: DataFrame, radius: int = RADIUS, seldom: float = SELDOM, block: int = BLOCK) -> DataFrame:
+    """(kind, right): of each kind that is an error, the kind it is an error for. kinds: (kind, n).
 
-def corrected(kinds: DataFrame, radius: int = RADIUS, seldom: float = SELDOM) -> DataFrame:
-    """(kind, right): of each kind that is an error, the kind it is an error for. kinds: (kind, n)."""
+    Each pair is found in the home cell of its left side. A full cell is cut into blocks of about `block` kinds by
+    hash, and each block of homes meets each block of the cell as a group of its own, so no task takes a whole cell."""
     total = kinds.count()
     k = int(min(max(total / PER_PIVOT, PIVOTS[0]), PIVOTS[1]))
     # pivots: a bounded sample, the kinds written most
     pivots = [r.kind for r in kinds.orderBy(F.desc("n"), "kind").limit(k).collect()]
     if not pivots:
         return kinds.select("kind", F.col("kind").alias("right")).limit(0)
-    cells = kinds.mapInPandas(_assign(pivots, radius), "cell int, kind string, n long")
-    # cells are few and small in bytes but long in work: as many partitions as the session has, not as few as hold them
-    pairs = cells.repartition(skewless(kinds.sparkSession), "cell").groupBy("cell").applyInPandas(_join_cell(radius, seldom), "kind string, right string, n long, alike boolean")
-    step = settle(pairs.groupBy("kind").agg(F.max_by("right", F.struct("alike", "n", "right")).alias("right")))
-    # an error for an error: each step leads to a kind written more, so steps end; doubling them takes few rounds
-    for _ in range(6):
+    cells = settle(kinds.mapInPandas(_assign(pivots, radius), "cell int, kind string, n long, home boolean"))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # one row a pivot
+    parted = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("kind"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = parted.filter("home").select("cell", "kind", "n", F.col("part").alias("i"), every.alias("j"), F.lit(0).alias("side"))
+    right = parted.select("cell", "kind", "n", every.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))
+    # groups are small in bytes but long in work: as many partitions as the session has, not as few as hold them
+    pairs = left.unionByName(right).repartition(skewless(kinds.sparkSession), "cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(_join_blocks(radius, seldom), "kind string, right string, n long, alike boolean, d int")
+    step = settle(pairs.groupBy("kind").agg(F.max_by("right", F.struct("alike", -F.col("d"), "n", "right")).alias("right")))
+    # an error for an error: each step leads to a kind written more, or as often and later in order, so steps end; each
+    # round doubles their length
+    while True:
         on = step.select(F.col("kind").alias("right"), F.col("right").alias("further"))
         longer = settle(step.join(on, "right", "left").select("kind", F.coalesce("further", "right").alias("right"), F.col("further").isNotNull().alias("moved")))
         step = longer.select("kind", "right")
         if not longer.filter("moved").limit(1).count():
-            break
-    return step
+            return step
+
+
+def shortens(short: str, full: str) -> bool:
+    """Whether a kind leaves out part of another: of Han names characters, their order kept; of others words, or the
+    ends of words; or has its words in another order."""
+    if _HAN.search(short):
+        rest = iter(full)
+        return len(short) < len(full) and all(c in rest for c in short)
+    words, at = full.split(), 0
+    if sorted(w for w in words if w != "of") == sorted(w for w in short.split() if w != "of"):
+        return short != full
+    for w in short.split():
+        while at < len(words) and not (words[at].startswith(w) or (len(w) > 4 and w.endswith("s") and words[at] == w[:-1])):
+            at += 1
+        if at == len(words):
+            return False
+        at += 1
+    return len(short.split()) < len(words) or len(short) < len(full)
 
 
 @F.pandas_udf(T.BooleanType())
 def _shortens_udf(short: pd.Series, full: pd.Series) -> pd.Series:
-    def fits(a: str, b: str) -> bool:
-        rest = iter(b)
-        return all(c in rest for c in a)
-
-    return pd.Series([fits(a, b) for a, b in zip(short, full)], dtype=bool)
+    return pd.Series([shortens(a, b) for a, b in zip(short, full)], dtype=bool)
 
 
-def shortened(kinds: DataFrame) -> DataFrame:
-    """(kind, full): of each short Chinese kind the one kind, written more, whose first and last characters it
-    shares and whose characters it leaves out in part."""
-    ends = lambda c: F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
-    kinds = kinds.filter(F.col("kind").rlike("^[㐀-鿿]+$"))
-    a = kinds.select("kind", "n", ends("kind").alias("ends")).filter(F.length("kind").between(3, 6))
-    b = kinds.select(F.col("kind").alias("full"), F.col("n").alias("m"), ends("kind").alias("ends"))
-    fit = a.join(b, "ends").filter("length(full) > length(kind) + 1 and m > 2 * n").filter(_shortens_udf("kind", "full"))
-    return fit.groupBy("kind").agg(F.min("full").alias("low"), F.max("full").alias("high")).filter("low = high").select("kind", F.col("low").alias("full"))
+def shortened(written: DataFrame, share: float = TOGETHER) -> DataFrame:
+    """(kind, full): of each kind that leaves out part of others the one that stands beside it at most of its places,
+    at least at `share` of them. written: (place, kind, n). Bodies are written in full somewhere, so a short form's
+    full form is found at nearly all places it is, and a mere likeness isn't."""
+    of = settle(written.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("places")))
+    edge = lambda k: F.explode(F.array(F.concat(F.lit("^"), F.substring(k, 1, 1)), F.concat(F.lit("$"), F.substring(k, -1, 1)), F.array_join(F.array_sort(F.filter(F.split(k, " "), lambda w: w != "of")), " ")))
+    a = of.filter(F.length("kind") >= 2).select("kind", "n", "places", edge("kind").alias("edge"))
+    b = of.select(F.col("kind").alias("full"), F.col("n").alias("m"), edge("kind").alias("edge"))
+    fit = a.join(b, "edge").filter((F.length("full") > F.length("kind")) & (F.col("m") > F.col("n"))).select("kind", "full", "places", "m").distinct().filter(_shortens_udf("kind", "full"))
+    at = written.select("place", "kind")
+    met = fit.join(at, "kind").join(at.select("place", F.col("kind").alias("full")), ["place", "full"]).groupBy("kind", "full", "places", "m").agg(F.count("*").alias("both"))
+    met = met.filter(F.col("both") >= share * F.col("places"))
+    return met.groupBy("kind").agg(F.max_by("full", F.struct(F.col("both"), -F.length("full"), "m", "full")).alias("full"))
 
 
 def _places(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -320,24 +335,20 @@ def bodies(rows: DataFrame, id_col: str = "name_id", name_col: str = "issuer", r
     hit = tokens.join(places, "token").groupBy("name_id").agg(F.max_by(F.struct("place", "above"), F.struct(F.contains("name", "place"), -F.instr("name", F.col("token")), "place")).alias("p"))
     parted = named.join(hit, "name_id", "left").select("name_id", F.col("p.place").alias("place"), _parts_udf("name", F.col("p.place"), F.col("p.above")).alias("x")).select("name_id", F.coalesce("place", F.lit("")).alias("place"), "x.*")
     parted = settle(parted)
-    kinds = parted.groupBy("kind").agg(F.count("*").alias("n"))
-    kinds = kinds.filter(F.length("kind") > 1)
+    # a firm without its trade is the one firm of its brand at its place, if there is one; else its two characters are
+    # a short form of a kind
+    firms = parted.filter(F.col("kind").startswith("firm ")).groupBy("place", "brand").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low = high").select("place", "brand", F.col("low").alias("trade"))
+    bare = parted.filter("kind = 'firm'").join(firms, ["place", "brand"], "left").withColumn("kind", F.coalesce("trade", "brand")).withColumn("brand", F.when(F.col("trade").isNotNull(), F.col("brand")).otherwise("")).drop("trade")
+    parted = settle(parted.filter("kind != 'firm'").unionByName(bare))
+    kinds = parted.groupBy("kind").agg(F.count("*").alias("n")).filter(F.length("kind") > 1)
     right = corrected(settle(kinds))
     fixed = parted.join(right, "kind", "left").withColumn("kind", F.coalesce("right", "kind")).drop("right")
-    errors = right.select("kind")
-    attested = settle(kinds.join(errors, "kind", "left_anti"))
-    fixed = fixed.join(shortened(attested), "kind", "left").withColumn("kind", F.coalesce("full", "kind")).drop("full")
     # initials stand for the kind of several words that has them, if one has
     initials = kinds.filter(F.col("kind").contains(" ") & ~F.col("kind").startswith("firm ")).select(F.col("kind").alias("full"), "n", F.array_join(F.transform(F.filter(F.split("kind", " "), lambda w: w != "of"), lambda w: F.substring(w, 1, 1)), "").alias("kind")).filter(F.length("kind") > 2)
     initials = initials.groupBy("kind").agg(F.max_by("full", F.struct("n", "full")).alias("full"))
-    fixed = fixed.join(initials, "kind", "left").withColumn("kind", F.coalesce("full", "kind")).drop("full")
-    # a kind with a short form by its own errors may have become an alias
-    alias = F.create_map(*[F.lit(x) for kv in _ALIASES.items() for x in kv])
-    fixed = fixed.withColumn("kind", F.coalesce(F.element_at(alias, F.col("kind")), "kind"))
-    # a firm without its trade is the one firm of its brand at its place, if there is one
-    firms = fixed.filter(F.col("kind").startswith("firm ")).groupBy("place", "brand").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low = high").select("place", "brand", F.col("low").alias("trade"))
-    bare = fixed.filter("kind = 'firm'").join(firms, ["place", "brand"], "left").withColumn("kind", F.coalesce("trade", "kind")).drop("trade")
-    fixed = fixed.filter("kind != 'firm'").unionByName(bare)
+    fixed = settle(fixed.join(initials, "kind", "left").withColumn("kind", F.coalesce("full", "kind")).drop("full"))
+    short = shortened(fixed.groupBy("place", "kind").agg(F.count("*").alias("n")))
+    fixed = fixed.join(short, "kind", "left").withColumn("kind", F.coalesce("full", "kind")).drop("full")
     keyed = settle(fixed.select("name_id", F.xxhash64("place", "kind", "number", "brand").alias("body")))
     sizes = keyed.groupBy("body").agg(F.min("name_id").alias("body_id"), F.count("*").alias("n_spellings"))
     return keyed.join(sizes, "body").select("name_id", "body_id", "n_spellings")

@@ -139,6 +139,9 @@ def test_names(spark):
         ["甲川市丁山区数据资源管理局", "丁山区数据局", "丁山区数据据资源管理局"], ["甲川市乙河县数据资源管理局"],
         ["Bafobafo School District", "School District, Bafobafo", "BAFOBAFO SCHOOL DISTRICT", "Mun. of Bafobafo, Sch. District", "School Distrcit, Bafobafo"], ["Lodibana School District"],
     ]
+    # what a kind is, and what an error, is told by how often it is written
+    more = [[f"甲川市{p}县{k}" for k in (kind,)] for p in ("戊山", "己水", "庚林", "辛石", "壬岭") for kind in ("第九中学", "第九小学", "数据资源管理局", "人民医院")]
+    same += more + [[f"{p} School District"] for p in ("Gatobaso", "Hujibado", "Kifabamo", "Dulabaho")]
     rows, ids = [], {}
     for body, spellings in enumerate(same):
         for s in spellings:
@@ -150,6 +153,31 @@ def test_names(spark):
     assert got == want
 
 
+def test_full_cells_are_cut_into_blocks(spark):
+    """Blocks of any size give the same, and all pairs that comparing everything with everything gives."""
+    import random
+
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(rnd.randrange(4, 9))) for _ in range(60)]
+    kinds = {k: 20 for k in base}
+    for k in base[:40]:
+        i = rnd.randrange(1, len(k))
+        kinds.setdefault(k[:i] + "子" + k[i:], 1)
+    df = spark.createDataFrame(list(kinds.items()), "kind string, n long")
+    want = {(a, b) for a in kinds for b in kinds if kinds[a] < 0.5 * kinds[b] and names.levenshtein([a], [b])[0, 0] == 1}
+    for block in (7, 1000):
+        got = {(r.kind, r.right) for r in names.corrected(df, block=block).collect()}
+        assert {a for a, _ in got} == {a for a, _ in want} and got <= want
+
+
+def test_short_forms_are_learned(spark):
+    """A short form stands where its full form does; a likeness elsewhere isn't one."""
+    rows = [(p, "文化和旅游局", 3) for p in "abcdef"] + [(p, "文旅局", 1) for p in "abc"] + [("x", "文局", 1), ("a", "roads department", 1), ("a", "department of roads", 2)]
+    got = {(r.kind, r.full) for r in names.shortened(spark.createDataFrame(rows, "place string, kind string, n long")).collect()}
+    assert got == {("文旅局", "文化和旅游局"), ("roads department", "department of roads")}
+    assert names.shortens("energy coop", "energy cooperative") and not names.shortens("局文旅", "文化和旅游局") and not names.shortens("甲", "乙丙")
+
+
 def test_leaks_and_clauses(spark):
     passage = "梨湾甲得三分乙得七九零九分密封条补记五十六分后谁先入围若菊阁的基准价高出八十六应改判"
     clause = "评审委员会按照客观公正审慎的原则根据采购文件规定的评审程序评审方法和评审标准进行独立评审"
