@@ -4,16 +4,17 @@ Spaced seeds: fixed masks over token positions, of which only some count, are ha
 evaluation items and of the documents, so a hit survives exchanged tokens at the ignored positions. Each hit
 names an item and a diagonal; along it the two token rows are compared and the best run is taken, then the best
 of what it leaves and so on, a token that agrees counting 1 and one that doesn't `-EXCHANGE`. A run of `MIN_CHARS`
-characters or `MIN_WORDS` words leaks.
+characters or `MIN_WORDS` words leaks, exchanged ones included, if `AGREE` of them agree.
 
 Tokens are letters and digits without width, case and accents, characters for one row and words for another; so
 punctuation, spacing and width don't matter. Chinese items are looked up by characters, others by words.
 
-Standard clauses are told by the corpus itself: a stretch of an item with the same bounds, give or take
-`CLAUSE_EDGE` tokens, in more than `CLAUSE_SHARE` of all texts (and more than `CLAUSE_LEAST`) that don't hold the
-item's other text. What is left of each run without clauses must still be long enough. Copies are one text, so
-neither a copied leak nor one of whole items is taken for a clause. Only documents that are nothing but the stretch
-count each: they hold no text of their own that could be a copy.
+Standard clauses are told by the items themselves: a stretch that two items share, both having other text besides,
+is a clause, however often it occurs. One that a single item quotes is told by the corpus: a stretch of an item
+with the same bounds, give or take `CLAUSE_EDGE` tokens, in more than `CLAUSE_SHARE` of all texts, and in at least
+`CLAUSE_LEAST`, that don't hold the item's other text. What is left of each run without clauses must still be long
+enough. Copies are one text, so neither a copied leak nor one of whole items is taken for a clause. Only documents
+that are nothing but the stretch count each: they hold no text of their own that could be a copy.
 
 The evaluation items are a stated query set: they are taken in blocks of at most `BLOCK_SEEDS` seeds, and a
 block's table is sent to the tasks. More items make more blocks, not a larger table.
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from noticeforge.llm.folding import codes_of, folded
 from noticeforge.session import settle
 
-MIN_CHARS, MIN_WORDS, EXCHANGE = 30, 12, 2.5
-CLAUSE_SHARE, CLAUSE_LEAST, CLAUSE_EDGE = 0.005, 3, 3
+MIN_CHARS, MIN_WORDS, EXCHANGE, AGREE = 30, 12, 1.5, 0.8
+CLAUSE_SHARE, CLAUSE_LEAST, CLAUSE_EDGE = 0.005, 8, 3
 #: Text beside a stretch counts if it has at least the least run divided by this.
 REST = 3
 BLOCK_SEEDS = 1 << 20
@@ -152,9 +153,11 @@ class _Block:
                 first, end = best_runs(equal)
                 long = end - first >= self.least
                 rows, first, end, equal = rows[long], first[long], end[long], equal[long]
-                out.append(np.stack([d[rows], self.ids[k[rows]], first, end, self.sizes[k[rows]]]))
                 place = np.arange(equal.shape[1])[None, :]
-                equal &= (place < first[:, None]) | (place >= end[:, None])
+                run = (place >= first[:, None]) & (place < end[:, None])
+                alike = (equal & run).sum(axis=1) >= AGREE * (end - first)
+                out.append(np.stack([d[rows], self.ids[k[rows]], first, end, self.sizes[k[rows]]])[:, alike])
+                equal &= ~run
         # positions are those in the item
         return list(map(tuple, np.unique(np.concatenate(out, axis=1), axis=1).T.tolist())) if out else []
 
@@ -228,16 +231,26 @@ def _clauses(limit: float):
     return rows
 
 
+def shared_positions(items: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """(item_id, words, shared): positions of an item in stretches that another item has too. Items that are nothing
+    but the stretch are copies of a passage, not witnesses of a clause."""
+    among = runs(items.select(F.col("item_id").alias("doc_id"), "text"), items, block_seeds)
+    least = F.when(F.col("words"), MIN_WORDS).otherwise(MIN_CHARS)
+    clause = among.filter((F.col("doc_id") != F.col("item_id")) & (F.col("copy") != F.col("doc_id").cast("string")) & (F.col("whole") - (F.col("last") - F.col("first")) >= F.floor(least / REST)))
+    return clause.groupBy("item_id", "words").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("last") - 1)))).alias("shared"))
+
+
 def leaks(documents: DataFrame, items: DataFrame, clause_share: float = CLAUSE_SHARE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, item_id, length, words) of the runs that are long enough without standard clauses."""
     found = settle(runs(documents, items, block_seeds).distinct())
-    limit = max(CLAUSE_LEAST, clause_share * documents.agg(F.countDistinct(F.xxhash64("text"))).first()[0])
+    limit = max(CLAUSE_LEAST - 1, clause_share * documents.agg(F.countDistinct(F.xxhash64("text"))).first()[0])
     least = F.when(F.col("words"), MIN_WORDS).otherwise(MIN_CHARS)
     # runs of texts that leave out some of the item's text
     texts = found.groupBy("item_id", "words", "whole", "copy").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     held = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"] - 1)))))
     alone = texts.filter(F.col("whole") - held >= F.floor(least / REST)).select("item_id", "words", F.explode("runs").alias("r")).groupBy("item_id", "words", "r.first", "r.last").agg(F.count("*").alias("n"))
     clauses = alone.groupBy("item_id", "words").applyInPandas(_clauses(limit), "item_id long, words boolean, clause array<int>")
+    clauses = clauses.join(shared_positions(items.dropDuplicates(["item_id"]), block_seeds), ["item_id", "words"], "full").select("item_id", "words", F.concat(F.coalesce("clause", F.array().cast("array<int>")), F.coalesce("shared", F.array().cast("array<int>"))).alias("clause"))
     spans = found.select("item_id", "words", "first", "last").distinct().join(clauses, ["item_id", "words"], "left")
     # the longest stretch of a span outside clauses
     longest = F.aggregate(

@@ -182,7 +182,7 @@ def test_leaks_and_clauses(spark):
     passage = "梨湾甲得三分乙得七九零九分密封条补记五十六分后谁先入围若菊阁的基准价高出八十六应改判"
     clause = "评审委员会按照客观公正审慎的原则根据采购文件规定的评审程序评审方法和评审标准进行独立评审"
     english = "suppose thirty walnut surcharges weigh more against one sable quota which scribe relabels first"
-    items = spark.createDataFrame([(1, clause + passage, "zh", "c"), (2, english, "en", "c"), (3, None, "zh", "c"), (4, "短", "zh", "c")], "item_id long, text string, lang string, words string")
+    items = spark.createDataFrame([(1, clause + passage, "zh", "c"), (2, english, "en", "c"), (3, None, "zh", "c"), (4, "短", "zh", "c"), (5, "春天河边许多柳树发芽孩子们放风筝老人下棋" + clause, "zh", "c")], "item_id long, text string, lang string, words string")
     swap = passage[:12] + "错" + passage[13:]
     docs = [(1, "前文。" + "，".join(swap) + "后文"), (2, passage[:20]), (3, clause), (4, clause), (5, clause), (6, clause), (7, "News: " + english.upper().replace(" ", " - ")), (8, english[:40]), (9, None), (10, ""), (11, "甲" * 200_000 + passage)]
     docs += [(i, "别的" * 20) for i in range(12, 40)] + [(1, docs[0][1])]
