@@ -9,8 +9,9 @@ within about one document of the target.
 The size of a plan is the largest at which no source needs more than max_repeats copies of a document (or
 `tokens`, if less). A source without documents gets nothing; the others keep their proportions.
 
-The sums are formed in two steps: totals of buckets (source, size, hash of the id), and positions within a
-bucket. No window holds a source, only a bucket's rows or the totals of a source's buckets.
+The sums are formed in three steps: totals of a source's bands of sizes, totals of buckets (source, size, hash of
+the id) within a band, and positions within a bucket. No window holds a source, only a bucket's rows, the totals
+of a band's buckets or those of a source's bands.
 
 Defined results: documents without source or of a source in no plan are in no selection; null and empty
 texts have no tokens and are drawn like others; a doc_id that occurs twice is two documents of one place.
@@ -31,6 +32,8 @@ from noticeforge.session import settle
 
 #: Parts that documents of one source and size are split into.
 PARTS = 256
+#: Bands of sizes for each doubling of a document's tokens.
+BANDS = 16
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -83,8 +86,11 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, tokens: int |
     )
     bucket = ["source", "n_tokens", "part"]
     totals = counted.groupBy(*bucket).agg(F.count("*").alias("n"))
-    along = Window.partitionBy("source").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*bucket, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    # sums along a source in two steps: over its bands of sizes, a few hundred, and over buckets within a band
+    totals = totals.withColumn("band", F.floor(F.log2(F.col("n_tokens") + 1) * BANDS).cast("int"))
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    bands = totals.groupBy("source", "band").agg(F.sum("n").alias("n")).select("source", "band", F.coalesce(F.sum("n").over(earlier("source").orderBy("band")), F.lit(0)).alias("below"))
+    before = totals.withColumn("within", F.coalesce(F.sum("n").over(earlier("source", "band").orderBy("n_tokens", "part")), F.lit(0))).join(bands, ["source", "band"]).select(*bucket, (F.col("below") + F.col("within")).alias("before"))
     place = F.row_number().over(Window.partitionBy(*bucket).orderBy("doc_id")) - 1
     placed = counted.withColumn("place", place).join(before, bucket).withColumn("place", F.col("place") + F.col("before")).select("doc_id", "source", "n_tokens", "place")
     sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))

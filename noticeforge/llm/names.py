@@ -44,7 +44,7 @@ SELDOM = 0.5
 #: Kinds of so many characters, Latin or rarely written, are errors for any neighbour written no less.
 LONG_LATIN, LONG_RARE = 8, 5
 #: Kinds that a pivot stands for, bounds on pivots, and kinds in a block of a full cell.
-PER_PIVOT, PIVOTS, BLOCK = 100, (4, 512), 1024
+PER_PIVOT, PIVOTS, BLOCK = 100, (4, 512), 512
 #: Share of a short form's places at which its full form is written too.
 TOGETHER = 0.6
 

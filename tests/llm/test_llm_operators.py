@@ -204,6 +204,28 @@ def test_mixture(spark):
     assert drawn.groupBy("plan_name", "source").agg((F.max("copies") - F.min("copies")).alias("d")).filter("d > 1").count() == 0
 
 
+def test_mixture_against_a_plain_walk(spark):
+    """The same copies as walking along each source's documents by size, part and id."""
+    import math
+
+    docs = [(i, "word " * (1 + (i * 37) % 91), "big" if i % 5 else "small") for i in range(700)]
+    targets = spark.createDataFrame([("a", "big", 0.7, 2), ("a", "small", 0.3, 4)], "plan_name string, source string, target_share double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    drawn, report = mixing.mix(df, targets)
+    got = {r.doc_id: r.copies for r in drawn.collect()}
+    placed = df.select("doc_id", "source", mixing.token_counter()("text").alias("n"), F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(mixing.PARTS)).alias("part")).collect()
+    offsets = {r.source: r.o for r in targets.select("source", (F.pmod(F.xxhash64("plan_name", "source", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)).alias("o")).collect()}
+    rows = {r.source: r for r in report.collect()}
+    size = min(r.max_repeats * r.source_tokens / r.target_share for r in rows.values())
+    want = {}
+    for source, r in rows.items():
+        rate = min(r.target_share * size / r.source_tokens, r.max_repeats)
+        for place, d in enumerate(sorted((x for x in placed if x.source == source), key=lambda x: (x.n, x.part, x.doc_id))):
+            if n := math.floor(rate * (place + 1) + offsets[source]) - math.floor(rate * place + offsets[source]):
+                want[d.doc_id] = n
+    assert got == want
+
+
 def test_edges_of_the_rest(spark):
     docs = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, "中标查询 招标代理 " * 40, "c"), (3, "中标查询 招标代理 " * 40, "c")], "doc_id long, text string, is_case string")
     assert [r.doc_id for r in stuffed_pages.found(docs).collect()] == [3]
