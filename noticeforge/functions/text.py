@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 
 # Query parameters that only track.
 TRACKING = {"_", "_t", "_ts", "from", "rand", "random", "ref", "referer", "sessionid", "sid", "spm", "timestamp", "track", "tracking"}
-# Words that end a title without naming its subject.
-_TITLE_ENDS = re.compile(r"(?:(?:招标|采购|中标|成交|变更|更正|澄清|结果|候选人)*(?:公告|公示|通知|信息))$")
-_WIDE_MARKS = str.maketrans("（）：，；！？【】《》“”‘’、。", "():,;!?[]<>\"\"'',.")
+# Words that end a title without naming its subject, signs before them, and marks brought to ASCII.
+_BUSINESS = "采购|招标|竞争性磋商|竞争性谈判|询价|中标|成交|结果|更正|澄清|终止|废标|流标"
+_SIGNS = r"[ \-—_:：,，。；;·]"
+_WIDE_MARKS = str.maketrans("，。；：（）【】“”‘’、－", ",.;:()[]\"\"'',-")
+_TITLE_END = re.compile(rf"(?:{_SIGNS}|\s)*(?:{_BUSINESS})?(?:公告|公示|通知|信息)\s*$")
+_TITLE_TAIL = re.compile(rf"(?:{_SIGNS}*(?:{_BUSINESS}))*{_SIGNS}*$")
 
 
 def plain_text(value: str | None, lower: bool = False) -> str | None:
@@ -30,20 +33,16 @@ def plain_text(value: str | None, lower: bool = False) -> str | None:
 def compact_title(value: str | None) -> str | None:
     """plain_text in lower case, marks in ASCII, no blanks."""
     text = plain_text(value, lower=True)
-    while text:  # a mark that loses the blank before it may join the letter before that
-        shorter = unicodedata.normalize("NFKC", re.sub(r"\s+", "", text.translate(_WIDE_MARKS))).lower()
-        if shorter == text:
-            return text
-        text = shorter
-    return None
+    return (re.sub(r"\s+", "", text.translate(_WIDE_MARKS)) or None) if text else None
 
 
 def subject_title(value: str | None) -> str | None:
-    """A compact title without the words that end it, dropped until none is left to drop."""
-    text = compact_title(value)
-    while text and (shorter := _TITLE_ENDS.sub("", text)) != text and shorter:
+    """A title without the words that end it: first closing words with the business word before them, as often as
+    there are any, then business words and signs that are left at the end. No blanks, lower case."""
+    text = plain_text(value) or ""
+    while (shorter := _TITLE_END.sub("", text).strip()) != text:
         text = shorter
-    return text
+    return _TITLE_TAIL.sub("", text).replace(" ", "").lower() or None
 
 
 def normal_url(value: str | None, drop_tracking: bool = False) -> str | None:

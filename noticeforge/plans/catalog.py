@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from noticeforge.plans import extraction, sqlbook, suppression, typed
+from noticeforge.plans import extraction, identitybook, reportbook, sqlbook, suppression, typed, writes
 
-QUERIES: dict = sqlbook.QUERIES | extraction.QUERIES | typed.QUERIES | suppression.QUERIES
-ORACLES: dict = sqlbook.ORACLES | extraction.ORACLES
+BOOKS = (sqlbook, reportbook, identitybook, extraction, typed, suppression, writes)
+QUERIES: dict = {name: f for book in BOOKS for name, f in book.QUERIES.items()}
+ORACLES: dict = {name: text for book in BOOKS for name, text in getattr(book, "ORACLES", {}).items()}

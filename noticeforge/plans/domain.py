@@ -23,7 +23,7 @@ RELATIONS = {
         CASE WHEN regexp_extract(n.budget_amount, '^[0-9]{{1,12}}([.][0-9]{{1,2}})?$', 0) <> '' THEN CAST(n.budget_amount AS DECIMAL(18, 2)) END AS budget_amount,
         n.budget_currency, n.summary, CAST(n.crawled_at AS TIMESTAMP) AS created_at, n.detail_page_url, n.crawl_job_id, n.raw_content_hash
         FROM notice_item n JOIN source_site s ON s.code = n.source_code""",
-    "notice_version": """SELECT v.snap_id AS id, t.id AS notice_id, v.content_hash, v.title, v.notice_type, v.change_summary, CAST(v.observed_at AS TIMESTAMP) AS created_at,
+    "notice_version": """SELECT v.snap_id AS id, t.id AS notice_id, v.content_hash, v.title, v.notice_type, v.change_summary, CASE WHEN lower(trim(v.is_current)) IN ('true', '1', 'yes', 'y') THEN 1 ELSE 0 END AS is_current, CAST(v.observed_at AS TIMESTAMP) AS created_at,
         row_number() OVER (PARTITION BY t.id ORDER BY v.observed_at, v.snap_id) AS version_no
         FROM notice_version_item v JOIN (SELECT dedup_hash, min(item_id) AS id FROM notice_item GROUP BY dedup_hash) t ON t.dedup_hash = v.notice_dedup_hash""",
     "raw_document": """SELECT r.raw_id AS id, s.id AS source_site_id, r.crawl_job_id, r.url, r.normalized_url, r.url_hash, r.content_hash, r.document_type, r.title,
@@ -40,8 +40,14 @@ RELATIONS = {
         CASE WHEN o_orderkey % 11 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' HOUR END AS lease_expires_at,
         CASE WHEN o_orderkey % 17 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '5' MINUTE END AS picked_at,
         CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' MINUTE END AS queued_at,
-        o_custkey % 50 AS pages_fetched, o_custkey % 9 AS notices_upserted, o_custkey % 4 AS error_count, 'job ' || CAST(o_orderkey AS VARCHAR(20)) AS message
+        CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '3' HOUR END AS finished_at,
+        CASE WHEN o_orderkey % 22 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '4' HOUR END AS timeout_at,
+        o_custkey % 50 AS pages_fetched, o_custkey % 9 AS notices_upserted, o_custkey % 4 AS error_count, 'job ' || CAST(o_orderkey AS VARCHAR(20)) AS message,
+        o_custkey % 7 AS documents_saved, o_custkey % 5 AS deduplicated_count, CASE WHEN o_custkey % 6 = 0 THEN 0 ELSE o_custkey % 40 END AS list_items_seen, o_custkey % 30 AS list_items_unique,
+        o_custkey % 3 AS list_items_source_duplicates_skipped, o_custkey % 8 AS detail_pages_fetched, o_custkey % 10 AS records_inserted, o_custkey % 11 AS records_updated, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 6 END AS source_duplicates_suppressed,
+        CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS return_code, CASE WHEN o_orderkey % 5 = 0 THEN ' ' WHEN o_orderstatus = 'F' THEN 'reason ' || CAST(o_orderkey % 10 AS VARCHAR(20)) END AS failure_reason
         FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "source": """SELECT id, code, name, base_url, official_url, is_active, is_active AND id % 3 <> 0 AS schedule_enabled, CASE id % 4 WHEN 0 THEN 7 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS schedule_days FROM source_site""",
     "crawl_error": """SELECT event_id AS id, user_id % 48 + 1 AS source_site_id, user_id AS crawl_job_id,
         CASE CAST(get_json_object(props, '$.k') AS BIGINT) % 3 WHEN 0 THEN 'fetch' WHEN 1 THEN 'parse' ELSE 'persist' END AS stage,
         'E' || get_json_object(props, '$.k') AS error_type, CAST(ts AS TIMESTAMP) AS created_at, CAST(ts AS TIMESTAMP) AS occurred_at, props AS message
@@ -50,6 +56,6 @@ RELATIONS = {
 #: Tables that a relation is made of.
 SOURCES = {
     "tender_notice": ["notice_item", "source_site"], "notice_version": ["notice_version_item", "notice_item"], "raw_document": ["raw_document_item", "source_site"],
-    "tender_attachment": ["tender_attachment_item", "source_site", "notice_item"], "crawl_job": ["orders", "customer"], "crawl_error": ["events"],
+    "tender_attachment": ["tender_attachment_item", "source_site", "notice_item"], "crawl_job": ["orders", "customer"], "source": ["source_site"], "crawl_error": ["events"],
 }
 TABLES = ("source_site", "notice_item", "notice_version_item", "raw_document_item", "tender_attachment_item", "orders", "customer", "events", "lineitem", "documents")

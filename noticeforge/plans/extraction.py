@@ -30,10 +30,6 @@ def list_records(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("raw_id", "at", F.coalesce("r.title", "r.titleShow").alias("title"), F.col("r.publishTime").alias("published")).filter(F.length(F.trim("title")) > 0)
 
 
-def url_normalised(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "raw_document_item").select("raw_id", text.detail_url_udf("url").alias("detail_url"))
-
-
 def title_subject(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "notice_item").select("item_id", text.subject_title_udf("title").alias("subject"))
 
@@ -42,14 +38,32 @@ def json_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "notice_version_item").select("snap_id", text.canonical_json_udf("structured_data").alias("json_hash"))
 
 
-def item_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """A list item's fingerprint of its source, title, page, time, type and region."""
-    n = table(spark, sf, "notice_item")
-    return n.select("item_id", text.seed_hash(F.col("source_code"), F.col("title"), F.col("detail_page_url"), F.col("published_at"), F.col("notice_type"), F.col("region")).alias("fingerprint"))
+def page_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """What detail pages say of their notice: kind, buyer, place, code and the length of the body."""
+    pages = table(spark, sf, "raw_document_item").filter(F.col("document_type") == "html")
+    return pages.select("raw_id", html.page_udf("raw_body", "url").alias("p")).select("raw_id", "p.title", "p.notice_type", "p.external_id", "p.project_code", "p.issuer", "p.region", F.length("p.text").alias("n_chars"), F.length(F.substring("p.text", 1, html.PREVIEW)).alias("n_preview"))
+
+
+def page_list_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The notices that HTML list pages link to."""
+    pages = table(spark, sf, "raw_document_item").filter((F.col("document_type") == "html") & (F.get_json_object("extra_meta", "$.role") == "list"))
+    return pages.select("raw_id", F.posexplode(html.list_items_udf("/d/")("raw_body", "url")).alias("at", "x")).select("raw_id", "at", "x.*")
+
+
+def page_paging(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "raw_document_item").filter((F.col("document_type") == "html") & (F.get_json_object("extra_meta", "$.role") == "list"))
+    return pages.select("raw_id", html.paging_udf("raw_body").alias("p")).select("raw_id", "p.*")
+
+
+def json_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Which bodies are JSON, and how many have enough text not to be fetched again."""
+    d = table(spark, sf, "raw_document_item").withColumn("json", html.is_json(F.col("raw_body")))
+    return d.select("raw_id", F.col("json").cast("int").alias("json"), F.when(html.rendered(F.col("raw_body"), F.lit("")) != "", 1).otherwise(0).alias("enough"))
 
 
-QUERIES = {"page_fields": page_fields, "page_files": page_files, "list_records": list_records, "url_normalised": url_normalised, "title_subject": title_subject, "json_hash": json_hash, "item_keys": item_keys}
+QUERIES = {"page_fields": page_fields, "page_files": page_files, "page_notices": page_notices, "page_list_items": page_list_items, "page_paging": page_paging, "json_responses": json_responses, "list_records": list_records, "title_subject": title_subject, "json_hash": json_hash}
+_BODY = "(SELECT raw_id, unnest(regexp_extract_all(raw_body, '<li><a href=\"[^\"]*/d/[^\"]*\">[^<]*</a>(<span>[^<]*</span>)?')) AS li, generate_subscripts(regexp_extract_all(raw_body, '<li><a href=\"[^\"]*/d/[^\"]*\">[^<]*</a>(<span>[^<]*</span>)?'), 1) AS i, url FROM raw_document_item WHERE document_type = 'html' AND json_extract_string(extra_meta, '$.role') = 'list')"
 ORACLES = {
     "list_records": "SELECT raw_id, CAST(i AS INTEGER) AS at, json_extract_string(r, '$.title') AS title, json_extract_string(r, '$.publishTime') AS published FROM (SELECT raw_id, unnest(json_extract(raw_body, '$.data.records[*]')) AS r, generate_subscripts(json_extract(raw_body, '$.data.records[*]'), 1) - 1 AS i FROM raw_document_item WHERE document_type = 'json') WHERE length(trim(json_extract_string(r, '$.title'))) > 0",
-    "item_keys": "SELECT item_id, sha256(coalesce(nullif(trim(source_code), ''), '-') || '|' || coalesce(nullif(trim(title), ''), '-') || '|' || coalesce(nullif(trim(detail_page_url), ''), '-') || '|' || coalesce(nullif(trim(published_at), ''), '-') || '|' || coalesce(nullif(trim(notice_type), ''), '-') || '|' || coalesce(nullif(trim(region), ''), '-')) AS fingerprint FROM notice_item",
+    "json_responses": "SELECT raw_id, CASE WHEN json_valid(raw_body) AND regexp_matches(raw_body, '^\\s*[{\\[]') THEN 1 ELSE 0 END AS json, CASE WHEN length(trim(raw_body)) >= 120 THEN 1 ELSE 0 END AS enough FROM raw_document_item",
 }

@@ -11,7 +11,7 @@ from noticeforge.sources.tables import table
 
 #: The key notices are grouped by when a list is asked for: the first key that isn't blank, else what names the notice.
 KEY = """coalesce(nullif(trim(n.dedup_key), ''), nullif(trim(n.source_duplicate_key), ''), nullif(trim(n.dedup_hash), ''),
-    'fallback:' || CAST(n.source_site_id AS VARCHAR(20)) || '|' || coalesce(n.external_id, '') || '|' || coalesce(n.project_code, '') || '|' || coalesce(n.title, ''))"""
+    'fallback:' || CAST(n.source_site_id AS VARCHAR(20)) || '|' || trim(coalesce(n.external_id, '')) || '|' || trim(coalesce(n.project_code, '')) || '|' || trim(coalesce(n.title, '')))"""
 RECENT = f"(n.created_at >= {AS_OF} - INTERVAL '24' HOUR OR n.id IN (SELECT v.notice_id FROM notice_version v WHERE v.created_at >= {AS_OF} - INTERVAL '24' HOUR))"
 _BASE = f"base AS (SELECT n.*, s.code AS source_code, s.name AS source_name, {KEY} AS group_key, CASE WHEN {RECENT} THEN 1 ELSE 0 END AS is_recent_new FROM tender_notice n JOIN source_site s ON s.id = n.source_site_id)"
 _RANKED = "ranked AS (SELECT b.*, row_number() OVER (PARTITION BY group_key ORDER BY is_recent_new DESC, published_at DESC NULLS LAST, id DESC) AS row_rank, count(*) OVER (PARTITION BY group_key) AS duplicate_count FROM base b {where})"
@@ -19,109 +19,54 @@ _LIST = "id, source_code, title, notice_type, issuer, region, unix_micros(publis
 _SEARCH = "WHERE (title ILIKE '%采购%' OR issuer ILIKE '%采购%' OR region ILIKE '%采购%')"
 _OF_SOURCE, _OF_REGION = "WHERE source_code = 'zb_01' AND notice_type = 'change'", "WHERE region = '云岫省'"
 _OF_MARCH = "WHERE published_at >= TIMESTAMP '2024-03-01 00:00:00' AND published_at < TIMESTAMP '2024-04-01 00:00:00'"
-_SWEPT = f"job AS (SELECT j.*, CASE WHEN j.status = 'running' AND coalesce(j.lease_expires_at) <= {JOBS_AS_OF} THEN 'failed' ELSE j.status END AS now_status FROM crawl_job j)"
+_SWEPT = f"job AS (SELECT j.*, CASE WHEN j.status = 'running' AND coalesce(j.timeout_at, j.lease_expires_at) <= {JOBS_AS_OF} THEN 'failed' ELSE j.status END AS now_status FROM crawl_job j)"
 
 
 def _ranked(where: str = "") -> str:
     return f"WITH {_BASE}, {_RANKED.format(where=where)}"
 
 
-def _order(by: str, direction: str, lead: str = "") -> str:
-    return f"ORDER BY {lead}{by} {direction} NULLS LAST, id DESC"
-
-
-_FIELDS = {"published_at": "published_at", "deadline_at": "deadline_at", "budget_amount": "budget_amount", "source_name": "source_name"}
-
 BOOK: dict[str, str] = {
     # lists of notices
     "notice_list_dedup": f"{_ranked(_SEARCH)} SELECT {_LIST} FROM ranked WHERE row_rank = 1",
     "notice_list_all": f"WITH {_BASE} SELECT {_LIST.replace('duplicate_count', '1 AS duplicate_count')} FROM base",
-    "notice_page": f"{_ranked()} SELECT {_LIST} FROM ranked WHERE row_rank = 1 {_order('published_at', 'DESC', 'is_recent_new DESC, ')} LIMIT 50 OFFSET 20",
     "notice_filter": f"{_ranked(_OF_SOURCE)} SELECT {_LIST} FROM ranked WHERE row_rank = 1",
     "notice_region": f"{_ranked(_OF_REGION)} SELECT {_LIST} FROM ranked WHERE row_rank = 1",
     "notice_date_range": f"{_ranked(_OF_MARCH)} SELECT {_LIST} FROM ranked WHERE row_rank = 1",
-    "notice_recent": f"{_ranked('WHERE is_recent_new = 1')} SELECT {_LIST} FROM ranked WHERE row_rank = 1",
     "notice_wildcard_keyword": f"WITH {_BASE} SELECT id, title FROM base WHERE title ILIKE '%2024%采购_目%' OR issuer ILIKE '%2024%采购_目%' OR region ILIKE '%2024%采购_目%'",
     "notice_dual_totals": f"WITH {_BASE} SELECT count(*) AS raw_total, count(DISTINCT group_key) AS dedup_total FROM base {_SEARCH}",
     "notice_related": f"WITH {_BASE} SELECT a.id AS notice_id, b.id AS related_id, b.source_code FROM base a JOIN base b ON a.group_key = b.group_key WHERE a.id % 100 = 0",
-    "notice_detail": """SELECT n.id, n.title, s.code AS source_code, v.version_no AS current_version_no, v.content_hash AS current_hash, coalesce(vc.n_versions, 0) AS n_versions, coalesce(ac.n_attachments, 0) AS n_attachments
-        FROM tender_notice n JOIN source_site s ON s.id = n.source_site_id
-        LEFT JOIN (SELECT notice_id, version_no, content_hash, row_number() OVER (PARTITION BY notice_id ORDER BY version_no DESC, id DESC) AS k FROM notice_version) v ON v.notice_id = n.id AND v.k = 1
-        LEFT JOIN (SELECT notice_id, count(*) AS n_versions FROM notice_version GROUP BY notice_id) vc ON vc.notice_id = n.id
-        LEFT JOIN (SELECT notice_id, count(DISTINCT url_hash) AS n_attachments FROM tender_attachment GROUP BY notice_id) ac ON ac.notice_id = n.id""",
     "notice_versions": "SELECT notice_id, id AS version_id, version_no, content_hash, unix_micros(created_at) AS created_us FROM notice_version",
     "notice_version_owner": "SELECT v.id AS version_id, n.id AS notice_id, s.code AS source_code FROM notice_version v JOIN tender_notice n ON n.id = v.notice_id JOIN source_site s ON s.id = n.source_site_id",
-    "notice_selected_version": "SELECT notice_id, version_no, content_hash FROM (SELECT v.*, row_number() OVER (PARTITION BY notice_id ORDER BY CASE WHEN version_no = 2 THEN 0 ELSE 1 END, version_no DESC) AS k FROM notice_version v) WHERE k = 1",
     "notice_group_sizes": f"WITH {_BASE} SELECT group_key, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM base GROUP BY group_key HAVING count(*) > 1",
     # scalar functions of identity
-    "title_normalised": "SELECT id, lower(translate(replace(replace(title, ' ', ''), '　', ''), '（）：，；！？【】', '():,;!?[]')) AS norm_title FROM tender_notice",
     "type_normalised": "SELECT item_id AS id, CASE WHEN lower(trim(notice_type)) IN ('announcement', 'change', 'result') THEN lower(trim(notice_type)) ELSE 'announcement' END AS norm_type FROM notice_item",
-    "budget_bucket": "SELECT id, CAST(CAST(round(budget_amount / 1000, 0) AS BIGINT) * 1000 AS VARCHAR(30)) AS bucket FROM tender_notice WHERE budget_amount IS NOT NULL AND CAST(budget_amount * 100 AS BIGINT) % 100000 <> 50000",
-    "published_date": "SELECT item_id AS id, CASE WHEN regexp_extract(published_at, '([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})', 1) <> '' THEN regexp_extract(published_at, '([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(published_at, '([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(published_at, '([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})', 3), 2, '0') END AS day FROM notice_item",
     "title_hash": "SELECT id, sha2(lower(trim(title)), 256) AS title_hash FROM tender_notice",
-    "persistence_key": """SELECT id, sha2(coalesce(nullif(lower(title), ''), '-') || '|' || coalesce(CAST(CAST(published_at AS DATE) AS VARCHAR(10)), '-') || '|' || coalesce(nullif(lower(trim(issuer)), ''), '-') || '|' || coalesce(CAST(budget_amount AS VARCHAR(30)), '-') || '|' || coalesce(nullif(lower(trim(region)), ''), '-')
-        || CASE WHEN (CASE WHEN nullif(trim(issuer), '') IS NULL THEN 0 ELSE 1 END) + (CASE WHEN budget_amount IS NULL THEN 0 ELSE 1 END) + (CASE WHEN nullif(trim(region), '') IS NULL THEN 0 ELSE 1 END) < 2 THEN '|' || detail_page_url ELSE '' END, 256) AS persistence_key FROM tender_notice""",
-    "detail_locator": "SELECT item_id AS id, coalesce(nullif(regexp_extract(detail_page_url, '[?&]guid=([^&#]+)', 1), ''), nullif(regexp_extract(detail_page_url, '[?&](uid|id)=([^&#]+)', 2), ''), detail_page_url) AS locator FROM notice_item",
-    "identity_priority": "SELECT item_id AS id, CASE WHEN nullif(trim(external_id), '') IS NOT NULL THEN 'external_id' WHEN nullif(trim(detail_page_url), '') IS NOT NULL THEN 'detail_url' WHEN nullif(trim(title), '') IS NOT NULL THEN 'title' WHEN nullif(trim(dedup_hash), '') IS NOT NULL THEN 'provided' ELSE 'none' END AS merge_strategy FROM notice_item",
-    "classify_title": "SELECT id, CASE WHEN title LIKE '%更正%' OR title LIKE '%变更%' OR title LIKE '%澄清%' THEN 'change' WHEN title LIKE '%中标%' OR title LIKE '%成交%' OR title LIKE '%结果%' THEN 'result' ELSE 'announcement' END AS kind FROM tender_notice",
-    "url_query_guid": "SELECT id, url, regexp_extract(url, '[?&]([a-z_]+)=', 1) AS first_param FROM raw_document",
     "file_extension": "SELECT id, lower(regexp_extract(file_name, '[.]([A-Za-z0-9]{1,5})$', 1)) AS ext, lower(file_ext) AS said_ext FROM tender_attachment",
     "blank_to_default": "SELECT id, coalesce(nullif(trim(official_url), ''), base_url) AS effective_url FROM source_site",
     # statistics
-    "stats_kpis": f"""SELECT (SELECT count(*) FROM source_site) AS n_sources, (SELECT count(*) FROM source_site WHERE is_active) AS n_active, (SELECT count(*) FROM crawl_job) AS n_jobs,
-        (SELECT count(*) FROM crawl_job WHERE status = 'running') AS n_running, (SELECT count(*) FROM tender_notice) AS n_notices,
-        (SELECT count(*) FROM tender_notice WHERE created_at >= {AS_OF} - INTERVAL '24' HOUR) AS new_24h, (SELECT count(*) FROM raw_document) AS n_documents, (SELECT count(*) FROM crawl_error) AS n_errors""",
-    "stats_daily_notices": f"""SELECT d.day, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT CAST(created_at AS DATE) AS d0 FROM tender_notice) x
-        JOIN (SELECT DISTINCT CAST(CAST(created_at AS DATE) AS VARCHAR(10)) AS day, CAST(created_at AS DATE) AS d1 FROM tender_notice) d ON d.d1 = x.d0
-        LEFT JOIN (SELECT CAST(created_at AS DATE) AS d2, count(*) AS n FROM tender_notice GROUP BY CAST(created_at AS DATE)) c ON c.d2 = d.d1 WHERE d.d1 > CAST({AS_OF} AS DATE) - INTERVAL '30' DAY""",
-    "stats_trend_full_outer": """SELECT coalesce(a.day, b.day) AS day, coalesce(a.n, 0) AS notices, coalesce(b.n, 0) AS documents
-        FROM (SELECT CAST(CAST(created_at AS DATE) AS VARCHAR(10)) AS day, count(*) AS n FROM tender_notice GROUP BY 1) a FULL OUTER JOIN (SELECT CAST(CAST(fetched_at AS DATE) AS VARCHAR(10)) AS day, count(*) AS n FROM raw_document GROUP BY 1) b ON a.day = b.day""",
     "stats_recent_failures": f"WITH {_SWEPT} SELECT j.id, s.code, j.now_status, unix_micros(j.created_at) AS created_us FROM job j JOIN source_site s ON s.id = j.source_site_id WHERE j.now_status IN ('failed', 'partial') ORDER BY j.created_at DESC, j.id DESC LIMIT 10",
     "stats_recent_errors": "SELECT e.id, s.code, e.stage, unix_micros(e.created_at) AS created_us FROM crawl_error e JOIN source_site s ON s.id = e.source_site_id ORDER BY e.created_at DESC, e.id DESC LIMIT 10",
     "new_notice_union": f"SELECT count(*) AS n FROM (SELECT id AS notice_id FROM tender_notice WHERE created_at >= {AS_OF} - INTERVAL '7' DAY UNION SELECT notice_id FROM notice_version WHERE created_at >= {AS_OF} - INTERVAL '7' DAY)",
     "new_notice_by_source": f"SELECT source_site_id, count(DISTINCT notice_id) AS n FROM (SELECT source_site_id, id AS notice_id FROM tender_notice WHERE created_at >= {AS_OF} - INTERVAL '7' DAY UNION SELECT n.source_site_id, v.notice_id FROM notice_version v JOIN tender_notice n ON n.id = v.notice_id WHERE v.created_at >= {AS_OF} - INTERVAL '7' DAY) GROUP BY source_site_id",
     # operations and health of sources
-    "ops_summary": f"""WITH {_SWEPT} SELECT s.id AS source_id, s.code, coalesce(w.jobs, 0) AS jobs, coalesce(w.ok, 0) AS ok, coalesce(w.failed, 0) AS failed, coalesce(w.partial, 0) AS partial, coalesce(nn.n, 0) AS new_notices, l.last_id, l.last_status, e.last_error
-        FROM source_site s LEFT JOIN (SELECT source_site_id, count(*) AS jobs, count_if(now_status = 'succeeded') AS ok, count_if(now_status = 'failed') AS failed, count_if(now_status = 'partial') AS partial FROM job WHERE created_at >= {JOBS_AS_OF} - INTERVAL '30' DAY GROUP BY source_site_id) w ON w.source_site_id = s.id
-        LEFT JOIN (SELECT source_site_id, count(*) AS n FROM tender_notice WHERE created_at >= {AS_OF} - INTERVAL '30' DAY GROUP BY source_site_id) nn ON nn.source_site_id = s.id
-        LEFT JOIN (SELECT source_site_id, max(id) AS last_id, max_by(now_status, id) AS last_status FROM job GROUP BY source_site_id) l ON l.source_site_id = s.id
-        LEFT JOIN (SELECT source_site_id, max_by(message, id) AS last_error FROM crawl_error GROUP BY source_site_id) e ON e.source_site_id = s.id""",
     "latest_job_per_source": f"WITH {_SWEPT} SELECT source_site_id, max(id) AS job_id, max_by(now_status, id) AS status, max_by(message, id) AS message FROM job GROUP BY source_site_id",
     "failure_streak": f"""WITH {_SWEPT}, last10 AS (SELECT source_site_id, now_status, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM job)
         SELECT source_site_id, coalesce(min(CASE WHEN now_status <> 'failed' THEN k END), count(*) + 1) - 1 AS streak FROM last10 WHERE k <= 10 GROUP BY source_site_id""",
-    "health_status": f"""WITH {_SWEPT}, last10 AS (SELECT source_site_id, now_status, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM job),
-        st AS (SELECT source_site_id, coalesce(min(CASE WHEN now_status <> 'failed' THEN k END), count(*) + 1) - 1 AS streak, max(CASE WHEN k = 1 THEN now_status END) AS latest FROM last10 WHERE k <= 10 GROUP BY source_site_id),
-        er AS (SELECT source_site_id, count(*) AS errors7d FROM crawl_error WHERE created_at >= {ERRORS_AS_OF} - INTERVAL '7' DAY GROUP BY source_site_id)
-        SELECT s.id AS source_id, coalesce(er.errors7d, 0) AS errors7d, coalesce(st.streak, 0) AS streak, st.latest,
-        CASE WHEN coalesce(er.errors7d, 0) >= 6 THEN 'critical' WHEN coalesce(st.streak, 0) >= 1 THEN 'critical' WHEN coalesce(er.errors7d, 0) >= 3 THEN 'warning' WHEN st.latest = 'partial' THEN 'warning' WHEN st.latest = 'succeeded' THEN 'normal' ELSE 'warning' END AS health
-        FROM source_site s LEFT JOIN st ON st.source_site_id = s.id LEFT JOIN er ON er.source_site_id = s.id""",
     "source_error_latest": "SELECT source_site_id, id AS error_id, message FROM (SELECT e.*, row_number() OVER (PARTITION BY source_site_id ORDER BY created_at DESC, id DESC) AS k FROM crawl_error e) WHERE k = 1",
-    "error_source_summary": "SELECT s.code, e.n, e.last_id, e.last_message FROM (SELECT source_site_id, count(*) AS n, max(id) AS last_id, max_by(message, id) AS last_message FROM crawl_error GROUP BY source_site_id) e JOIN source_site s ON s.id = e.source_site_id ORDER BY e.n DESC, e.last_id DESC LIMIT 10",
-    "source_sites_page": f"""WITH {_SWEPT} SELECT s.id, s.code, s.is_active, coalesce(nullif(trim(s.official_url), ''), s.base_url) AS url, coalesce(a.n_active, 0) AS n_active, a.newest_active FROM source_site s LEFT JOIN (SELECT source_site_id, count(*) AS n_active, max(id) AS newest_active FROM job WHERE now_status IN ('pending', 'running') GROUP BY source_site_id) a ON a.source_site_id = s.id""",
     "errors_7d_by_source": f"SELECT source_site_id, count(*) AS n FROM crawl_error WHERE occurred_at >= {ERRORS_AS_OF} - INTERVAL '7' DAY GROUP BY source_site_id",
     # jobs
-    "job_list": f"WITH {_SWEPT} SELECT j.id, s.code, j.now_status, j.job_type, coalesce(j.pages_fetched, 0) AS pages_fetched FROM job j JOIN source_site s ON s.id = j.source_site_id WHERE j.now_status IN ('failed', 'partial') AND j.started_at >= {JOBS_AS_OF} - INTERVAL '365' DAY",
-    "job_page": f"WITH {_SWEPT} SELECT id, now_status FROM job ORDER BY coalesce(picked_at, queued_at, started_at, created_at) DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20",
     "job_retry_links": "SELECT j.id, o.status AS retry_of_status, r.id AS retried_by_id, r.status AS retried_by_status FROM crawl_job j LEFT JOIN crawl_job o ON o.id = j.retry_of_job_id LEFT JOIN (SELECT retry_of_job_id, max(id) AS id, max_by(status, id) AS status FROM crawl_job WHERE retry_of_job_id IS NOT NULL GROUP BY retry_of_job_id) r ON r.retry_of_job_id = j.id",
-    "job_retry_candidate": f"""WITH {_SWEPT}, bad AS (SELECT j.*, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM job j WHERE now_status IN ('failed', 'partial')),
-        free AS (SELECT b.* FROM bad b WHERE k <= 30 AND retry_of_job_id IS NULL AND NOT EXISTS (SELECT 1 FROM crawl_job r WHERE r.retry_of_job_id = b.id))
-        SELECT source_site_id, max(id) AS job_id, max_by(job_type, id) AS job_type FROM free GROUP BY source_site_id""",
-    "job_queue": f"SELECT id, unix_micros(queued_at) AS queued_us FROM crawl_job WHERE status = 'pending' AND (picked_at IS NULL OR lease_expires_at IS NULL OR lease_expires_at <= {JOBS_AS_OF}) ORDER BY queued_at ASC NULLS FIRST, id ASC LIMIT 20",
-    "job_expired": f"SELECT id, source_site_id FROM crawl_job WHERE status = 'running' AND coalesce(lease_expires_at) IS NOT NULL AND lease_expires_at <= {JOBS_AS_OF}",
+    "job_queue": f"SELECT id, unix_micros(queued_at) AS queued_us FROM crawl_job WHERE status = 'pending' AND (picked_at IS NULL OR coalesce(timeout_at, lease_expires_at) IS NULL OR coalesce(timeout_at, lease_expires_at) <= {JOBS_AS_OF}) ORDER BY queued_at ASC NULLS FIRST, id ASC LIMIT 20",
+    "job_expired": f"SELECT id, source_site_id FROM crawl_job WHERE status = 'running' AND coalesce(timeout_at, lease_expires_at) IS NOT NULL AND coalesce(timeout_at, lease_expires_at) <= {JOBS_AS_OF}",
     "job_mutex_violations": "SELECT source_site_id, count(*) AS n_active, max(id) AS kept FROM crawl_job WHERE status IN ('pending', 'running') GROUP BY source_site_id HAVING count(*) > 1",
     "job_mutex_demote": "SELECT id, source_site_id, CASE WHEN k = 1 THEN status ELSE 'failed' END AS new_status FROM (SELECT j.*, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM crawl_job j WHERE status IN ('pending', 'running'))",
-    "job_final_status": "SELECT id, CASE WHEN error_count = 3 THEN 'failed' WHEN error_count > 0 THEN 'partial' ELSE 'succeeded' END AS final_status FROM crawl_job",
-    "job_stage": "SELECT id, CASE WHEN status = 'pending' THEN 'queued' WHEN status = 'running' AND pages_fetched = 0 THEN 'starting' WHEN status = 'running' AND notices_upserted = 0 THEN 'listing' WHEN status = 'running' THEN 'saving' ELSE 'finished' END AS stage FROM crawl_job",
     "job_counters": "SELECT crawl_job_id, count(*) AS pages_fetched, count_if(coalesce(role, '') = 'list') AS list_pages, count_if(coalesce(role, '') = 'detail') AS detail_pages, sum(coalesce(CAST(get_json_object(extra_meta, '$.page_item_count') AS BIGINT), 0)) AS list_items FROM raw_document GROUP BY crawl_job_id",
-    "job_due_sources": f"WITH last AS (SELECT source_site_id, max(created_at) AS last_at FROM crawl_job GROUP BY source_site_id) SELECT s.id, CASE WHEN l.last_at IS NULL OR l.last_at + INTERVAL '1' DAY <= {JOBS_AS_OF} THEN 1 ELSE 0 END AS due FROM source_site s LEFT JOIN last l ON l.source_site_id = s.id WHERE s.is_active",
     # documents and errors
-    "raw_doc_list": "SELECT r.id, s.code, r.document_type, r.title, unix_micros(r.fetched_at) AS fetched_us FROM raw_document r JOIN source_site s ON s.id = r.source_site_id WHERE r.document_type = 'html'",
     "raw_doc_owner": "SELECT r.id AS raw_id, min(n.id) AS notice_id FROM raw_document r JOIN tender_notice n ON n.detail_page_url = r.normalized_url GROUP BY r.id",
     "raw_doc_upsert": """SELECT id, source_site_id, url_hash, CASE WHEN row_number() OVER (PARTITION BY source_site_id, url_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_url,
         CASE WHEN content_hash IS NOT NULL AND row_number() OVER (PARTITION BY source_site_id, content_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_content FROM raw_document""",
-    "error_list": "SELECT e.id, s.code, e.stage, e.error_type FROM crawl_error e JOIN source_site s ON s.id = e.source_site_id WHERE e.stage = 'parse'",
     "error_by_stage": "SELECT stage, error_type, count(*) AS n FROM crawl_error GROUP BY stage, error_type",
-    "list_meta_dates": "SELECT crawl_job_id, max(get_json_object(extra_meta, '$.list_page_publish_date_max')) AS first_date, min(get_json_object(extra_meta, '$.list_page_publish_date_min')) AS last_date, count(*) AS n FROM raw_document WHERE role = 'list' GROUP BY crawl_job_id",
     # merging
     "notice_fold": "SELECT dedup_hash, min(item_id) AS notice_id, max_by(title, item_id) AS title, max_by(notice_type, CASE WHEN notice_type IS NOT NULL THEN item_id END) AS notice_type, max_by(issuer, CASE WHEN issuer IS NOT NULL THEN item_id END) AS issuer, count(*) AS n_items FROM notice_item GROUP BY dedup_hash",
     "source_dup_suppress": "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY source_code, source_duplicate_key, raw_content_hash ORDER BY item_id) AS k FROM notice_item WHERE nullif(trim(source_duplicate_key), '') IS NOT NULL AND raw_content_hash IS NOT NULL) WHERE k > 1",
@@ -132,14 +77,7 @@ BOOK: dict[str, str] = {
     "attachment_upsert": "SELECT source_site_id, url_hash, max(id) AS attachment_id, max_by(file_name, id) AS file_name, max(downloaded_at) IS NOT NULL AS is_downloaded, count(*) AS n FROM tender_attachment WHERE url_hash IS NOT NULL GROUP BY source_site_id, url_hash",
     "attachment_list": "SELECT id, notice_id, file_name, attachment_type, file_size_bytes FROM tender_attachment WHERE notice_id IS NOT NULL",
     "new_sources": "SELECT DISTINCT r.source_code FROM raw_document_item r LEFT ANTI JOIN source_site s ON s.code = r.source_code",
-    "export_rows": f"""{_ranked()} SELECT id, coalesce(title, '') AS title, coalesce(notice_type, '') AS notice_type, coalesce(issuer, '') AS issuer, coalesce(region, '') AS region, coalesce(CAST(budget_amount AS VARCHAR(30)), '') AS budget_amount, coalesce(budget_currency, '') AS budget_currency, source_code, source_name, duplicate_count FROM ranked WHERE row_rank = 1""",
 }
-for _field in _FIELDS:
-    for _way in ("ASC", "DESC"):
-        _lead = "is_recent_new DESC, " if (_field, _way) == ("published_at", "DESC") else ""
-        BOOK[f"notice_sort_{_field}_{_way.lower()}"] = f"{_ranked()} SELECT {_LIST}, source_name FROM ranked WHERE row_rank = 1 {_order(_field, _way, _lead)} LIMIT 200"
-
-
 def _used(text: str) -> list[str]:
     return [r for r in RELATIONS if re.search(rf"\b{r}\b", text)]
 

@@ -19,6 +19,8 @@ from noticeforge.functions import text
 from noticeforge.operators.timestamps import readings
 from noticeforge.plans import sqlbook
 from noticeforge.plans.domain import _time
+from noticeforge.plans.reportbook import NOTICES
+from noticeforge.plans.reports import Tables
 from noticeforge.sources.tables import table
 
 TYPED = re.compile(r"\b(published_at|deadline_at|budget_amount)\b")
@@ -55,14 +57,14 @@ def tender_notice(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def budget_bucket(spark: SparkSession, sf: str) -> DataFrame:
-    """The bucket of each item's amount as typed, halves included; the book's text leaves halves out."""
-    return table(spark, sf, "notice_item").select(F.col("item_id").alias("id"), text.budget_bucket("budget_amount").alias("bucket")).filter(F.col("bucket").isNotNull())
-
-
 def _typed(words: str):
     return lambda spark, sf: sqlbook.run(spark, sf, words, {"tender_notice": tender_notice(spark, sf)})
 
 
-#: The book's text of the bucket leaves halves out, whatever the relation, so that query has code of its own.
-QUERIES = {f"{name}_typed": _typed(words) for name, words in sqlbook.BOOK.items() if name != "budget_bucket" and "tender_notice" in sqlbook._used(words) and TYPED.search(words)} | {"budget_bucket_typed": budget_bucket}
+def _report(report):
+    return lambda spark, sf: report(Tables(spark, sf, {"tender_notice": tender_notice(spark, sf)}))
+
+
+#: Reports of notices that show, sort or filter by times and amounts, and texts of the book that use them.
+_REPORTS = {name: f for name, f in NOTICES.items() if name not in ("notice_wildcard_keyword", "notice_dual_totals", "notice_related")}
+QUERIES = {f"{name}_typed": _report(f) for name, f in _REPORTS.items()} | {f"{name}_typed": _typed(words) for name, words in sqlbook.BOOK.items() if name not in NOTICES and "tender_notice" in sqlbook._used(words) and TYPED.search(words)}
