@@ -59,7 +59,9 @@ def _letters(n: int) -> str:
 
 
 def xlsx_bytes(rows: DataFrame, sheet: str) -> bytes:
-    """A spreadsheet of a report. The sheet's own limit of rows is checked, and rows come one by one."""
+    """A spreadsheet of a report. The sheet's own limit of rows is checked before any comes."""
+    if rows.limit(XLSX_ROWS + 1).count() > XLSX_ROWS:
+        raise ValueError(f"a sheet holds {XLSX_ROWS} rows; export as CSV")
     out, names = [], rows.columns
     table = flat(rows)
 
@@ -68,8 +70,6 @@ def xlsx_bytes(rows: DataFrame, sheet: str) -> bytes:
 
     out.append(line(1, names))
     for k, row in enumerate(table.toLocalIterator(), 2):
-        if k > XLSX_ROWS + 1:
-            raise ValueError(f"a sheet holds {XLSX_ROWS} rows; export as CSV")
         out.append(line(k, row))
     space = "http://schemas.openxmlformats.org/"
     files = {
@@ -86,6 +86,15 @@ def xlsx_bytes(rows: DataFrame, sheet: str) -> bytes:
     return buffer.getvalue()
 
 
+#: Columns of the sheet of sources' operations.
+OPS_COLUMNS = ["source_code", "source_name", "official_url", "is_active", "schedule_enabled", "schedule_days", "job_count", "success_count", "failed_count", "partial_count", "new_notice_count", "last_job_status", "last_job_finished_at", "last_error_message", "last_retry_status"]
+
+
+def source_ops_xlsx(operations: DataFrame) -> bytes:
+    """The spreadsheet of a report of operations."""
+    return xlsx_bytes(operations.select(*OPS_COLUMNS).orderBy("source_code"), "source_ops")
+
+
 def merge(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The table after an upsert: of each key the last row, whose nulls leave what was known before."""
     last = Window.partitionBy(*keys).orderBy("_new", order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -114,6 +114,16 @@ def test_health(spark, tables):
     assert {r.source_code: r.health_status for r in reports.source_page(tables).collect()}["b"] == "warning"
 
 
+def test_sheet_of_operations(tables):
+    import io
+    import zipfile
+
+    from noticeforge.sources import sinks
+
+    sheet = zipfile.ZipFile(io.BytesIO(sinks.source_ops_xlsx(reports.operations(tables, 24, AT, AT)))).read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<row ") == 3 and sheet.count("<c r=\"O") == 3 and "detail broke" in sheet
+
+
 def test_outcomes(tables):
     got = {r.id: (r.failure_reason, r.final_status) for r in reports.outcomes(tables).collect()}
     assert got[701] == ("页面获取失败: late", "failed") and got[702] == ("列表解析为0", "succeeded")
