@@ -52,7 +52,7 @@ HOT = 10_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = None
-CHUNKS = T.StructType([T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("bytes", T.ArrayType(T.IntegerType()))])
+READ = T.StructType([T.StructField("part", T.StringType()), T.StructField("hash", T.ArrayType(T.LongType())), T.StructField("bytes", T.ArrayType(T.IntegerType()))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,11 +70,12 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the hashes of its distinct chunks and their bytes. Blanks, marks, width and case don't count."""
+def chunks_of(texts: list[str], parts: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text, or of each so many neighbouring texts, the hashes of the distinct chunks and their bytes. No chunk
+    reaches over two texts. Blanks, marks, width and case don't count."""
     codes, lengths = folded(texts)
     if not len(codes):
-        return [(np.empty(0, np.int64), np.empty(0, np.int32))] * len(texts)
+        return [(np.empty(0, np.int64), np.empty(0, np.int32))] * (len(texts) // parts)
     ends = np.cumsum(lengths)
     starts = ends - lengths
     mixed = _mix(codes * _M + np.uint64(1))
@@ -101,22 +102,22 @@ def chunks_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     weight = np.add.reduceat(utf8, begin).astype(np.int32)
     of = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
     # each chunk of a text once
-    text = np.repeat(np.arange(len(texts)), of[1] - of[0])
+    text = np.repeat(np.arange(len(texts)) // parts, of[1] - of[0])
     order = np.lexsort((hashes, text))
     hashes, weight, text = hashes[order], weight[order], text[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-    stops = np.cumsum(np.bincount(text[new], minlength=len(texts)))[:-1]
+    stops = np.cumsum(np.bincount(text[new], minlength=len(texts) // parts))[:-1]
     return list(zip(np.split(hashes[new], stops), np.split(weight[new], stops)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("part", T.StringType()), T.StructField("chunks", CHUNKS)]))
+@F.pandas_udf(READ)
 def _read_udf(title: pd.Series, notice_type: pd.Series, text: pd.Series) -> pd.DataFrame:
-    plain = [plain_title(t) for t in title]
-    cut, heads = chunks_of(text.tolist()), chunks_of([core_of(t) for t in plain])
+    plain, texts = [plain_title(t) for t in title], text.tolist()
+    cut = chunks_of([x for t, p in zip(texts, plain) for x in (t, core_of(p))], 2)
     return pd.DataFrame({
-        "part": [f"{kind_of(k, t, x)}|{call_of(t)}|{lot_of(t)}" for k, t, x in zip(notice_type, plain, text)],
-        "chunks": [{"hash": np.concatenate([h, hh[~np.isin(hh, h)]]), "bytes": np.concatenate([b, bb[~np.isin(hh, h)]])} for (h, b), (hh, bb) in zip(cut, heads)],
+        "part": [f"{kind_of(k, t, x)}|{call_of(t)}|{lot_of(t)}" for k, t, x in zip(notice_type, plain, texts)],
+        "hash": pd.Series([h for h, _ in cut], dtype=object), "bytes": pd.Series([b for _, b in cut], dtype=object),
     })
 
 
@@ -127,28 +128,26 @@ def _key(column: str) -> Column:
 
 
 def _code() -> Column:
-    """The project code of the first column that has one, as a number."""
-    found = [F.regexp_extract(c, CODE, 0) for c in ("project_code", "content_text", "summary")]
-    return F.xxhash64(F.regexp_replace(F.coalesce(*(F.nullif(x, F.lit("")) for x in found)), r"\s+", ""))
+    """The project code of the first column that has one; null if none has."""
+    found = [F.nullif(F.regexp_extract(c, CODE, 0), F.lit("")) for c in ("project_code", "content_text", "summary")]
+    return F.regexp_replace(F.coalesce(*found), r"\s+", "")
 
 
 def read_records(items: DataFrame) -> DataFrame:
     """(item_id, code, total, chunks) of notice items: chunks are (k, bytes) under the record's part; bytes are
     null for keys."""
-    found = _code()
-    named = F.coalesce(*(F.nullif(F.regexp_extract(c, CODE, 0), F.lit("")) for c in ("project_code", "content_text", "summary"))).isNotNull()
+    page = F.nullif(F.trim("detail_page_url"), F.lit("")) if "detail_page_url" in items.columns else F.lit(None).cast("string")
     read = items.filter(F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item_id"), F.when(named, found).alias("code"),
-        F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.xxhash64(F.lit("page"), F.nullif(F.trim("detail_page_url"), F.lit(""))) if "detail_page_url" in items.columns else F.lit(None).cast("long"))).alias("keys"),
-        _read_udf("title", "notice_type", "content_text").alias("r"),
+        F.col("item_id").cast("long").alias("item_id"), _code().alias("code"), _read_udf("title", "notice_type", "content_text").alias("r"),
+        F.array_compact(F.array(_key("dedup_key"), _key("source_duplicate_key"), F.when(page.isNotNull(), F.xxhash64(F.lit("page"), page)))).alias("keys"),
     )
+    read = read.withColumn("code", F.when(F.col("code").isNotNull(), F.xxhash64("code")))
     k = lambda x: F.xxhash64(x, F.col("r.part"))
-    text = F.transform(F.arrays_zip(F.col("r.chunks.hash").alias("hash"), F.col("r.chunks.bytes").alias("bytes")), lambda x: F.struct(k(x["hash"]).alias("k"), x["bytes"].alias("bytes")))
+    text = F.transform(F.arrays_zip(F.col("r.hash").alias("hash"), F.col("r.bytes").alias("bytes")), lambda x: F.struct(k(x["hash"]).alias("k"), x["bytes"].alias("bytes")))
     keys = F.transform("keys", lambda x: F.struct(k(x).alias("k"), F.lit(None).cast("int").alias("bytes")))
-    code = F.when(F.col("code").isNotNull(), F.array(F.struct(k(F.col("code")).alias("k"), F.lit(CODE_BYTES).alias("bytes"))))
-    chunks = F.concat(text, keys, F.coalesce(code, F.slice(keys, 1, 0)))
-    total = F.aggregate("r.chunks.bytes", F.lit(0), lambda a, x: a + x) + F.when(F.col("code").isNotNull(), CODE_BYTES).otherwise(0)
-    return read.select("item_id", "code", total.alias("total"), chunks.alias("chunks"))
+    code = F.when(F.col("code").isNotNull(), F.array(F.struct(k(F.col("code")).alias("k"), F.lit(CODE_BYTES).alias("bytes")))).otherwise(F.slice(keys, 1, 0))
+    total = F.aggregate("r.bytes", F.lit(0), lambda a, x: a + x) + F.when(F.col("code").isNotNull(), CODE_BYTES).otherwise(0)
+    return read.select("item_id", "code", total.alias("total"), F.concat(text, keys, code).alias("chunks"))
 
 
 def _first(records: DataFrame) -> DataFrame:
