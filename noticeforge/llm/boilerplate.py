@@ -77,7 +77,7 @@ def length_of(line: str) -> float:
 
 def main_block(lengths: np.ndarray, window: int = WINDOW, edge: float = EDGE) -> tuple[int, int]:
     """First and end of the block around the highest sum of `window` lengths."""
-    sums = np.convolve(lengths, np.ones(window), "same")
+    sums = np.convolve(lengths, np.ones(window))[window // 2 :][: len(lengths)]
     peak = int(np.argmax(sums))
     low = edge * sums[peak]
     first = end = peak
