@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noticeforge.functions import html
 from noticeforge.plans import reports as r
@@ -73,7 +74,46 @@ OTHERS: dict[str, Callable[[r.Tables], DataFrame]] = {
     "raw_doc_list": lambda t: r.numbered(r.documents(t, document_type="html", limit=200), F.col("fetched_at").desc_nulls_last(), F.desc("id")).select("id", "source_code", "title", "place"),
     "error_source_summary": lambda t: r.error_sources(t),
 }
-REPORTS = NOTICES | OTHERS
+_WEEK = "INTERVAL '7' DAY"
+
+
+def _sourced(t: r.Tables, rows: DataFrame) -> DataFrame:
+    return rows.join(t["source"].select(F.col("id").alias("source_site_id"), "code"), "source_site_id")
+
+
+def _assigned(t: r.Tables) -> DataFrame:
+    """The versions of each notice by their first look; current is the content looked at last."""
+    each = t["notice_version"].filter(F.col("content_hash").isNotNull()).groupBy("notice_id", "content_hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    newest = each.groupBy("notice_id").agg(F.max("last_id").alias("newest"))
+    number = F.row_number().over(Window.partitionBy("notice_id").orderBy("first_id"))
+    return each.withColumn("version_no", number).join(newest, "notice_id").select("notice_id", "content_hash", "first_id", "version_no", (F.col("last_id") == F.col("newest")).cast("int").alias("is_current"))
+
+
+PLAIN: dict[str, Callable[[r.Tables], DataFrame]] = {
+    "notice_versions": lambda t: t["notice_version"].selectExpr("notice_id", "id AS version_id", "version_no", "content_hash", "unix_micros(created_at) AS created_us"),
+    "notice_version_owner": lambda t: _sourced(t, t["notice_version"].select(F.col("id").alias("version_id"), "notice_id").join(t["tender_notice"].select(F.col("id").alias("notice_id"), "source_site_id"), "notice_id")).select("version_id", "notice_id", F.col("code").alias("source_code")),
+    "notice_group_sizes": lambda t: r.base_rows(t).groupBy("group_key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("n > 1"),
+    "title_hash": lambda t: t["tender_notice"].select("id", F.sha2(F.lower(F.trim("title")), 256).alias("title_hash")),
+    "file_extension": lambda t: t["tender_attachment"].select("id", F.lower(F.coalesce(F.nullif(F.element_at(F.split("file_name", r"\."), -1), "file_name"), F.when(F.col("file_name").isNotNull(), ""))).alias("ext"), F.lower("file_ext").alias("said_ext")),
+    "blank_to_default": lambda t: t["source"].select("id", F.coalesce(r._blank("official_url"), "base_url").alias("effective_url")),
+    "stats_recent_failures": lambda t: _sourced(t, r.swept(t).filter(F.col("status").isin("failed", "partial"))).orderBy(F.desc("created_at"), F.desc("id")).limit(10).selectExpr("id", "code", "status AS now_status", "unix_micros(created_at) AS created_us"),
+    "stats_recent_errors": lambda t: _sourced(t, t["crawl_error"]).orderBy(F.desc("created_at"), F.desc("id")).limit(10).selectExpr("id", "code", "stage", "unix_micros(created_at) AS created_us"),
+    "new_notice_union": lambda t: r.new_notices(t, F.expr(f"{AS_OF} - {_WEEK}")).agg(F.count("*").alias("n")),
+    "new_notice_by_source": lambda t: r.new_notices(t, F.expr(f"{AS_OF} - {_WEEK}")).groupBy("source_site_id").agg(F.count("*").alias("n")),
+    "latest_job_per_source": lambda t: r.swept(t).groupBy("source_site_id").agg(F.max_by(F.struct(F.col("id").alias("job_id"), "status", "message"), "id").alias("x")).select("source_site_id", "x.*"),
+    "failure_streak": lambda t: r.streaks(r.newest_jobs(t)),
+    "source_error_latest": lambda t: t["crawl_error"].groupBy("source_site_id").agg(F.max_by(F.struct(F.col("id").alias("error_id"), "message"), F.struct("created_at", "id")).alias("x")).select("source_site_id", "x.*"),
+    "errors_7d_by_source": lambda t: t["crawl_error"].filter(F.col("occurred_at") >= F.expr(f"{ERRORS_AS_OF} - {_WEEK}")).groupBy("source_site_id").agg(F.count("*").alias("n")),
+    "job_queue": lambda t: r.numbered(r.queue(t), F.col("queued_at").asc_nulls_first(), F.asc("id")).selectExpr("id", "unix_micros(queued_at) AS queued_us", "place"),
+    "job_expired": lambda t: r.swept(t).join(t["crawl_job"].filter("status = 'running'").select("id"), "id", "left_semi").filter("status = 'failed'").select("id", "source_site_id"),
+    "job_mutex_violations": lambda t: t["crawl_job"].filter(F.col("status").isin(*r.ACTIVE)).groupBy("source_site_id").agg(F.count("*").alias("n_active"), F.max("id").alias("kept")).filter("n_active > 1"),
+    "raw_doc_owner": lambda t: t["raw_document"].select(F.col("id").alias("raw_id"), F.col("normalized_url").alias("u")).join(t["tender_notice"].groupBy(F.col("detail_page_url").alias("u")).agg(F.min("id").alias("notice_id")), "u").select("raw_id", "notice_id"),
+    "error_by_stage": lambda t: t["crawl_error"].groupBy("stage", "error_type").count().withColumnRenamed("count", "n"),
+    "version_assign": _assigned,
+    "attachment_upsert": lambda t: t["tender_attachment"].filter(F.col("url_hash").isNotNull()).groupBy("source_site_id", "url_hash").agg(F.max("id").alias("attachment_id"), F.max_by("file_name", "id").alias("file_name"), F.max(F.col("downloaded_at").isNotNull()).alias("is_downloaded"), F.count("*").alias("n")),
+    "attachment_list": lambda t: t["tender_attachment"].filter(F.col("notice_id").isNotNull()).select("id", "notice_id", "file_name", "attachment_type", "file_size_bytes"),
+}
+REPORTS = NOTICES | OTHERS | PLAIN
 
 # ---- SQL
 
@@ -181,6 +221,8 @@ SQL: dict[str, str] = {
     "error_list": "SELECT id, code AS source_code, stage, error_type, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM (SELECT e.id, s.code, e.stage, e.error_type, e.created_at FROM crawl_error e JOIN source s ON s.id = e.source_site_id WHERE e.stage = 'parse' ORDER BY e.created_at DESC, e.id DESC LIMIT 200) p",
     "raw_doc_list": "SELECT id, code AS source_code, title, row_number() OVER (ORDER BY fetched_at DESC NULLS LAST, id DESC) AS place FROM (SELECT d.id, s.code, d.title, d.fetched_at FROM raw_document d JOIN source s ON s.id = d.source_site_id WHERE d.document_type = 'html' ORDER BY d.fetched_at DESC NULLS LAST, d.id DESC LIMIT 200) p",
 }
+SQL |= {name: sqlbook.BOOK[name] for name in PLAIN if name in sqlbook.BOOK}
+SQL["job_queue"] = f"SELECT id, epoch_us(queued_at) AS queued_us, row_number() OVER (ORDER BY queued_at ASC NULLS FIRST, id ASC) AS place FROM ({sqlbook.BOOK['job_queue'].replace('unix_micros(queued_at) AS queued_us', 'queued_at')}) q"
 for _field in r.SORTS:
     for _way in ("ASC", "DESC"):
         _lead = "is_recent_new DESC, " if (_field, _way) == ("published_at", "DESC") else ""

@@ -254,6 +254,13 @@ def outcomes(t: Tables) -> DataFrame:
     return j.select("id", reason.alias("failure_reason"), status.alias("final_status"))
 
 
+def queue(t: Tables, limit: int = 20, as_of: str = JOBS_AS_OF) -> DataFrame:
+    """The jobs to be claimed next: pending, and unclaimed or with a claim that has run out."""
+    ends = F.coalesce("timeout_at", "lease_expires_at")
+    free = (F.col("status") == "pending") & (F.col("picked_at").isNull() | ends.isNull() | (ends <= _at(as_of)))
+    return t["crawl_job"].filter(free).orderBy(F.col("queued_at").asc_nulls_first(), F.asc("id")).limit(limit)
+
+
 def retry_candidates(t: Tables, newest: int = 30, as_of: str = JOBS_AS_OF) -> DataFrame:
     """(source_site_id, job_id) that a source's retry would take: of its newest failed or partial jobs the newest that
     is no retry, wasn't retried and was started by hand."""
@@ -338,11 +345,20 @@ def health_of(errors: Column, streak: Column, latest: Column, rules: dict = RULE
     )
 
 
+def newest_jobs(t: Tables, as_of: str = JOBS_AS_OF, n: int = 10) -> DataFrame:
+    """The newest jobs of each source, numbered by k; each partition keeps as many of a source before they are moved."""
+    return swept(t, as_of).withColumn("k", F.row_number().over(Window.partitionBy("source_site_id").orderBy(F.desc("id")))).filter(F.col("k") <= n)
+
+
+def streaks(newest: DataFrame) -> DataFrame:
+    """(source_site_id, streak): how many of the newest jobs failed in a row."""
+    return newest.groupBy("source_site_id").agg((F.coalesce(F.min(F.when(F.col("status") != "failed", F.col("k"))), F.count("*") + 1) - 1).alias("streak"))
+
+
 def health(t: Tables, rules: dict = RULES, jobs_as_of: str = JOBS_AS_OF, errors_as_of: str = ERRORS_AS_OF) -> DataFrame:
     """The twenty fields of each source's health. A streak is counted over the ten newest jobs."""
     every = swept(t, jobs_as_of)
-    newest = every.withColumn("k", F.row_number().over(Window.partitionBy("source_site_id").orderBy(F.desc("id")))).filter("k <= 10")
-    streaks = newest.groupBy("source_site_id").agg((F.coalesce(F.min(F.when(F.col("status") != "failed", F.col("k"))), F.count("*") + 1) - 1).alias("streak"))
+    newest = newest_jobs(t, jobs_as_of)
     shown = ["notices_upserted", "error_count", "list_items_seen", "list_items_unique", "list_items_source_duplicates_skipped", "detail_pages_fetched", "source_duplicates_suppressed"]
     latest = newest.filter("k = 1").select("source_site_id", F.col("id").alias("latest_job_id"), F.col("status").alias("latest_job_status"), F.coalesce("picked_at", "started_at", "queued_at").alias("latest_job_started_at"), *(F.coalesce(c, F.lit(0)).alias(f"latest_{c}") for c in shown), _blank_kept(F.col("failure_reason")).alias("_reason"), _blank_kept(F.col("message")).alias("_message"))
     week = F.expr("INTERVAL '7' DAY")
@@ -350,7 +366,7 @@ def health(t: Tables, rules: dict = RULES, jobs_as_of: str = JOBS_AS_OF, errors_
     errors = t["crawl_error"].groupBy("source_site_id").agg(F.count_if(F.col("created_at") >= _at(errors_as_of) - week).alias("recent_7d_error_count"), _blank_kept(F.max_by("message", F.struct("created_at", "id"))).alias("_error"))
     bad = every.filter(F.col("status").isin("failed", "partial")).groupBy("source_site_id").agg(_blank_kept(F.max_by("failure_reason", F.struct(F.coalesce("picked_at", "queued_at", "started_at", "created_at").alias("at"), "id"))).alias("_bad"))
     out = t["source"].select(F.col("id").alias("source_site_id"), F.col("code").alias("source_code"))
-    for part in (streaks, latest, recent, errors, bad):
+    for part in (streaks(newest), latest, recent, errors, bad):
         out = out.join(part, "source_site_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     counts = ["recent_7d_job_count", "recent_7d_failed_count", "recent_7d_error_count", *(f"latest_{c}" for c in shown)]

@@ -1,4 +1,5 @@
-"""Queries as declarative SQL over the domain's relations: one text for Spark and, translated, for DuckDB."""
+"""SQL texts for DuckDB over the domain's relations, which plans written as DataFrames are compared with, and the relations
+as DataFrames. No query of Spark runs a text of the book; only the relations are one text for both engines."""
 
 from __future__ import annotations
 
@@ -40,7 +41,6 @@ BOOK: dict[str, str] = {
     "notice_version_owner": "SELECT v.id AS version_id, n.id AS notice_id, s.code AS source_code FROM notice_version v JOIN tender_notice n ON n.id = v.notice_id JOIN source_site s ON s.id = n.source_site_id",
     "notice_group_sizes": f"WITH {_BASE} SELECT group_key, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM base GROUP BY group_key HAVING count(*) > 1",
     # scalar functions of identity
-    "type_normalised": "SELECT item_id AS id, CASE WHEN lower(trim(notice_type)) IN ('announcement', 'change', 'result') THEN lower(trim(notice_type)) ELSE 'announcement' END AS norm_type FROM notice_item",
     "title_hash": "SELECT id, sha2(lower(trim(title)), 256) AS title_hash FROM tender_notice",
     "file_extension": "SELECT id, lower(regexp_extract(file_name, '[.]([A-Za-z0-9]{1,5})$', 1)) AS ext, lower(file_ext) AS said_ext FROM tender_attachment",
     "blank_to_default": "SELECT id, coalesce(nullif(trim(official_url), ''), base_url) AS effective_url FROM source_site",
@@ -56,27 +56,16 @@ BOOK: dict[str, str] = {
     "source_error_latest": "SELECT source_site_id, id AS error_id, message FROM (SELECT e.*, row_number() OVER (PARTITION BY source_site_id ORDER BY created_at DESC, id DESC) AS k FROM crawl_error e) WHERE k = 1",
     "errors_7d_by_source": f"SELECT source_site_id, count(*) AS n FROM crawl_error WHERE occurred_at >= {ERRORS_AS_OF} - INTERVAL '7' DAY GROUP BY source_site_id",
     # jobs
-    "job_retry_links": "SELECT j.id, o.status AS retry_of_status, r.id AS retried_by_id, r.status AS retried_by_status FROM crawl_job j LEFT JOIN crawl_job o ON o.id = j.retry_of_job_id LEFT JOIN (SELECT retry_of_job_id, max(id) AS id, max_by(status, id) AS status FROM crawl_job WHERE retry_of_job_id IS NOT NULL GROUP BY retry_of_job_id) r ON r.retry_of_job_id = j.id",
     "job_queue": f"SELECT id, unix_micros(queued_at) AS queued_us FROM crawl_job WHERE status = 'pending' AND (picked_at IS NULL OR coalesce(timeout_at, lease_expires_at) IS NULL OR coalesce(timeout_at, lease_expires_at) <= {JOBS_AS_OF}) ORDER BY queued_at ASC NULLS FIRST, id ASC LIMIT 20",
     "job_expired": f"SELECT id, source_site_id FROM crawl_job WHERE status = 'running' AND coalesce(timeout_at, lease_expires_at) IS NOT NULL AND coalesce(timeout_at, lease_expires_at) <= {JOBS_AS_OF}",
     "job_mutex_violations": "SELECT source_site_id, count(*) AS n_active, max(id) AS kept FROM crawl_job WHERE status IN ('pending', 'running') GROUP BY source_site_id HAVING count(*) > 1",
-    "job_mutex_demote": "SELECT id, source_site_id, CASE WHEN k = 1 THEN status ELSE 'failed' END AS new_status FROM (SELECT j.*, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM crawl_job j WHERE status IN ('pending', 'running'))",
-    "job_counters": "SELECT crawl_job_id, count(*) AS pages_fetched, count_if(coalesce(role, '') = 'list') AS list_pages, count_if(coalesce(role, '') = 'detail') AS detail_pages, sum(coalesce(CAST(get_json_object(extra_meta, '$.page_item_count') AS BIGINT), 0)) AS list_items FROM raw_document GROUP BY crawl_job_id",
     # documents and errors
     "raw_doc_owner": "SELECT r.id AS raw_id, min(n.id) AS notice_id FROM raw_document r JOIN tender_notice n ON n.detail_page_url = r.normalized_url GROUP BY r.id",
-    "raw_doc_upsert": """SELECT id, source_site_id, url_hash, CASE WHEN row_number() OVER (PARTITION BY source_site_id, url_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_url,
-        CASE WHEN content_hash IS NOT NULL AND row_number() OVER (PARTITION BY source_site_id, content_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_content FROM raw_document""",
     "error_by_stage": "SELECT stage, error_type, count(*) AS n FROM crawl_error GROUP BY stage, error_type",
     # merging
-    "notice_fold": "SELECT dedup_hash, min(item_id) AS notice_id, max_by(title, item_id) AS title, max_by(notice_type, CASE WHEN notice_type IS NOT NULL THEN item_id END) AS notice_type, max_by(issuer, CASE WHEN issuer IS NOT NULL THEN item_id END) AS issuer, count(*) AS n_items FROM notice_item GROUP BY dedup_hash",
-    "source_dup_suppress": "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY source_code, source_duplicate_key, raw_content_hash ORDER BY item_id) AS k FROM notice_item WHERE nullif(trim(source_duplicate_key), '') IS NOT NULL AND raw_content_hash IS NOT NULL) WHERE k > 1",
     "version_assign": "SELECT notice_id, content_hash, first_id, row_number() OVER (PARTITION BY notice_id ORDER BY first_id) AS version_no, CASE WHEN last_id = max(last_id) OVER (PARTITION BY notice_id) THEN 1 ELSE 0 END AS is_current FROM (SELECT notice_id, content_hash, min(id) AS first_id, max(id) AS last_id FROM notice_version WHERE content_hash IS NOT NULL GROUP BY notice_id, content_hash)",
-    "similarity_match": """SELECT a.id AS notice_id, min(b.id) AS matched_id FROM tender_notice a JOIN tender_notice b ON a.source_site_id = b.source_site_id AND a.title = b.title AND CAST(a.published_at AS DATE) = CAST(b.published_at AS DATE) AND b.id < a.id
-        WHERE (CASE WHEN a.issuer = b.issuer THEN 1 ELSE 0 END) + (CASE WHEN a.region = b.region THEN 1 ELSE 0 END) + (CASE WHEN round(a.budget_amount / 1000, 0) = round(b.budget_amount / 1000, 0) THEN 1 ELSE 0 END)
-        >= CASE WHEN (CASE WHEN a.issuer IS NOT NULL AND b.issuer IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN a.region IS NOT NULL AND b.region IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN a.budget_amount IS NOT NULL AND b.budget_amount IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 2 END GROUP BY a.id""",
     "attachment_upsert": "SELECT source_site_id, url_hash, max(id) AS attachment_id, max_by(file_name, id) AS file_name, max(downloaded_at) IS NOT NULL AS is_downloaded, count(*) AS n FROM tender_attachment WHERE url_hash IS NOT NULL GROUP BY source_site_id, url_hash",
     "attachment_list": "SELECT id, notice_id, file_name, attachment_type, file_size_bytes FROM tender_attachment WHERE notice_id IS NOT NULL",
-    "new_sources": "SELECT DISTINCT r.source_code FROM raw_document_item r LEFT ANTI JOIN source_site s ON s.code = r.source_code",
 }
 def _used(text: str) -> list[str]:
     return [r for r in RELATIONS if re.search(rf"\b{r}\b", text)]
@@ -109,7 +98,3 @@ def duckdb(text: str) -> str:
     for spark_form, duck in (("unix_micros(", "epoch_us("), ("sha2(", "sha256("), (", 256)", ")"), ("get_json_object(", "json_extract_string("), ("LEFT ANTI JOIN", "ANTI JOIN")):
         text = text.replace(spark_form, duck)
     return text
-
-
-QUERIES = {name: (lambda spark, sf, text=text: run(spark, sf, text)) for name, text in BOOK.items()}
-ORACLES = {name: duckdb(text) for name, text in BOOK.items()}

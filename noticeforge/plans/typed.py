@@ -1,4 +1,4 @@
-"""The book's queries over notices whose times and amounts are read in every notation.
+"""The reports of notices whose times and amounts are read in every notation.
 
 The book's own relation keeps values of one plain form, which both SQL engines read, and its texts are what the
 queries are checked against; so it stays, and this relation stands beside it. A time without a zone is UTC, as in
@@ -8,8 +8,6 @@ dates is the source's. Times are whole seconds. No DuckDB text can follow, so th
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +15,12 @@ from pyspark.sql import types as T
 
 from noticeforge.functions import text
 from noticeforge.operators.timestamps import readings
-from noticeforge.plans import sqlbook
 from noticeforge.plans.domain import _time
 from noticeforge.plans.reportbook import NOTICES
 from noticeforge.plans.reports import Tables
+from noticeforge.plans.writes import similar
 from noticeforge.sources.tables import table
 
-TYPED = re.compile(r"\b(published_at|deadline_at|budget_amount)\b")
-
 
 def instant(value: str | None, zone: str | None, order: str | None) -> int | None:
     """The value's second; without a named zone in UTC."""
@@ -57,14 +53,10 @@ def tender_notice(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _typed(words: str):
-    return lambda spark, sf: sqlbook.run(spark, sf, words, {"tender_notice": tender_notice(spark, sf)})
-
-
 def _report(report):
     return lambda spark, sf: report(Tables(spark, sf, {"tender_notice": tender_notice(spark, sf)}))
 
 
-#: Reports of notices that show, sort or filter by times and amounts, and texts of the book that use them.
+#: Reports of notices that show, sort or filter by times and amounts.
 _REPORTS = {name: f for name, f in NOTICES.items() if name not in ("notice_wildcard_keyword", "notice_dual_totals", "notice_related")}
-QUERIES = {f"{name}_typed": _report(f) for name, f in _REPORTS.items()} | {f"{name}_typed": _typed(words) for name, words in sqlbook.BOOK.items() if name not in NOTICES and "tender_notice" in sqlbook._used(words) and TYPED.search(words)}
+QUERIES = {"similarity_match_typed": lambda spark, sf: similar(tender_notice(spark, sf))} | {f"{name}_typed": _report(f) for name, f in _REPORTS.items()}

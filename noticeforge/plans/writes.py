@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeforge.functions import identity
-from noticeforge.operators import upsert
+from noticeforge.functions import identity, text
+from noticeforge.operators import crawl, upsert
+from noticeforge.plans import reportbook, sqlbook
+from noticeforge.plans.identitybook import _TIGHT, _plain, nfkc
+from noticeforge.plans.reports import Tables, jobs
 from noticeforge.sources.tables import table
 
 #: Codes that sources were known by before.
@@ -68,13 +71,60 @@ def sources_created(spark, sf: str) -> DataFrame:
     return lacking.groupBy("code").agg(F.min_by("name", "item_id").alias("name"), F.min_by(F.coalesce(base("u"), base("d"), F.lit("https://example.com")), "item_id").alias("base_url"))
 
 
-QUERIES = {"notice_resolution": notice_resolution, "notice_merged": notice_merged, "notice_version_state": notice_version_state, "page_upsert": page_upsert, "job_counters": job_counters, "job_counters_items": job_counters_items, "source_lookup": source_lookup, "sources_created": sources_created}
+def similar(notices: DataFrame) -> DataFrame:
+    """(notice_id, matched_id): the first notice before each of the same source, title and day that agrees in its one
+    signal (issuer, region, bucket) or in two of its signals. Each notice is looked up by its signals and pairs of
+    signals, of each of which only the first notice is kept, so no pairs within a title are formed."""
+    n = notices.withColumns({"t": text.compact_title_udf("title"), "d": F.to_date("published_at"), "p": text.compact_title_udf("issuer"), "r": F.lower(text.plain_text_udf("region")), "b": (F.round(F.col("budget_amount").cast("decimal(24,2)") / 1000) * 1000).cast("bigint").cast("string")})
+    n = n.filter(F.col("t").isNotNull() & F.col("d").isNotNull())
+    key = lambda *cs: F.when(F.concat(*cs).isNotNull(), F.xxhash64(F.lit("".join(cs)), "source_site_id", "t", "d", *cs))
+    one, two = F.array_compact(F.array(*(key(c) for c in "prb"))), F.array_compact(F.array(key("p", "r"), key("p", "b"), key("r", "b")))
+    n = n.select("id", one.alias("one"), two.alias("two"))
+    first = n.select("id", F.explode(F.concat("one", "two")).alias("k")).groupBy("k").agg(F.min("id").alias("matched_id"))
+    asked = n.select("id", F.explode(F.when(F.size("one") == 1, F.col("one")).otherwise(F.col("two"))).alias("k"))
+    return asked.join(first, "k").filter("matched_id < id").groupBy(F.col("id").alias("notice_id")).agg(F.min("matched_id").alias("matched_id"))
+
+
+def similarity_match(spark, sf: str) -> DataFrame:
+    return similar(Tables(spark, sf)["tender_notice"])
+
+
+def raw_doc_upsert(spark, sf: str) -> DataFrame:
+    """Pages whose URL, and whose content, their source had before: against the first of each, no windows."""
+    d = Tables(spark, sf)["raw_document"]
+    first = lambda c, name: d.filter(F.col(c).isNotNull()).groupBy("source_site_id", c).agg(F.min("id").alias(name))
+    rows = d.join(first("url_hash", "u"), ["source_site_id", "url_hash"], "left").join(first("content_hash", "c"), ["source_site_id", "content_hash"], "left")
+    return rows.select("id", "source_site_id", "url_hash", F.coalesce((F.col("u") < F.col("id")).cast("int"), F.lit(0)).alias("is_duplicate_url"), F.coalesce((F.col("c") < F.col("id")).cast("int"), F.lit(0)).alias("is_duplicate_content"))
+
+
+def job_mutex_demote(spark, sf: str) -> DataFrame:
+    j = Tables(spark, sf)["crawl_job"]
+    active = crawl.demoted(j.filter(F.col("status").isin("pending", "running")))
+    return active.select("id", "source_site_id", F.col("status").alias("new_status"))
+
+
+def job_retry_links(spark, sf: str) -> DataFrame:
+    return jobs(Tables(spark, sf)).select("id", "retry_of_status", "retried_by_id", "retried_by_status")
+
+
+QUERIES = {"similarity_match": similarity_match, "raw_doc_upsert": raw_doc_upsert, "job_mutex_demote": job_mutex_demote, "job_retry_links": job_retry_links, "notice_resolution": notice_resolution, "notice_merged": notice_merged, "notice_version_state": notice_version_state, "page_upsert": page_upsert, "job_counters": job_counters, "job_counters_items": job_counters_items, "source_lookup": source_lookup, "sources_created": sources_created}
 
 _PAGES = """p AS (SELECT *, coalesce(source_code, 'unknown_source') AS src FROM raw_document_item WHERE url_hash IS NOT NULL),
     f AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.src = p.src AND q.url_hash = p.url_hash AND q.raw_id < p.raw_id) THEN 1 ELSE 0 END AS du,
     CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.src = p.src AND q.content_hash = p.content_hash AND q.url_hash <> p.url_hash AND q.raw_id < p.raw_id) THEN 1 ELSE 0 END AS dc, lower(coalesce(json_extract_string(extra_meta, '$.role'), '')) AS role FROM p)"""
 _META = lambda n: f"CAST(sum(CASE WHEN role = 'list' THEN greatest(coalesce(try_cast(trim(json_extract_string(extra_meta, '$.{n}')) AS INTEGER), 0), 0) ELSE 0 END) AS BIGINT)"
-ORACLES = {
+_ONE = "(CASE WHEN a.{c} = b.{c} THEN 1 ELSE 0 END)"
+_HAS = "(CASE WHEN a.{c} IS NULL THEN 0 ELSE 1 END)"
+_SUM = lambda x: " + ".join(x.format(c=c) for c in "prb")
+SQL = {
+    "similarity_match": f"""WITH x AS (SELECT id, source_site_id, {_TIGHT(nfkc('title'))} AS t, CAST(published_at AS DATE) AS d, {_TIGHT(nfkc('issuer'))} AS p, lower({_plain(nfkc('region'))}) AS r, CAST(floor(budget_amount / 1000 + CAST(0.5 AS DECIMAL(2, 1))) AS BIGINT) AS b FROM tender_notice)
+        SELECT a.id AS notice_id, min(b.id) AS matched_id FROM x a JOIN x b ON a.source_site_id = b.source_site_id AND a.t = b.t AND a.d = b.d AND b.id < a.id WHERE {_SUM(_HAS)} > 0 AND {_SUM(_ONE)} >= least({_SUM(_HAS)}, 2) GROUP BY a.id""",
+    "raw_doc_upsert": """SELECT id, source_site_id, url_hash, CASE WHEN url_hash IS NOT NULL AND row_number() OVER (PARTITION BY source_site_id, url_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_url,
+        CASE WHEN content_hash IS NOT NULL AND row_number() OVER (PARTITION BY source_site_id, content_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_content FROM raw_document""",
+    "job_mutex_demote": "SELECT id, source_site_id, CASE WHEN k = 1 THEN status ELSE 'failed' END AS new_status FROM (SELECT j.*, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM crawl_job j WHERE status IN ('pending', 'running'))",
+    "job_retry_links": f"""WITH {reportbook._JOB} SELECT j.id, (SELECT o.now_status FROM job o WHERE o.id = j.retry_of_job_id) AS retry_of_status, r.id AS retried_by_id, r.now_status AS retried_by_status FROM job j LEFT JOIN job r ON r.id = (SELECT max(q.id) FROM job q WHERE q.retry_of_job_id = j.id)""",
+}
+ORACLES = {name: sqlbook.duckdb(words) for name, words in SQL.items()} | {
     "page_upsert": f"WITH {_PAGES} SELECT raw_id, du AS is_duplicate_url, dc AS is_duplicate_content FROM f",
     "job_counters": f"""WITH {_PAGES} SELECT crawl_job_id, count(*) AS pages_fetched, count(*) AS documents_saved, CAST(sum(greatest(du, dc)) AS BIGINT) AS deduplicated_count, {_META('page_item_count')} AS list_items_seen, {_META('new_unique_item_count')} AS list_items_unique, {_META('page_source_duplicates_skipped')} AS list_items_source_duplicates_skipped,
         CAST(sum(CASE WHEN role = 'detail' THEN 1 ELSE 0 END) AS BIGINT) AS detail_pages_fetched, CAST(sum(1 - du) AS BIGINT) AS records_inserted, CAST(sum(du) AS BIGINT) AS records_updated FROM f WHERE crawl_job_id IS NOT NULL GROUP BY crawl_job_id""",
