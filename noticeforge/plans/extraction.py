@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeforge.functions import html, text
+from noticeforge.plans.identitybook import _plain, nfkc
 from noticeforge.sources.tables import table
 
 _LIST = "struct<code:int,data:struct<current:int,records:array<struct<title:string,titleShow:string,publishTime:string,url:string,detailUrl:string>>>>"
@@ -62,8 +63,12 @@ def json_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"page_fields": page_fields, "page_files": page_files, "page_notices": page_notices, "page_list_items": page_list_items, "page_paging": page_paging, "json_responses": json_responses, "list_records": list_records, "title_subject": title_subject, "json_hash": json_hash}
-_BODY = "(SELECT raw_id, unnest(regexp_extract_all(raw_body, '<li><a href=\"[^\"]*/d/[^\"]*\">[^<]*</a>(<span>[^<]*</span>)?')) AS li, generate_subscripts(regexp_extract_all(raw_body, '<li><a href=\"[^\"]*/d/[^\"]*\">[^<]*</a>(<span>[^<]*</span>)?'), 1) AS i, url FROM raw_document_item WHERE document_type = 'html' AND json_extract_string(extra_meta, '$.role') = 'list')"
+# the closing words, taken off as often as a title may have them
+_ENDED = _plain(nfkc("title"))
+for _ in range(5):
+    _ENDED = f"trim(regexp_replace({_ENDED}, '(?:{text._SIGNS}|\\s)*(?:{text._BUSINESS})?(?:公告|公示|通知|信息)\\s*$', ''))"
 ORACLES = {
     "list_records": "SELECT raw_id, CAST(i AS INTEGER) AS at, json_extract_string(r, '$.title') AS title, json_extract_string(r, '$.publishTime') AS published FROM (SELECT raw_id, unnest(json_extract(raw_body, '$.data.records[*]')) AS r, generate_subscripts(json_extract(raw_body, '$.data.records[*]'), 1) - 1 AS i FROM raw_document_item WHERE document_type = 'json') WHERE length(trim(json_extract_string(r, '$.title'))) > 0",
+    "title_subject": f"SELECT item_id, nullif(lower(replace(regexp_replace({_ENDED}, '(?:{text._SIGNS}*(?:{text._BUSINESS}))*{text._SIGNS}*$', ''), ' ', '')), '') AS subject FROM notice_item",
     "json_responses": "SELECT raw_id, CASE WHEN json_valid(raw_body) AND regexp_matches(raw_body, '^\\s*[{\\[]') THEN 1 ELSE 0 END AS json, CASE WHEN length(trim(raw_body)) >= 120 THEN 1 ELSE 0 END AS enough FROM raw_document_item",
 }
