@@ -300,14 +300,21 @@ def new_notices(t: Tables, since: Column, until: Column | None = None) -> DataFr
 
 def overview(t: Tables, as_of: str = AS_OF, jobs_as_of: str = JOBS_AS_OF) -> DataFrame:
     """The nine figures of the overview, one row."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    sources = t["source"].agg(F.count("*").alias("n_sources"), F.count_if("is_active").alias("n_active"))
-    all_jobs = swept(t, jobs_as_of).agg(F.count("*").alias("n_jobs"), F.count_if(F.col("status") == "running").alias("n_running"))
-    parts = [sources, all_jobs, count(t["tender_notice"], "n_notices"), count(new_notices(t, F.date_trunc("day", _at(as_of))), "new_today"), count(new_notices(t, _at(as_of) - F.expr("INTERVAL '24' HOUR")), "new_24h"), count(t["raw_document"], "n_documents"), count(t["crawl_error"], "n_errors")]
-    out = parts[0]
-    for p in parts[1:]:  # one row each
-        out = out.join(p, F.lit(True))
-    return out
+    figures = ("n_sources", "n_active", "n_jobs", "n_running", "n_notices", "new_today", "new_24h", "n_documents", "n_errors")
+
+    def one(df: DataFrame, **counts: Column) -> DataFrame:
+        """One row of a part's figures, the others null."""
+        return df.agg(*(counts.get(f, F.max(F.lit(None).cast("long"))).alias(f) for f in figures))
+
+    n = F.count("*")
+    parts = [
+        one(t["source"], n_sources=n, n_active=F.count_if("is_active")), one(swept(t, jobs_as_of), n_jobs=n, n_running=F.count_if(F.col("status") == "running")), one(t["tender_notice"], n_notices=n),
+        one(new_notices(t, F.date_trunc("day", _at(as_of))), new_today=n), one(new_notices(t, _at(as_of) - F.expr("INTERVAL '24' HOUR")), new_24h=n), one(t["raw_document"], n_documents=n), one(t["crawl_error"], n_errors=n),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.agg(*(F.max(f).alias(f) for f in figures))
 
 
 def operations(t: Tables, recent_hours: int = 24, as_of: str = AS_OF, jobs_as_of: str = JOBS_AS_OF) -> DataFrame:
