@@ -203,9 +203,10 @@ def lines_of(rows: DataFrame, field: str, id_col: str, markup: bool, is_list=Non
         every = known.get(None, frozenset())
         known = {site: t | every for site, t in known.items()} | {None: every}
         return pages.mapInPandas(_line_rows(field, markup, known), schema)
-    every = sets.filter(F.col("site").isNull()).select(F.col("templates").alias("every"))
-    sites = pages.select("site").distinct().join(sets, "site", "left").join(F.broadcast(every), F.lit(True), "left")
-    salted = sites.select("site", F.array_union(F.coalesce("templates", F.array().cast("array<long>")), F.coalesce("every", F.array().cast("array<long>"))).alias("templates"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    every = sets.filter(F.col("site").isNull()).first()  # one row, bounded as that of a site
+    sites = pages.select("site").distinct().join(sets, "site", "left")
+    none = F.array().cast("array<long>")
+    salted = sites.select("site", F.array_union(F.coalesce("templates", none), F.lit([int(x) for x in every.templates]) if every else none).alias("templates"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     return pages.withColumn("salt", F.pmod("row_id", F.lit(SALT)).cast("int")).join(salted, ["site", "salt"], "left").mapInPandas(_line_rows(field, markup, None), schema)
 
 
