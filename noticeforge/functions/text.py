@@ -87,6 +87,11 @@ plain_text_udf, compact_title_udf, subject_title_udf = _arrow(plain_text), _arro
 normal_url_udf, detail_url_udf, canonical_json_udf = _arrow(normal_url), _arrow(normal_url, drop_tracking=True), _arrow(canonical_json_hash)
 
 
+@F.pandas_udf(T.StringType())
+def absolute_url_udf(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([absolute_url(b, h) for b, h in zip(base, href)], dtype=object)
+
+
 def seed_hash(*parts: Column) -> Column:
     """SHA-256 of parts joined by |, missing ones as -."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.nullif(F.trim(p.cast("string")), F.lit("")), F.lit("-")) for p in parts)), 256)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from noticeforge.functions import identity, text
 from noticeforge.operators import crawl, upsert
-from noticeforge.plans import reportbook, sqlbook
+from noticeforge.plans import checks, reportbook, sqlbook
 from noticeforge.plans.identitybook import _TIGHT, _plain, nfkc
-from noticeforge.plans.reports import Tables, jobs
+from noticeforge.plans.reports import Tables, current_versions, jobs
 from noticeforge.sources.tables import table
 
 #: Codes that sources were known by before.
@@ -53,6 +53,29 @@ def job_counters_items(spark, sf: str) -> DataFrame:
     return upsert.job_counters(_written(spark, sf))
 
 
+def attachment_links(t: Tables) -> DataFrame:
+    """(source_site_id, url_hash, attachment_id, file_name, version_id, raw_document_id, downloaded_us) of files by URL: the last
+    delivery counts, but a time of download stays once known. A file belongs to the version it names, else to the
+    one that is current, and to the page of its URL."""
+    a = t["tender_attachment"].filter(F.col("url_hash").isNotNull())
+    last = a.groupBy("source_site_id", "url_hash").agg(F.max_by(F.struct(F.col("id").alias("attachment_id"), "notice_id", "file_name", F.trim("notice_version_no").try_cast("int").alias("version_no")), "id").alias("x"), F.max_by(F.unix_micros("downloaded_at"), F.when(F.col("downloaded_at").isNotNull(), F.col("id"))).alias("downloaded_us")).select("source_site_id", "url_hash", "x.*", "downloaded_us")
+    named = t["notice_version"].groupBy("notice_id", "version_no").agg(F.min("id").alias("named_id"))
+    current = current_versions(t).select("notice_id", F.col("version_id").alias("current_id"))
+    pages = t["raw_document"].filter(F.col("url_hash").isNotNull()).groupBy("source_site_id", "url_hash").agg(F.min("id").alias("raw_document_id"))
+    rows = last.join(named, ["notice_id", "version_no"], "left").join(current, "notice_id", "left").join(pages, ["source_site_id", "url_hash"], "left")
+    return rows.select("source_site_id", "url_hash", "attachment_id", "file_name", F.coalesce("named_id", "current_id").alias("version_id"), "raw_document_id", "downloaded_us")
+
+
+def attachment_link(spark, sf: str) -> DataFrame:
+    return attachment_links(Tables(spark, sf))
+
+
+def constraint_violations(spark, sf: str) -> DataFrame:
+    """(relation, rule, n): how many rows or groups break a rule that the surveyed tables enforce. None is missing, rules
+    that hold have 0."""
+    return checks.violations(Tables(spark, sf))
+
+
 def source_lookup(spark, sf: str) -> DataFrame:
     """The source that each code in the items means, former codes included; null where it has none."""
     names = reduce(DataFrame.unionByName, (table(spark, sf, t).select("source_code") for t in ("notice_item", "raw_document_item"))).distinct().unionByName(spark.createDataFrame([("2",), ("ggzy_gov_cn",), ("zb_01 ",), ("nowhere",)], "source_code string"))
@@ -107,7 +130,7 @@ def job_retry_links(spark, sf: str) -> DataFrame:
     return jobs(Tables(spark, sf)).select("id", "retry_of_status", "retried_by_id", "retried_by_status")
 
 
-QUERIES = {"similarity_match": similarity_match, "raw_doc_upsert": raw_doc_upsert, "job_mutex_demote": job_mutex_demote, "job_retry_links": job_retry_links, "notice_resolution": notice_resolution, "notice_merged": notice_merged, "notice_version_state": notice_version_state, "page_upsert": page_upsert, "job_counters": job_counters, "job_counters_items": job_counters_items, "source_lookup": source_lookup, "sources_created": sources_created}
+QUERIES = {"similarity_match": similarity_match, "raw_doc_upsert": raw_doc_upsert, "job_mutex_demote": job_mutex_demote, "attachment_link": attachment_link, "constraint_violations": constraint_violations, "job_retry_links": job_retry_links, "notice_resolution": notice_resolution, "notice_merged": notice_merged, "notice_version_state": notice_version_state, "page_upsert": page_upsert, "job_counters": job_counters, "job_counters_items": job_counters_items, "source_lookup": source_lookup, "sources_created": sources_created}
 
 _PAGES = """p AS (SELECT *, coalesce(source_code, 'unknown_source') AS src FROM raw_document_item WHERE url_hash IS NOT NULL),
     f AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.src = p.src AND q.url_hash = p.url_hash AND q.raw_id < p.raw_id) THEN 1 ELSE 0 END AS du,
@@ -122,6 +145,18 @@ SQL = {
     "raw_doc_upsert": """SELECT id, source_site_id, url_hash, CASE WHEN url_hash IS NOT NULL AND row_number() OVER (PARTITION BY source_site_id, url_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_url,
         CASE WHEN content_hash IS NOT NULL AND row_number() OVER (PARTITION BY source_site_id, content_hash ORDER BY id) > 1 THEN 1 ELSE 0 END AS is_duplicate_content FROM raw_document""",
     "job_mutex_demote": "SELECT id, source_site_id, CASE WHEN k = 1 THEN status ELSE 'failed' END AS new_status FROM (SELECT j.*, row_number() OVER (PARTITION BY source_site_id ORDER BY id DESC) AS k FROM crawl_job j WHERE status IN ('pending', 'running'))",
+    "attachment_link": """WITH a AS (SELECT *, row_number() OVER (PARTITION BY source_site_id, url_hash ORDER BY id DESC) AS k FROM tender_attachment WHERE url_hash IS NOT NULL)
+        SELECT a.source_site_id, a.url_hash, a.id AS attachment_id, a.file_name, coalesce((SELECT min(v.id) FROM notice_version v WHERE v.notice_id = a.notice_id AND v.version_no = try_cast(trim(a.notice_version_no) AS INTEGER)),
+        (SELECT v.id FROM notice_version v WHERE v.notice_id = a.notice_id ORDER BY v.is_current DESC, v.version_no DESC, v.id DESC LIMIT 1)) AS version_id, (SELECT min(d.id) FROM raw_document d WHERE d.source_site_id = a.source_site_id AND d.url_hash = a.url_hash) AS raw_document_id,
+        (SELECT epoch_us(b.downloaded_at) FROM tender_attachment b WHERE b.source_site_id = a.source_site_id AND b.url_hash = a.url_hash AND b.downloaded_at IS NOT NULL ORDER BY b.id DESC LIMIT 1) AS downloaded_us FROM a WHERE k = 1""",
+    "constraint_violations": """SELECT 'crawl_job' AS relation, 'one active a source' AS rule, (SELECT count(*) FROM (SELECT source_site_id FROM crawl_job WHERE status IN ('pending', 'running') GROUP BY 1 HAVING count(*) > 1)) AS n
+        UNION ALL SELECT 'crawl_job', 'retried once', (SELECT count(*) FROM (SELECT retry_of_job_id FROM crawl_job WHERE retry_of_job_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'crawl_job', 'status', (SELECT count(*) FROM crawl_job WHERE NOT status IN ('pending', 'running', 'succeeded', 'failed', 'partial'))
+        UNION ALL SELECT 'crawl_job', 'job_type', (SELECT count(*) FROM crawl_job WHERE NOT job_type IN ('scheduled', 'manual', 'backfill', 'manual_retry')) UNION ALL SELECT 'source', 'code', (SELECT count(*) FROM (SELECT code FROM source GROUP BY 1 HAVING count(*) > 1))
+        UNION ALL SELECT 'raw_document', 'url of a source', (SELECT count(*) FROM (SELECT source_site_id, url_hash FROM raw_document WHERE url_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'raw_document', 'document_type', (SELECT count(*) FROM raw_document WHERE NOT document_type IN ('html', 'pdf', 'json', 'other'))
+        UNION ALL SELECT 'tender_notice', 'external id of a source', (SELECT count(*) FROM (SELECT source_site_id, external_id FROM tender_notice WHERE external_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'tender_notice', 'hash of a source', (SELECT count(*) FROM (SELECT source_site_id, dedup_hash FROM tender_notice WHERE dedup_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1))
+        UNION ALL SELECT 'notice_version', 'number of a notice', (SELECT count(*) FROM (SELECT notice_id, version_no FROM notice_version GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'notice_version', 'content of a notice', (SELECT count(*) FROM (SELECT notice_id, content_hash FROM notice_version WHERE content_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1))
+        UNION ALL SELECT 'tender_attachment', 'url of a source', (SELECT count(*) FROM (SELECT source_site_id, url_hash FROM tender_attachment WHERE url_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'tender_attachment', 'attachment_type', (SELECT count(*) FROM tender_attachment WHERE NOT attachment_type IN ('notice_file', 'bid_file', 'other'))
+        UNION ALL SELECT 'crawl_error', 'stage', (SELECT count(*) FROM crawl_error WHERE NOT stage IN ('fetch', 'parse', 'persist'))""",
     "job_retry_links": f"""WITH {reportbook._JOB} SELECT j.id, (SELECT o.now_status FROM job o WHERE o.id = j.retry_of_job_id) AS retry_of_status, r.id AS retried_by_id, r.now_status AS retried_by_status FROM job j LEFT JOIN job r ON r.id = (SELECT max(q.id) FROM job q WHERE q.retry_of_job_id = j.id)""",
 }
 ORACLES = {name: sqlbook.duckdb(words) for name, words in SQL.items()} | {

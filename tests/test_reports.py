@@ -124,6 +124,25 @@ def test_sheet_of_operations(tables):
     assert sheet.count("<row ") == 3 and sheet.count("<c r=\"O") == 3 and "detail broke" in sheet
 
 
+def test_rules_and_constraints(tables):
+    from noticeforge.plans import checks
+
+    assert checks.checked_rules({"errors_critical": 9})["errors_critical"] == 9
+    for bad in ({"errors_warning": -1}, {"streak_warning": 3}, {"other": 1}):
+        with pytest.raises(ValueError, match="thresholds|unknown"):
+            checks.checked_rules(bad)
+
+
+def test_list_records_by_any_name(spark):
+    from noticeforge.plans import extraction
+
+    body = '{"data": {"records": [{"titleShow": "甲项目中标公告", "detailUrl": "/d?id=Q1&utm_x=1", "publishDate": "2024-03-01 08:00", "provinceText": "合肥", "infoID": 7}, {"title": " "}, {"title": "甲项目 变更", "informationTypeText": "公告"}]}}'
+    df = spark.createDataFrame([(1, "s", "http://a.example/l", body), (2, "s", None, "no json"), (3, "s", None, None)], "raw_id long, source_code string, url string, raw_body string")
+    a, b = extraction.list_identities(df).orderBy("at").collect()
+    assert (a.title, a.detail_url, a.day, a.subject, a.kind, a.own_id, a.province) == ("甲项目中标公告", "http://a.example/d?id=Q1", "2024-03-01", "甲项目", "result", "7", "合肥")
+    assert b.kind == "change" and b.detail_url is None and len({a.source_key, a.fingerprint, b.source_key}) == 3 and b.source_key == b.fingerprint
+
+
 def test_outcomes(tables):
     got = {r.id: (r.failure_reason, r.final_status) for r in reports.outcomes(tables).collect()}
     assert got[701] == ("页面获取失败: late", "failed") and got[702] == ("列表解析为0", "succeeded")
