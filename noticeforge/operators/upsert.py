@@ -5,7 +5,7 @@ only meet items that share a key with it, directly or through others. So items a
 keys (`components`: labels spread along keys until none changes), and each component is folded in the order of
 arrival. A fold goes through its partition row by row and keeps only the notices of the component at hand and the
 hashes of their versions, never its rows; so a component that holds a large share of all rows costs one task time, as
-what is sequential must, but no memory.
+what is sequential must, but no memory. Texts don't go through it: `summary_seq` names the item that gave the summary.
 
 The cascade: external id, source key, dedup key, dedup hash, then likeness (same title and day, and of issuer,
 region and bucket one that agrees if the item has just one, else two), else a new notice, if the item has a title.
@@ -27,14 +27,14 @@ from noticeforge.functions import identity
 from noticeforge.session import settle
 
 KEYS = ("external_id", "source_duplicate_key", "dedup_key", "dedup_hash")
-MERGED = ("project_code", "issuer", "region", "deadline_us", "budget_amount", "budget_currency", "summary")
+MERGED = ("project_code", "issuer", "region", "deadline_us", "budget_amount", "budget_currency", "summary_seq")
 SIGNALS = ("norm_party", "norm_region", "bucket")
 EFFECTS = ("notices_upserted", "deduplicated_count", "source_duplicates_suppressed", "records_inserted", "records_updated")
 OUT = (
     "what string, source_code string, seq long, kind string, crawl_job_id long, notice_seq long, outcome string, "
     + ", ".join(f"{e} int" for e in EFFECTS)
     + ", external_id string, source_duplicate_key string, dedup_key string, dedup_hash string, title string, notice_type string, published_us long, first_published_us long, latest_published_us long, "
-    + ", ".join(f"{m} {'long' if m.endswith('_us') else 'string'}" for m in MERGED)
+    + ", ".join(f"{m} {'long' if m.endswith(('_us', '_seq')) else 'string'}" for m in MERGED)
     + ", version_no int, content_hash string, is_current boolean"
 )
 _COLUMNS = [c.split()[0] for c in OUT.split(", ")]
@@ -51,12 +51,14 @@ def item_stream(notices: DataFrame, versions: DataFrame) -> DataFrame:
         return rows.filter(F.col(number).isNotNull() & F.col("source_code").isNotNull() & F.col(time).isNotNull()).select(
             "source_code", F.col(number).alias("number"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.lit(kind).alias("kind"), "crawl_job_id", *KEYS, identity.said("title").alias("title"), F.col("norm_type").alias("notice_type"),
             "norm_title", *SIGNALS, "published_day", micros("published_at").alias("published_us"), micros("deadline_at").alias("deadline_us"), identity.said(has("project_code")).alias("project_code"), identity.said("issuer").alias("issuer"),
-            identity.said("region").alias("region"), amount.alias("budget_amount"), identity.said("budget_currency").alias("budget_currency"), F.coalesce(identity.said(has("summary")), identity.said(has("content_text"))).alias("summary"),
+            identity.said("region").alias("region"), amount.alias("budget_amount"), identity.said("budget_currency").alias("budget_currency"), (identity.said(has("summary")).isNotNull() | identity.said(has("content_text")).isNotNull()).alias("summarised"),
             "content_hash", identity.said(has("version_no")).try_cast("int").alias("version_no"), F.coalesce(~F.lower(identity.said(has("is_current"))).isin("0", "false", "no", "n", "off"), F.lit(True)).alias("is_current"))
 
     both = of(notices, "notice", "item_id", "crawled_at").unionByName(of(versions, "version", "snap_id", "observed_at"))
     # a number that grows with time, and of one time with the table and the row: no sort of everything
-    return both.withColumn("seq", F.col("number") * 2 + (F.col("kind") == "version").cast("long"))
+    both = both.withColumn("seq", F.col("number") * 2 + (F.col("kind") == "version").cast("long"))
+    # texts stay where they are: a notice knows the item that its summary is from
+    return both.withColumn("summary_seq", F.when("summarised", F.col("seq"))).drop("summarised", "number")
 
 
 def components(items: DataFrame, keys: dict[str, list]) -> DataFrame:
