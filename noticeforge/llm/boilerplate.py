@@ -194,7 +194,7 @@ def _line_rows(field: str, markup: bool, known: dict | None):
 def lines_of(rows: DataFrame, field: str, id_col: str, markup: bool, is_list=None) -> DataFrame:
     """(field_name, row_id, line_no) of the notice's lines in a text column."""
     pages = rows.filter(F.col(id_col).isNotNull() & F.col(field).isNotNull()).select(
-        F.col(id_col).cast("long").alias("row_id"), F.col(field).alias("value"), F.coalesce("source_code", F.lit("")).alias("site"),
+        F.col(id_col).cast("long").alias("row_id"), F.col(field).alias("value"), (F.coalesce("source_code", F.lit("")) if "source_code" in rows.columns else F.lit("")).alias("site"),
         (F.coalesce(is_list, F.lit(False)) if is_list is not None else F.lit(False)).alias("is_list"))
     sets = settle(furniture_of(pages, markup))
     schema = "field_name string, row_id long, line_no int"
