@@ -58,7 +58,7 @@ def item_stream(notices: DataFrame, versions: DataFrame) -> DataFrame:
     # a number that grows with time, and of one time with the table and the row: no sort of everything
     both = both.withColumn("seq", F.col("number") * 2 + (F.col("kind") == "version").cast("long"))
     # texts stay where they are: a notice knows the item that its summary is from
-    return both.withColumn("summary_seq", F.when("summarised", F.col("seq"))).drop("summarised", "number")
+    return both.withColumn("summary_seq", F.when(F.col("summarised"), F.col("seq"))).drop("summarised", "number")
 
 
 def components(items: DataFrame, keys: dict[str, list]) -> DataFrame:
