@@ -16,8 +16,8 @@ The furniture of a site is bounded: a line of share `RECURS` occurs on so many p
 (lines a page / `RECURS`) of them. It is counted over all pages, then sent to the tasks if it is at most
 `MOST_TEMPLATES` lines in all, and joined by site, salted, if it is more.
 
-Defined results: null, blank and JSON values have no lines; a list page, by its role or by having more
-titles than text, has none either; text on script, style, head and comment lines isn't visible. Lines are
+Defined results: null, blank and JSON values have no lines; a list page, by its role or by having more than
+twice as many titles as lines of text, has none either; text on script, style, head and comment lines isn't visible. Lines are
 counted at line feeds, in whole values. Each line comes once. Rows without a source are one site.
 """
 
@@ -128,7 +128,7 @@ def notice_lines(value: str | None, markup: bool, is_list: bool = False, furnitu
     for i in shown:
         t = lines[i]
         kind.append("b" if _FILE.search(t) else "l" if furniture and template(t) in furniture else "b" if _CLAUSE.search(t) or _PHONE.search(t) else "h")
-    if kind.count("h") > max(4, kind.count("b")):
+    if kind.count("h") > max(4, 2 * kind.count("b")):
         return []
     lengths = np.array([length_of(lines[i]) if k == "b" else 0.0 for i, k in zip(shown, kind)])
     first, end = block(lengths)
