@@ -62,20 +62,22 @@ def item_stream(notices: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def components(items: DataFrame, keys: dict[str, list]) -> DataFrame:
-    """(source_code, seq, component): the smallest seq that can be reached along shared keys of a source. keys: names and
-    the columns that make each, none of them null. Labels spread to the whole of a key in a round, and along labels."""
-    known = [F.when(F.concat_ws("␟", *cs) != "", F.when(~F.exists(F.array(*(F.col(c).isNull() for c in cs)), lambda x: x), F.xxhash64(F.lit(name), "source_code", *cs))) for name, cs in keys.items()]
-    edges = settle(items.select("source_code", "seq", F.explode(F.array_compact(F.array(*known))).alias("key")))
-    labels = items.select("source_code", "seq", F.col("seq").alias("component"))
+    """(seq, component) of items that share a key with another: the smallest seq that can be reached along shared keys
+    of a source. keys: names and the columns that make each, none of them null. Only keys that occur twice are kept.
+    Labels spread to the whole of a key in a round, and along labels, until none changes."""
+    known = [F.when(~F.exists(F.array(*(F.col(c).isNull() for c in cs)), lambda x: x), F.xxhash64(F.lit(name), "source_code", *cs)) for name, cs in keys.items()]
+    every = items.select("seq", F.explode(F.array_compact(F.array(*known))).alias("key"))
+    shared = every.groupBy("key").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).filter("low < high").select("key")
+    edges = settle(every.join(shared, "key", "left_semi"))
+    labels = edges.select("seq").distinct().withColumn("component", F.col("seq"))
     while True:
-        least = edges.join(labels, ["source_code", "seq"]).groupBy("key").agg(F.min("component").alias("least"))
-        reached = edges.join(least, "key").groupBy("source_code", "seq").agg(F.min("least").alias("least"))
-        new = labels.join(reached, ["source_code", "seq"], "left").withColumn("near", F.least("component", F.coalesce("least", "component")))
+        least = edges.join(labels, "seq").groupBy("key").agg(F.min("component").alias("least"))
+        new = edges.join(least, "key").groupBy("seq").agg(F.min("least").alias("near"))
         # and on to what the label itself has reached
-        on = new.select("source_code", F.col("seq").alias("near"), F.col("near").alias("further"))
-        new = settle(new.join(on, ["source_code", "near"], "left").select("source_code", "seq", F.coalesce("further", "near").alias("next"), "component"))
-        changed = new.filter("next < component").limit(1).count()
-        labels = new.select("source_code", "seq", F.col("next").alias("component"))
+        on = new.select(F.col("seq").alias("near"), F.col("near").alias("next"))
+        new = settle(new.join(on, "near").select("seq", F.least("next", "near").alias("component")))
+        changed = new.join(labels.withColumnRenamed("component", "before"), "seq").filter("component < before").limit(1).count()
+        labels = new
         if not changed:
             return labels
 
@@ -233,7 +235,7 @@ def write_items(items: DataFrame) -> DataFrame:
     keys = {k: [k] for k in KEYS} | {"likeness": ["norm_title", "published_day"]}
     of = components(items, keys)
     # the dedup key of an item without one is its source key, so both are one key space
-    both = items.join(of, ["source_code", "seq"])
+    both = items.join(of, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
     return both.repartition("source_code", "component").sortWithinPartitions("source_code", "component", "at", "seq").mapInPandas(_folded, OUT)
 
 
