@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeforge.functions import identity
-from noticeforge.session import settle
+from noticeforge.session import settle, settle_table
 
 KEYS = ("external_id", "source_duplicate_key", "dedup_key", "dedup_hash")
 MERGED = ("project_code", "issuer", "region", "deadline_us", "budget_amount", "budget_currency", "summary_seq")
@@ -231,7 +231,7 @@ def _folded(batches):
 
 def write_items(items: DataFrame) -> DataFrame:
     """What is in the tables after all items: rows of what = effect (one an item), notice and version."""
-    items = settle(items)  # read once: keys are costly, and every round begins with them
+    items = settle_table(items)  # read once: keys are costly, and every round begins with them
     keys = {k: [k] for k in KEYS} | {"likeness": ["norm_title", "published_day"]}
     of = components(items, keys)
     # the dedup key of an item without one is its source key, so both are one key space

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """The same as a table: columns are packed, and what isn't used isn't read. For wide rows that are read again; the
+    table stays in the shared folder until the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session has ended
+        pass
+
+
 def skewless(spark: SparkSession) -> int:
     """Shuffle partitions of the session, as a number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
