@@ -2,7 +2,7 @@
 
 What an item does depends on all items of its source before it, as keys change while items are merged. But it can
 only meet items that share a key with it, directly or through others. So items are cut into components by their
-keys (`components`: labels spread along keys until none changes), and each component is folded in the order of
+keys (`components`: items contract along keys until no link is left), and each component is folded in the order of
 arrival. A fold goes through its partition row by row and keeps only the notices of the component at hand and the
 hashes of their versions, never its rows; so a component that holds a large share of all rows costs one task time, as
 what is sequential must, but no memory. Texts don't go through it: `summary_seq` names the item that gave the summary.
@@ -63,23 +63,22 @@ def item_stream(notices: DataFrame, versions: DataFrame) -> DataFrame:
 
 def components(items: DataFrame, keys: dict[str, list]) -> DataFrame:
     """(seq, component) of items that share a key with another: the smallest seq that can be reached along shared keys
-    of a source. keys: names and the columns that make each, none of them null. Only keys that occur twice are kept.
-    Labels spread to the whole of a key in a round, and along labels, until none changes."""
+    of a source. keys: names and the columns that make each, none of them null. A key links its items to the first
+    of them. Each round moves every item to its smallest neighbour and goes on with the links between these, fewer
+    than half as many ends as before, until no link is left."""
     known = [F.when(~F.exists(F.array(*(F.col(c).isNull() for c in cs)), lambda x: x), F.xxhash64(F.lit(name), "source_code", *cs)) for name, cs in keys.items()]
     every = items.select("seq", F.explode(F.array_compact(F.array(*known))).alias("key"))
-    shared = every.groupBy("key").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).filter("low < high").select("key")
-    edges = settle(every.join(shared, "key", "left_semi"))
-    labels = edges.select("seq").distinct().withColumn("component", F.col("seq"))
-    while True:
-        least = edges.join(labels, "seq").groupBy("key").agg(F.min("component").alias("least"))
-        new = edges.join(least, "key").groupBy("seq").agg(F.min("least").alias("near"))
-        # and on to what the label itself has reached
-        on = new.select(F.col("seq").alias("near"), F.col("near").alias("next"))
-        new = settle(new.join(on, "near").select("seq", F.least("next", "near").alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "before"), "seq").filter("component < before").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    shared = every.groupBy("key").agg(F.min("seq").alias("a"), F.max("seq").alias("high")).filter("a < high").select("key", "a")
+    links = settle(every.join(shared, "key").filter("a < seq").select("a", F.col("seq").alias("b")).distinct())
+    labels = links.select(F.col("a").alias("seq")).unionByName(links.select(F.col("b").alias("seq"))).distinct().withColumn("component", F.col("seq"))
+    while links.limit(1).count():
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = settle(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("near")).select("v", F.least("v", "near").alias("to")))
+        labels = settle(labels.join(to, F.col("component") == F.col("v"), "left").select("seq", F.coalesce("to", "component").alias("component")))
+        moved = lambda end: to.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}"))  # noqa: E731, B023
+        on = links.join(moved("a"), "a").join(moved("b"), "b").filter("to_a != to_b")
+        links = settle(on.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    return labels
 
 
 class Fold:
