@@ -67,10 +67,14 @@ def moment(text: Column) -> Column:
 
 
 def day(text: Column) -> Column:
-    """The UTC day of a plain text as YYYY-MM-DD: that of its instant, else of the first date in it."""
+    """The UTC day of a plain text as YYYY-MM-DD: that of its instant, else of the first date in it. 24:00 in ISO form is
+    the end of its day, thus the next one's 00:00."""
     shape = r"([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})"
     first = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(text, shape, 0), shape, "$1-$2-$3"), F.lit("y-M-d"))
-    return F.date_format(F.coalesce(moment(text), first), "yyyy-MM-dd")
+    ends = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]24:00(?::00(?:\.0+)?)?\s?(?:Z|[+-]\d{2}:?\d{2})?$")
+    at = moment(F.when(ends, F.regexp_replace(text, "(?<=[T ])24:", "00:")).otherwise(text))
+    # years of five digits come with a sign
+    return F.ltrim(F.date_format(F.date_add(F.to_date(F.coalesce(at, first)), F.when(ends, 1).otherwise(0)), "yyyy-MM-dd"), F.lit("+"))
 
 
 def seed(*parts: Column) -> Column:

@@ -66,6 +66,17 @@ def test_days_of_longer_texts(spark):
     assert [r[0] for r in df.select(identity.day(F.col("a"))).collect()] == ["2024-03-01", "2024-03-02", None]
 
 
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("2024-05-28 24:00", "2024-05-29"), ("2024-12-31T24:00:00", "2025-01-01"), ("2024-02-28 24:00:00.000Z", "2024-02-29"), ("2024-05-28T24:00+08:00", "2024-05-28"), ("2024-05-28 24:00-0500", "2024-05-29"), ("9999-12-31 24:00", "10000-01-01"),
+        ("2024-02-30 24:00", None), ("2024-05-28 23:59", "2024-05-28"), ("2024年5月28日 24点00分", "2024-05-28"),
+    ],
+)
+def test_end_of_a_day_is_the_next_day(spark, value, want):
+    assert spark.createDataFrame([(value,)], "a string").select(identity.day(F.col("a")).alias("d")).first().d == want
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
