@@ -77,6 +77,11 @@ def test_end_of_a_day_is_the_next_day(spark, value, want):
     assert spark.createDataFrame([(value,)], "a string").select(identity.day(F.col("a")).alias("d")).first().d == want
 
 
+def test_list_fingerprint_at_the_end_of_a_day(keyed):
+    end, start, before = keyed({"published_at": "2024-03-01 24:00"}, {"published_at": "2024-03-02 00:00"}, {})
+    assert end.list_fingerprint == start.list_fingerprint != before.list_fingerprint
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
