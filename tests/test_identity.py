@@ -82,6 +82,11 @@ def test_list_fingerprint_at_the_end_of_a_day(keyed):
     assert end.list_fingerprint == start.list_fingerprint != before.list_fingerprint
 
 
+def test_dedup_key_at_the_end_of_a_day(keyed):
+    end, start, before = keyed({"published_at": "2024-03-01 24:00"}, {"published_at": "2024-03-02 00:00"}, {})
+    assert end.built_dedup_key == start.built_dedup_key != before.built_dedup_key
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
