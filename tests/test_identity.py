@@ -87,6 +87,12 @@ def test_dedup_key_at_the_end_of_a_day(keyed):
     assert end.built_dedup_key == start.built_dedup_key != before.built_dedup_key
 
 
+def test_persistence_key_at_the_end_of_a_day(keyed):
+    for few in ({}, {"issuer": None, "region": None}):
+        end, start, before = keyed(few | {"published_at": "2024-03-01 24:00"}, few | {"published_at": "2024-03-02 00:00"}, few)
+        assert end.built_persistence_key == start.built_persistence_key != before.built_persistence_key
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
