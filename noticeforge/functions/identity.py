@@ -55,9 +55,9 @@ def one_of(column: str | Column, values: tuple, default: str) -> Column:
 
 def moment(text: Column) -> Column:
     """The instant of a plain text in ISO form, with zone or as UTC, or in one of the ten dated forms; null if it is
-    none or names no existing date. Fractions are cut off."""
+    none or names no existing date. Fractions are cut off. Eight digits may lack the day's zero."""
     zone = r"(Z|[+-]\d{2}:?\d{2})?"
-    shapes = (rf"\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?)?\s?{zone}", r"\d{4}([-/])\d{1,2}\2\d{1,2}(?: +\d{1,2}:\d{1,2}(?::\d{1,2})?)?", r"\d{8}", r"\d{4}年\d{1,2}月\d{1,2}日(?: ?\d{1,2}点\d{1,2}分)?")
+    shapes = (rf"\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?)?\s?{zone}", r"\d{4}([-/])\d{1,2}\2\d{1,2}(?: +\d{1,2}:\d{1,2}(?::\d{1,2})?)?", r"\d{8}|\d{4}(?:0[1-9]|1[0-2])[1-9]", r"\d{4}年\d{1,2}月\d{1,2}日(?: ?\d{1,2}点\d{1,2}分)?")
     parts = rf"^(\d{{4}})[-/年]?(\d{{1,2}})[-/月]?(\d{{1,2}})日?(?:[T ]*(\d{{1,2}})(?:[:点](\d{{1,2}}))?分?(?::(\d{{1,2}}))?(?:[.,]\d+)?)?\s?{zone}$"
     said_ = F.regexp_replace(text, parts, "$1-$2-$3 0$4:0$5:0$6")
     at = F.try_to_timestamp(F.when(text.rlike("^(?:" + "|".join(shapes) + ")$"), F.regexp_replace(said_, r"\b0(\d\d)\b", "$1")), F.lit("y-M-d H:m:s"))

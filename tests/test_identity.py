@@ -93,6 +93,16 @@ def test_persistence_key_at_the_end_of_a_day(keyed):
         assert end.built_persistence_key == start.built_persistence_key != before.built_persistence_key
 
 
+@pytest.mark.parametrize(("value", "want"), [("2023031", "2023-03-01"), ("2023129", "2023-12-09"), ("2023230", None), ("2023001", None), ("2023010", None), ("202311", None), ("202303011", None)])
+def test_day_without_its_zero_among_digits(spark, value, want):
+    assert spark.createDataFrame([(value,)], "a string").select(identity.day(F.col("a")).alias("d")).first().d == want
+
+
+def test_list_fingerprint_of_a_day_without_its_zero(keyed):
+    short, whole, none = keyed({"published_at": "2024031"}, {"published_at": "20240301"}, {"published_at": None})
+    assert short.list_fingerprint == whole.list_fingerprint != none.list_fingerprint
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
