@@ -103,6 +103,11 @@ def test_list_fingerprint_of_a_day_without_its_zero(keyed):
     assert short.list_fingerprint == whole.list_fingerprint != none.list_fingerprint
 
 
+def test_dedup_key_of_a_day_without_its_zero(keyed):
+    short, whole, none = keyed({"published_at": "2024031"}, {"published_at": "20240301"}, {"published_at": None})
+    assert short.built_dedup_key == whole.built_dedup_key != none.built_dedup_key
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
