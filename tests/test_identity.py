@@ -108,6 +108,12 @@ def test_dedup_key_of_a_day_without_its_zero(keyed):
     assert short.built_dedup_key == whole.built_dedup_key != none.built_dedup_key
 
 
+def test_persistence_key_of_a_day_without_its_zero(keyed):
+    for few in ({}, {"issuer": None, "region": None}):
+        short, whole, none = keyed(few | {"published_at": "2024031"}, few | {"published_at": "20240301"}, few | {"published_at": None})
+        assert short.built_persistence_key == whole.built_persistence_key != none.built_persistence_key
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
