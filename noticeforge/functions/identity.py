@@ -55,9 +55,11 @@ def one_of(column: str | Column, values: tuple, default: str) -> Column:
 
 def moment(text: Column) -> Column:
     """The instant of a plain text in ISO form, with zone or as UTC, or in one of the ten dated forms; null if it is
-    none or names no existing date. Fractions are cut off. Eight digits may lack the day's zero."""
-    zone = r"(Z|[+-]\d{2}:?\d{2})?"
-    shapes = (rf"\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?)?\s?{zone}", r"\d{4}([-/])\d{1,2}\2\d{1,2}(?: +\d{1,2}:\d{1,2}(?::\d{1,2})?)?", r"\d{8}|\d{4}(?:0[1-9]|1[0-2])[1-9]", r"\d{4}年\d{1,2}月\d{1,2}日(?: ?\d{1,2}点\d{1,2}分)?")
+    none or names no existing date. Fractions are cut off. Eight digits may lack the day's zero. A zone follows a time of
+    day, after a fraction without a blank; after a bare hour or a comma it is less than a day."""
+    zone = r"(?:Z|[+-]\d{2}:?\d{2})?"
+    near = zone.replace(r"\d{2}", r"(?:[01]\d|2[0-3])", 1)
+    shapes = (rf"\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}(?:\s?{near}|:\d{{2}}(?::\d{{2}})?\s?{zone}|:\d{{2}}:\d{{2}}(?:\.\d+{zone}|,\d+{near})))?", r"\d{4}([-/])\d{1,2}\1\d{1,2}(?: +\d{1,2}:\d{1,2}(?::\d{1,2})?)?", r"\d{8}|\d{4}(?:0[1-9]|1[0-2])[1-9]", r"\d{4}年\d{1,2}月\d{1,2}日(?: ?\d{1,2}点\d{1,2}分)?")
     parts = rf"^(\d{{4}})[-/年]?(\d{{1,2}})[-/月]?(\d{{1,2}})日?(?:[T ]*(\d{{1,2}})(?:[:点](\d{{1,2}}))?分?(?::(\d{{1,2}}))?(?:[.,]\d+)?)?\s?{zone}$"
     said_ = F.regexp_replace(text, parts, "$1-$2-$3 0$4:0$5:0$6")
     at = F.try_to_timestamp(F.when(text.rlike("^(?:" + "|".join(shapes) + ")$"), F.regexp_replace(said_, r"\b0(\d\d)\b", "$1")), F.lit("y-M-d H:m:s"))
@@ -71,7 +73,7 @@ def day(text: Column) -> Column:
     the end of its day, thus the next one's 00:00."""
     shape = r"([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})"
     first = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(text, shape, 0), shape, "$1-$2-$3"), F.lit("y-M-d"))
-    ends = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]24:00(?::00(?:\.0+)?)?\s?(?:Z|[+-]\d{2}:?\d{2})?$")
+    ends = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]24:00(?::00(?:\.0+)?)?(?:Z|[+-]\d{2}:?\d{2})?$")
     at = moment(F.when(ends, F.regexp_replace(text, "(?<=[T ])24:", "00:")).otherwise(text))
     # years of five digits come with a sign
     return F.ltrim(F.date_format(F.date_add(F.to_date(F.coalesce(at, first)), F.when(ends, 1).otherwise(0)), "yyyy-MM-dd"), F.lit("+"))
@@ -91,7 +93,8 @@ def with_keys(items: DataFrame) -> DataFrame:
     detail_url, locator, list_fingerprint, built_source_key, built_dedup_key, built_persistence_key, merge_strategy and
     identity_hash, and with dedup_key, source_duplicate_key, dedup_hash and content_hash filled where they were missing.
     Columns that the items lack count as null."""
-    has = lambda *names: F.coalesce(*(said(n) for n in names if n in items.columns), F.lit(None).cast("string"))
+    # of several columns the first that isn't empty counts, also if it is blank
+    has = lambda *names: said(F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names if n in items.columns), F.lit(None).cast("string")))
     url, external = has("detail_page_url", "source_url", "url"), has("external_id", "notice_external_id")
     rows = items.withColumn("_f", _forms_udf(has("title"), has("purchaser"), has("issuer", "publisher"), has("region"), has("source_code"), has("published_at"), url, external))
     f = lambda n: F.col(f"_f.{n}")

@@ -114,6 +114,29 @@ def test_persistence_key_of_a_day_without_its_zero(keyed):
         assert short.built_persistence_key == whole.built_persistence_key != none.built_persistence_key
 
 
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("2024-03-01+08:00", "2024-03-01"), ("2024-03-01 +08:00", "2024-03-01"), ("2024-03-01T00+24:00", "2024-03-01"), ("2024-03-01T23:59:59,5-24:00", "2024-03-01"), ("2024-03-01T23:59:59,5 -05:00", "2024-03-01"), ("2024-03-01 24:00 Z", "2024-03-01"),
+        ("2024-03-01T00+08:00", "2024-02-29"), ("2024-03-01 00:00 +08:00", "2024-02-29"), ("2024-03-01T23:59:59,5-05:00", "2024-03-02"),
+    ],
+)
+def test_zones_follow_times(spark, value, want):
+    assert spark.createDataFrame([(value,)], "a string").select(identity.day(F.col("a")).alias("d")).first().d == want
+
+
+def test_dedup_key_of_a_date_with_a_zone_but_no_time(keyed):
+    zoned, plain = keyed({"published_at": "2024-03-01+08:00"}, {"published_at": "2024-03-01"})
+    assert zoned.built_dedup_key == plain.built_dedup_key
+
+
+def test_dedup_key_of_a_blank_page_url(spark):
+    urls = [(" ", "http://a.example/s?id=1"), ("\u3000", None), (None, "http://a.example/s?id=1"), ("", "http://a.example/s?id=1")]
+    rows = [tuple((BASE | {"detail_page_url": u}).values()) + (s,) for u, s in urls]
+    blank, nothing, missing, empty = (r.built_dedup_key for r in identity.with_keys(spark.createDataFrame(rows, ITEM + ", source_url string")).collect())
+    assert blank == nothing != missing == empty
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
