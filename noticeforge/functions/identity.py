@@ -20,7 +20,7 @@ from noticeforge.functions.text import budget_bucket, compact_title, normal_url,
 NOTICE_TYPES, ATTACHMENT_TYPES, STAGES = ("announcement", "change", "result"), ("notice_file", "bid_file", "other"), ("fetch", "parse", "persist")
 LOCATORS = ("guid", "detail_id", "detailid", "id", "notice_id", "noticeid", "article_id", "articleid")
 
-FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "party", "region", "source", "date_text", "detail_url", "locator")])
+FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "party", "region", "source", "date_text", "amount", "detail_url", "locator")])
 
 
 def locator(url: str | None) -> str | None:
@@ -34,10 +34,10 @@ def locator(url: str | None) -> str | None:
 
 
 @F.pandas_udf(FORMS)
-def _forms_udf(title: pd.Series, purchaser: pd.Series, publisher: pd.Series, region: pd.Series, source: pd.Series, published: pd.Series, url: pd.Series, detail_id: pd.Series) -> pd.DataFrame:
+def _forms_udf(title: pd.Series, purchaser: pd.Series, publisher: pd.Series, region: pd.Series, source: pd.Series, published: pd.Series, amount: pd.Series, url: pd.Series, detail_id: pd.Series) -> pd.DataFrame:
     rows = [
-        (compact_title(t), compact_title(a) or compact_title(b), plain_text(r, lower=True), plain_text(s, lower=True), plain_text(d), normal_url(u, drop_tracking=True), plain_text(i, lower=True) or locator(u))
-        for t, a, b, r, s, d, u, i in zip(*(x.where(x.notna(), None) for x in (title, purchaser, publisher, region, source, published, url, detail_id)))
+        (compact_title(t), compact_title(a) or compact_title(b), plain_text(r, lower=True), plain_text(s, lower=True), plain_text(d), plain_text(m), normal_url(u, drop_tracking=True), plain_text(i, lower=True) or locator(u))
+        for t, a, b, r, s, d, m, u, i in zip(*(x.where(x.notna(), None) for x in (title, purchaser, publisher, region, source, published, amount, url, detail_id)))
     ]
     return pd.DataFrame(rows, columns=FORMS.names)
 
@@ -96,9 +96,9 @@ def with_keys(items: DataFrame) -> DataFrame:
     # of several columns the first that isn't empty counts, also if it is blank
     has = lambda *names: said(F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names if n in items.columns), F.lit(None).cast("string")))
     url, external = has("detail_page_url", "source_url", "url"), has("external_id", "notice_external_id")
-    rows = items.withColumn("_f", _forms_udf(has("title"), has("purchaser"), has("issuer", "publisher"), has("region"), has("source_code"), has("published_at"), url, external))
+    rows = items.withColumn("_f", _forms_udf(has("title"), has("purchaser"), has("issuer", "publisher"), has("region"), has("source_code"), has("published_at"), has("budget_amount"), url, external))
     f = lambda n: F.col(f"_f.{n}")
-    rows = rows.withColumns({"published_day": day(f("date_text")), "bucket": budget_bucket("budget_amount") if "budget_amount" in items.columns else F.lit(None).cast("string"), "norm_type": one_of(has("notice_type"), NOTICE_TYPES, "announcement")})
+    rows = rows.withColumns({"published_day": day(f("date_text")), "bucket": budget_bucket("_f.amount"), "norm_type": one_of(has("notice_type"), NOTICE_TYPES, "announcement")})
     named = [f("title"), F.col("published_day"), f("party"), F.col("bucket"), f("region")]
     signals = sum(F.when(x.isNotNull(), 1).otherwise(0) for x in named[2:])
     whole, bare = seed(*named, f("locator")), seed(*named, F.lit(None).cast("string"))

@@ -137,6 +137,13 @@ def test_dedup_key_of_a_blank_page_url(spark):
     assert blank == nothing != missing == empty
 
 
+def test_persistence_key_of_an_amount_in_other_digits(keyed):
+    for few in ({}, {"issuer": None, "region": None}):
+        plain, *others, less = keyed(*(few | {"budget_amount": b} for b in ("1,200,000元", "①２⁰万元", "１﹐２₀0﹐000", "1½万", "12万")))
+        assert {o.built_persistence_key for o in others[:2]} == {plain.built_persistence_key} and less.built_persistence_key != plain.built_persistence_key
+        assert [r.bucket for r in others] == ["1200000", "1200000", "110000"]
+
+
 def test_locators():
     assert identity.locator("http://a.example/x?ID=Q7&b=1") == "q7" and identity.locator("http://a.example/x?id=1&guid=G") == "g"
     assert identity.locator("HTTP://a.example") == "http://a.example/" and identity.locator(" ") is None
